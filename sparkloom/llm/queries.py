@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, quality_rules, sharding, simhash, urlfilter, warc
+from sparkloom.llm import ann, bpe, packing, quality_rules, sharding, simhash, urlfilter, warc
 from sparkloom.llm.common import scratch, written
 from sparkloom.session import ship
 
@@ -19,11 +19,27 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+    return packing.pack(found, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
@@ -77,7 +93,9 @@ select page_id, payload_bytes, payload_digest, case when keeper <> page_id then
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_backtracking_bpe": op5_backtracking_bpe,
     "op6_url_rules": op6_url_rules,
     "op7_histogram_sharding": op7_histogram_sharding,
     "op8_one_bit_search": op8_one_bit_search,
