@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, bpe, packing, quality_rules, sharding, simhash, urlfilter, warc
+from sparkloom.llm import ann, bpe, lm, packing, quality_rules, sharding, simhash, urlfilter, warc
 from sparkloom.llm.common import scratch, written
 from sparkloom.session import ship
 
@@ -72,6 +72,10 @@ def op8_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(ship(spark), "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -99,6 +103,7 @@ QUERIES = {
     "op6_url_rules": op6_url_rules,
     "op7_histogram_sharding": op7_histogram_sharding,
     "op8_one_bit_search": op8_one_bit_search,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op6_url_rules": OP6_SQL, "op8_one_bit_search": ann.ORACLE_SQL, "op10_warc": OP10_SQL}
