@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, bpe, lm, packing, quality_rules, sharding, simhash, urlfilter, warc
+from sparkloom.llm import ann, bpe, lm, packing, quality_model, quality_rules, sharding, simhash, urlfilter, warc
 from sparkloom.llm.common import scratch, written
 from sparkloom.session import ship
 
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -98,6 +102,7 @@ select page_id, payload_bytes, payload_digest, case when keeper <> page_id then
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_boosted_quality": op3_boosted_quality,
     "op4_quality_rules": op4_quality_rules,
     "op5_backtracking_bpe": op5_backtracking_bpe,
     "op6_url_rules": op6_url_rules,
