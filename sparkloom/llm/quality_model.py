@@ -1,9 +1,8 @@
 """A quality classifier: gradient-boosted trees grown on feature histograms over statistics of the whole text.
 
-The statistics are computed once for every document and written.  The trees are fitted on the driver on at most `MAX_ROWS`
-labelled rows (those of the least hash of their id), whose statistics are first put into `BINS` quantile bins, so that a
-split is sought in a histogram of gradients.  All trees are then laid out in flat arrays - feature, threshold, children,
-value - and a batch of rows walks all of them at once in numpy.
+The trees are fitted on the driver on at most `MAX_ROWS` labelled rows (those of the least hash of their id), whose
+statistics are first put into `BINS` quantile bins, so that a split is sought in a histogram of gradients.  All trees are
+then laid out in flat arrays - feature, threshold, children, value - and a batch of rows walks all of them at once in numpy.
 """
 
 from __future__ import annotations
@@ -133,32 +132,41 @@ def fold(id_col: str, folds: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: float = 0.3, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of `docs`; score: the probability of label 1.
-
-    Labels are learned from rows whose crc32(id as text) mod `folds` is not 0; those with 0 are held out.  A null id is not
-    held out and has no label.  Null labels are left out, several labels of an id all count.  Null and empty texts have
-    statistics of zero and are scored as such; repeated rows come back repeated; other columns are not read.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
+    """Trees fitted on the labelled rows whose crc32(id as text) mod `folds` is not 0: the `max_rows` labels of the least
+    hash of their id, and as many rows with them.  Null ids and labels are left out; several labels of an id all count."""
+    taken = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(fold("_id", folds) > 0)
+    taken = written(taken.orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows), "quality-labels")
+    rows = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("text")).join(F.broadcast(taken), "_id")  # max_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
+            found = [statistics(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    found = rows.select(F.xxhash64("_id").alias("id"), "y", "text").mapInArrow(run, "id long, y int, x array<double>").orderBy("id", "y", "x").limit(max_rows).select("y", "x").toArrow()
+    x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
+    return fit(x, found.column("y").to_numpy().astype(float))
+
 
-    found = written(rows.mapInArrow(run, f"doc_id {kind}, x array<double>"), "quality-statistics")
-    taken = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    taken = taken.where(fold("doc_id", folds) > 0).join(found, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(max_rows).select("y", "x").toArrow()
-    x = np.array(taken.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    sent = spark.sparkContext.broadcast(fit(x, taken.column("y").to_numpy().astype(float)))
+def score(docs: DataFrame, trees: Trees, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`docs` with the probability of label 1 of each whole text.  Null and empty texts have statistics of zero and are
+    scored as such; all rows and columns come back, an old score replaced."""
+    rest = docs.drop(score_col).withColumn("_utf8", F.col(text_col).cast("string").cast("binary"))
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.probability(x))], ["doc_id", "score"])
+            x = np.array([statistics(t.as_py()) for t in batch.column("_utf8")], float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sent.value.probability(x))], [*batch.schema.names[:-1], score_col])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.drop("_utf8").schema), f"`{score_col}` double"])
+    return rest.mapInArrow(run, schema)
 
-    out = found.mapInArrow(score, f"doc_id {kind}, score double")
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: float = 0.3, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of `docs`: `learn`, then `score`.  held_out: the id's remainder is
+    0; a null id is not held out.  Repeated rows come back repeated; other columns are not read."""
+    trees = learn(docs, labels, folds=folds, max_rows=max_rows, id_col=id_col, text_col=text_col, label_col=label_col)
+    out = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), trees).drop("text")
     return out.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

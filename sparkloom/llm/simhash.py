@@ -39,10 +39,10 @@ def shingles(parts: list[bytes], k: int) -> list[bytes]:
     return [text[a:b] for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())]
 
 
-def hashes(parts: list[bytes], k: int) -> np.ndarray:
+def hashes(parts: list[bytes], k: int, seed: int = SEED) -> np.ndarray:
     """XXH64 of the shingles."""
     hash_ = xxhash.xxh64_intdigest
-    return np.array([hash_(x, SEED) for x in shingles(parts, k)], dtype=np.uint64)
+    return np.array([hash_(x, seed) for x in shingles(parts, k)], dtype=np.uint64)
 
 
 def fingerprint(h: np.ndarray) -> int:
@@ -197,3 +197,123 @@ def simhash_groups(docs: DataFrame, k: int = 3, threshold: int = 3, blocks: int
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+#: What `near_duplicates` takes: fingerprints over the distinct 2-word shingles, whose bits small edits turn least, linked
+#: at up to 7 bits; two of them, as one alone misses some tenth of the near copies.
+FEATURE_WORDS, FEATURE_SEEDS, FEATURE_BITS, FEATURE_BLOCKS = 2, (42, 43), 7, 4
+#: Texts of one group that a task holds on either side when it compares them.
+CELL = 256
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_row, _keeper) for each row of `docs` that a row kept instead stands for; `_row` is monotonically_increasing_id()
+    over `docs`, which must be a table.
+
+    Two texts are near copies if the Jaccard similarity of their sets of `k`-word shingles (A-Z lower-cased; fewer words:
+    the whole sequence) is `similarity` or more; groups are the connected components, and the row of the smallest id stays
+    (null ids last, repeated rows by place).  Candidates are the components of SimHash links; inside each, all pairs of
+    different texts not yet connected are compared exactly, in cells of bounded size where a component is large.
+    Null and empty texts are copies of one another.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+    kind = numbered.schema["doc_id"].dataType.simpleString()
+    names = [f"fp{i}" for i in range(len(FEATURE_SEEDS))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(2):
+                parts = words((text.as_py() or b"").translate(LOWER))
+                some = list(dict.fromkeys(shingles(parts, FEATURE_WORDS)))
+                digests = [np.array([xxhash.xxh64_intdigest(x, seed) for x in some], dtype=np.uint64) for seed in FEATURE_SEEDS]
+                out.append((xxhash.xxh3_128_digest(b" ".join(parts)), *map(fingerprint, digests)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), *[pa.int64()] * len(names)))] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_row", "doc_id", "content", *names])
+
+    rows = written(numbered.mapInArrow(read, f"_row long, doc_id {kind}, content binary, " + ", ".join(f"{n} long" for n in names)), "near-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    texts = written(rows.groupBy("content").agg(F.min(first).alias("first"), *(F.min(n).alias(n) for n in names)).withColumn("node", F.col("first._row")), "near-texts")
+    edges = None
+    for n in names:
+        fps = written(texts.groupBy(n).agg(F.min("node").alias("low")).withColumnRenamed(n, "fp"), "near-fps")
+        found = links(fps, FEATURE_BITS, FEATURE_BLOCKS)
+        at = lambda c: fps.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))  # noqa: B023, E731
+        linked = found.join(at("a"), "a").join(at("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+        same = texts.select(F.col("node").alias("a"), F.col(n).alias("fp")).join(fps, "fp").where("a <> low").select("a", F.col("low").alias("b"))
+        edges = linked.unionByName(same) if edges is None else edges.unionByName(linked).unionByName(same)
+    candidates = connected_components(edges)
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    members = written(candidates.join(sizes, "root").select(F.col("node").alias("_row"), "root", "cells"), "near-members")
+    verified = _verified(numbered.select("_row", "text").join(members, "_row"), k, similarity)
+    groups = connected_components(verified).withColumnRenamed("root", "group")
+    kept = texts.join(groups, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("first").alias("first"))
+    keepers = written(kept.select("group", F.col("first._row").alias("_keeper")), "near-kept")
+    owner = texts.join(groups, "node", "left").select("content", F.coalesce("group", "node").alias("group")).join(keepers, "group").select("content", "_keeper")
+    return rows.select("_row", "content").join(owner, "content").where("_row <> _keeper").select("_row", "_keeper")
+
+
+def _verified(members: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(_row, text, root, cells) -> (a, b): pairs of one root that are near copies, a spanning forest of each cell."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sets = [np.unique(hashes(words((t.as_py() or b"").translate(LOWER)), k)).astype("<u8").tobytes() for t in some.column("text")]
+                yield pa.RecordBatch.from_arrays([some.column("_row"), some.column("root"), some.column("cells"), pa.array(sets, pa.binary())], ["_row", "root", "cells", "set"])
+
+    sets = members.select("_row", "root", "cells", "text").mapInArrow(shingled, "_row long, root long, cells int, set binary")
+    # a member of cell c goes to the pairs of cells (c, j) and (j, c), so every two members meet once at least
+    sets = sets.withColumn("c", F.pmod(F.xxhash64("_row"), F.col("cells")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    sets = sets.select("root", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "c", "_row", "set")
+
+    def compare(key: tuple, group: list[tuple]) -> tuple[list[int], list[int]]:
+        _, i, j = key
+        rows = [r for _, r, _ in group]
+        held = [frozenset(np.frombuffer(s, "<u8").tolist()) for _, _, s in group]
+        size = np.array([len(h) for h in held])
+        cell = np.array([c for c, _, _ in group])
+        forest, a, b = Forest(), [], []
+        for x in range(len(rows)):
+            other = (cell[x + 1 :] != cell[x]) if i != j else np.ones(len(rows) - x - 1, bool)
+            near = other & (np.minimum(size[x + 1 :], size[x]) >= similarity * np.maximum(size[x + 1 :], size[x]))
+            for y in (np.flatnonzero(near) + x + 1).tolist():
+                if forest.root(x) != forest.root(y):
+                    both = len(held[x] & held[y])
+                    if both >= similarity * (len(held[x]) + len(held[y]) - both) - 1e-9:
+                        forest.join(x, y)
+                        a.append(rows[x])
+                        b.append(rows[y])
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        a: list[int] = []
+        b: list[int] = []
+
+        def end() -> None:
+            if len(group) > 1:
+                x, y = compare(key, group)
+                a.extend(x)
+                b.extend(y)
+
+        for batch in batches:
+            for root, i, j, c, row, held in zip(*(batch.column(n).to_pylist() for n in ("root", "i", "j", "c", "_row", "set"))):
+                if (root, i, j) != key:
+                    end()
+                    key, group = (root, i, j), []
+                group.append((c, row, held))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` (a table) with one row of each group of `near_duplicates`; all columns."""
+    gone = written(near_duplicates(docs, k, similarity, id_col=id_col, text_col=text_col).select("_row"), "near-gone")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
