@@ -2,9 +2,9 @@
 
 Writing: a payload becomes an HTTP response in chunked transfer framing.  A block longer than `segment_bytes` is cut: the
 first part is the `response` record with WARC-Segment-Number 1, the others are `continuation` records that name it in
-WARC-Segment-Origin-ID, the last of them with WARC-Segment-Total-Length.  Records are dealt over archives by their own
-ids, so the parts of one payload lie in several archives.  Spark's text writer stores a record a row (its line end is the
-last line end of the record), so any file system that Spark writes to will do.
+WARC-Segment-Origin-ID, the last of them with WARC-Segment-Total-Length.  Spark's text writer stores a record a row (its
+line end is the last line end of the record), so any file system that Spark writes to will do; an archive ends after
+`archive_records` records, so the parts of one payload may lie in several.
 
 Reading: whole archives are parsed by Content-Length, continuation records are grouped by origin, ordered by segment
 number, checked against the total length, and the chunked framing is decoded.
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import utf8
+from sparkloom.llm.common import utf8, written
 
 VERSION = b"WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 CHUNK = 16 << 10
-RECORD = "kind string, id string, uri string, digest string, refers_to string, origin string, segment int, total long, block binary"
+RECORD = "kind string, id string, uri string, digest string, page_id long, refers_to long, origin string, segment int, total long, block binary"
 
 
 def record_id(page_id: int | None, digest: str, segment: int = 1) -> str:
@@ -91,23 +91,23 @@ def classified(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = pages.withColumn("payload", F.coalesce(F.col("payload"), F.lit(b""))).withColumn("digest", F.sha1("payload"))
     big = rows.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes)
     kept = big.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    out = rows.join(kept, "digest", "left")
+    # a written table has a known size: the planner sends it to all tasks below its threshold, and else deals out both sides
+    out = rows.join(written(kept, "warc-kept"), "digest", "left")
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, *, segment_bytes: int = 64 << 10, archive_bytes: int = 8 << 20, min_revisit_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes every row of `pages` as records of archives of about `archive_bytes` each in the folder `path`.
+def write_archives(pages: DataFrame, path: str, *, segment_bytes: int = 64 << 10, archive_records: int = 1024, min_revisit_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+    """Writes every row of `pages` as records of archives in the folder `path`, `archive_records` in each at most; no
+    archive is larger than that many segments.
 
     A null payload is an empty one, a null url gives no target URI, a null id is written as none and refers to nothing.
     Repeated rows give repeated records; of rows that share the largest id each is a response.  No rows: no archives'
     records.
     """
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload"))
-    total = named.agg(F.sum(F.octet_length("payload") + F.lit(800))).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "record"]
+        out: list[bytes] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 page_id, url, payload, digest, refers_to = (c[row].as_py() for c in batch.columns)
@@ -115,43 +115,60 @@ def write_archives(pages: DataFrame, path: str, *, segment_bytes: int = 64 << 10
                 common = {"WARC-Target-URI": url, "WARC-Date": DATE, "WARC-Payload-Digest": f"sha1:{digest}", "WARC-Page-ID": page_id}
                 if refers_to is not None:
                     head = {"WARC-Type": "revisit", "WARC-Record-ID": own} | common | {"WARC-Refers-To": record_id(refers_to, digest), "WARC-Refers-To-Page-ID": refers_to, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                    ids, out = [own], [record(head, b"")]
+                    out.append(record(head, b""))
                 else:
                     block = http_response(payload)
-                    parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-                    last = len(parts)
+                    last = -(-len(block) // segment_bytes)
                     head = {"WARC-Type": "response", "WARC-Record-ID": own} | common | {"Content-Type": "application/http;msgtype=response", "WARC-Segment-Number": 1 if last > 1 else None}
-                    ids, out = [own], [record(head, parts[0])]
-                    for n, part in enumerate(parts[1:], 2):
-                        ids.append(record_id(page_id, digest, n))
-                        out.append(record({"WARC-Type": "continuation", "WARC-Record-ID": ids[-1], "WARC-Date": DATE, "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": n, "WARC-Segment-Total-Length": len(block) if n == last else None}, part))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out, pa.binary())], names)
+                    out.append(record(head, block[:segment_bytes]))
+                    for n in range(2, last + 1):
+                        head = {"WARC-Type": "continuation", "WARC-Record-ID": record_id(page_id, digest, n), "WARC-Date": DATE, "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": n, "WARC-Segment-Total-Length": len(block) if n == last else None}
+                        out.append(record(head, block[(n - 1) * segment_bytes : n * segment_bytes]))
+                if len(out) >= 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = classified(named, min_revisit_bytes).mapInArrow(run, "id string, record binary")
-    made = made.repartition(int(archives), "id")  # dealt by record, so that neither a page nor a host fills an archive
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    made = classified(named, min_revisit_bytes).mapInArrow(run, "record binary")
+    made.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=archive_records).text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in the folder `path`; see RECORD.  A broken archive raises."""
+def checked(block: bytes, stated: str) -> bytes:
+    """The payload of a whole block."""
+    payload = http_payload(block)
+    if f"sha1:{hashlib.sha1(payload).hexdigest()}" != stated:
+        raise ValueError(f"a payload has not the digest {stated}")
+    return payload
+
+
+def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
+    """The records of all archives in the folder `path`; see RECORD.  A broken archive raises.
+
+    segmented: only the parts of segmented payloads, or only the other records, whose blocks are then the payloads (null
+    for a revisit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+        names = ["kind", "id", "uri", "digest", "page_id", "refers_to", "origin", "segment", "total", "block"]
+        types = [*[pa.string()] * 4, *[pa.int64()] * 2, pa.string(), pa.int32(), pa.int64(), pa.binary()]
         number = lambda v: None if v is None else int(v)
+        rows: list[tuple] = []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
         for batch in batches:
             for content in batch.column(0):
-                rows: list[tuple] = []
                 for h, block in records(content.as_py()):
-                    kind, own = h["warc-type"], h["warc-record-id"]
-                    rows.append((kind, own, h.get("warc-target-uri"), h.get("warc-payload-digest"), number(h.get("warc-page-id")), number(h.get("warc-refers-to-page-id")), h.get("warc-segment-origin-id", own), int(h.get("warc-segment-number", 1)), number(h.get("warc-segment-total-length")), block))
+                    kind, own, segment = h["warc-type"], h["warc-record-id"], number(h.get("warc-segment-number"))
+                    if segmented is not None and segmented != (segment is not None):
+                        continue
+                    if segmented is False:
+                        block = None if kind == "revisit" else checked(block, h["warc-payload-digest"])
+                    rows.append((kind, own, h.get("warc-target-uri"), h.get("warc-payload-digest"), number(h.get("warc-page-id")), number(h.get("warc-refers-to-page-id")), h.get("warc-segment-origin-id", own), segment, number(h.get("warc-segment-total-length")), block))
                     if len(rows) == 64:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        yield out()
                         rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield out()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    return files.select("content").mapInArrow(run, RECORD.replace("refers_to string", "page_id long, refers_to long"))
+    return files.select("content").mapInArrow(run, RECORD)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -161,31 +178,25 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     Raises where a segment is missing, a total length is wrong, the chunked framing is broken or a payload has not the
     digest that its record states.
     """
-    rows = read_records(spark, path)
-    parts = rows.where("kind <> 'revisit'")
+    names = ["kind", "uri", "digest", "page_id", "refers_to"]
+    schema = "kind string, uri string, digest string, page_id long, refers_to long, payload binary"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, digests = [], []
-            for segments, stated in zip(batch.column("segments"), batch.column("digest")):
-                found = segments.as_py()
+            for at in range(batch.num_rows):
+                found, stated = batch.column("segments")[at].as_py(), batch.column("digest")[at].as_py()
                 block = b"".join(s["block"] for s in found)
                 totals = [s["total"] for s in found if s["total"] is not None]
-                if [s["segment"] for s in found] != list(range(1, len(found) + 1)) or (totals or [len(block)]) != [len(block)] or len(found) > 1 and not totals:
+                if [s["segment"] for s in found] != list(range(1, len(found) + 1)) or totals != [len(block)]:
                     raise ValueError(f"segments {[s['segment'] for s in found]} of {len(block)} bytes, stated {totals}")
-                payloads.append(http_payload(block))
-                digests.append(hashlib.sha1(payloads[-1]).hexdigest())
-                if f"sha1:{digests[-1]}" != stated.as_py():
-                    raise ValueError(f"a payload has not the digest {stated.as_py()}")
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("uri"), pa.array(payloads, pa.binary()), pa.array(digests, pa.string())], ["page_id", "url", "payload", "payload_digest"])
-
-    # a group holds the parts of one payload; records of repeated rows share ids and are told apart by their part numbers
-    segment = F.struct("segment", "total", "block")
-    first = F.max(F.when(F.col("kind") == "response", F.struct("page_id", "uri", "digest"))).alias("f")
-    grouped = parts.groupBy("origin").agg(F.sort_array(F.collect_list(segment)).alias("s"), first, F.sum(F.when(F.col("kind") == "response", 1).otherwise(0)).alias("copies"))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 1) for c in batch.columns[:5]), pa.array([checked(block, stated)], pa.binary())], [*names, "payload"])
+
+    alone = read_records(spark, path, segmented=False).select(*names, F.col("block").alias("payload"))
+    # a group holds the parts of one payload
+    part, first = F.struct("segment", "total", "block"), F.col("kind") == "response"
+    grouped = read_records(spark, path, segmented=True).groupBy("origin").agg(F.max(F.when(first, F.struct(*names))).alias("f"), F.sort_array(F.collect_list(part)).alias("segments"), F.count_if(first).alias("copies"))
     # k repeated rows leave k equal records of each part: every k-th makes one payload, and the payload comes k times
-    grouped = grouped.withColumn("s", F.expr("filter(s, (x, i) -> i % copies = 0)")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    whole_ = grouped.select("f.page_id", "f.uri", "f.digest", F.col("s").alias("segments")).mapInArrow(whole, "page_id long, url string, payload binary, payload_digest string")
-    responses = whole_.select("page_id", "url", F.lit("response").alias("record_type"), "payload", "payload_digest", F.lit(None).cast("long").alias("refers_to"))
-    revisits = rows.where("kind = 'revisit'").select("page_id", F.col("uri").alias("url"), F.lit("revisit").alias("record_type"), F.lit(None).cast("binary").alias("payload"), F.substring("digest", 6, 40).alias("payload_digest"), "refers_to")
-    return responses.unionByName(revisits)
+    grouped = grouped.withColumn("segments", F.expr("filter(segments, (x, i) -> i % greatest(copies, 1) = 0)")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies").cast("int"))))
+    joined = grouped.select("f.*", "segments").mapInArrow(whole, schema)
+    rows = alone.unionByName(joined)
+    return rows.select("page_id", F.col("uri").alias("url"), F.col("kind").alias("record_type"), "payload", F.substring("digest", 6, 40).alias("payload_digest"), "refers_to")
