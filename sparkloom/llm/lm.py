@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import LOWER, utf8, words, written
 
-BLOCK, PER_BUCKET = 1 << 21, 1 << 20
+BLOCK, PER_BUCKET = 1 << 20, 1 << 20
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 LEVELS, STEPS, GRID = 24, 60, 4
 #: Training documents with this remainder are set apart for the weights.
@@ -84,6 +84,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, row = TaskContext.get().partitionId(), 0, -1
         open_: dict[int, list] = {}
+        held: dict[int, int] = {}
 
         def close(kind: int) -> pa.RecordBatch:
             nonlocal made
@@ -104,9 +105,12 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 stream = np.array([*map(hash_, words((text.as_py() or b"").translate(LOWER))), int(END)], np.uint64)
                 for at in range(0, len(stream), BLOCK):
                     b = open_.setdefault(kind, [[], [], [], [], []])
-                    for values, value in zip(b, (stream[at : at + BLOCK], stream[at - 1] if at else START, len(stream[at : at + BLOCK]), (part << 40) + row, doc_id)):
+                    size = len(stream[at : at + BLOCK])
+                    for values, value in zip(b, (stream[at : at + BLOCK], stream[at - 1] if at else START, size, (part << 40) + row, doc_id)):
                         values.append(value)
-                    if sum(b[2]) >= BLOCK or len(b[2]) % 4096 == 0 and sum(b[2]) >= BLOCK:
+                    held[kind] = held.get(kind, 0) + size
+                    if held[kind] >= BLOCK:
+                        held[kind] = 0
                         yield close(kind)
         for kind in sorted(open_):
             yield close(kind)
@@ -225,9 +229,11 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     train on only the even share is left.
     """
     made = written(blocks(docs, id_col, text_col), "lm-blocks")
-    tokens = made.agg(F.sum("n_tokens")).first()[0] or 0
+    count, tokens = (x or 0 for x in made.agg(F.count("*"), F.sum("n_tokens")).first())
     buckets = max(1, -(-tokens // PER_BUCKET))
-    answered = written(answers(requests(made, buckets)), "lm-answers")
+    # as many partitions as buckets or blocks, so that what a task reads does not grow with the input
+    answered = written(answers(requests(made, buckets).repartition(2 * buckets, "order", "bucket")), "lm-answers")
+    by_block = lambda df: df.repartition(max(1, count), "block").groupBy("block")
     n, types, n_apart = (x or 0 for x in answered.agg(F.sum("tokens"), F.sum("types"), F.sum("tokens_apart")).first())
 
     def predicted(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,7 +246,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         key, count = np.unique((level(cv) << 40) | ((one + 1) << 20) | (two + 1), return_counts=True)
         return pa.table([pa.array((key >> 40).astype(np.int32)), pa.array((((key >> 20) & 0xFFFFF) - 1).astype(np.int32)), pa.array(((key & 0xFFFFF) - 1).astype(np.int32)), pa.array(count)], names=names)
 
-    apart = made.where("kind = 1").groupBy("block").cogroup(answered.where("kind = 1").groupBy("block"))
+    apart = by_block(made.where("kind = 1")).cogroup(by_block(answered.where("kind = 1")))
     seen = apart.applyInArrow(predicted, "level int, one int, two int, n long").groupBy("level", "one", "two").agg(F.sum("n").alias("n"))
     weights = learned([tuple(r) for r in seen.orderBy("level", "one", "two").collect()], types)  # at most the cells of the grid
 
@@ -256,6 +262,6 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         return pa.table([pa.array(row["rows"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), held, pa.array(block.sizes), known, add(base), add(np.log10(p))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    sums = made.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, schema)
+    sums = by_block(made).cogroup(by_block(answered)).applyInArrow(scored, schema)
     sums = sums.groupBy("row", "doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
