@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = Path(__file__).resolve().parent
 
@@ -29,3 +29,12 @@ def session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **co
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("sparkloom")
     conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | conf
     return ship(builder.config(map=conf).getOrCreate())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed and stored in the folder that all executors share (`spark.checkpoint.dir`; a temporary one where that
+    is unset, as in tests), with its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
