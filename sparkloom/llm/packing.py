@@ -2,15 +2,19 @@
 
 Documents become pieces of at most `capacity` tokens.  Pieces are dealt over partitions at random and packed best-fit
 decreasing.  For each partition the largest of the lower bounds that dual feasible functions give certifies its number of
-bins.  Partitions with a gap between the two exchange documents: those of their bins that are not full are pooled over all
-such partitions, dealt anew over fewer, and packed again, until no gap is left or a single pool has been packed.
+bins; it is taken before rounding up, as a part of a bin that one partition must waste can be filled from another.
+Partitions with a gap between the two exchange documents: those of their bins that are not full are pooled over all such
+partitions, dealt anew over fewer, and packed again, until no gap is left, an exchange wins nothing or a single pool has
+been packed.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -117,28 +121,31 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The largest bound of dual feasible functions: no packing has fewer bins."""
+def bound(sizes: np.ndarray, capacity: int) -> Fraction:
+    """The largest bound of dual feasible functions before rounding up: no packing has fewer bins."""
     if not len(sizes):
-        return 0
+        return Fraction(0)
     n = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
     x = np.arange(capacity + 1)
-    best = -(-int((n * x).sum()) // capacity)
+    best = Fraction(int((n * x).sum()), capacity)
     count, total = np.cumsum(n), np.cumsum(n * x)
     t = np.arange(1, capacity // 2 + 1)  # sizes under t count nothing, sizes over capacity - t a whole bin
     whole = count[-1] - count[capacity - t]
-    middle = total[capacity - t] - total[t - 1]
-    best = max(best, int((whole + -(-middle // capacity)).max()))
+    best = max(best, Fraction(int((whole * capacity + total[capacity - t] - total[t - 1]).max()), capacity))
     for k in range(1, 33):  # rounds to k-ths of a bin, but for sizes that come out even
         scaled = (k + 1) * x
         value = np.where(scaled % capacity == 0, x * k, scaled // capacity * capacity)  # in units of 1 / (k * capacity)
-        best = max(best, -(-int((n * value).sum()) // (k * capacity)))
+        best = max(best, Fraction(int((n * value).sum()), k * capacity))
     return best
 
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    return math.ceil(bound(sizes, capacity))
+
+
 def packed(part: DataFrame, round_: int, capacity: int) -> DataFrame:
     """Each group `part` packed: sequence_id, offset, free (in its bin), bins and bound (of its partition)."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema), "sequence_id long, offset long, free long, bins long, bound long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema), "sequence_id long, offset long, free long, bins long, bound double"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["length"].to_numpy(np.int64)
@@ -147,7 +154,7 @@ def packed(part: DataFrame, round_: int, capacity: int) -> DataFrame:
         bins, offsets = best_fit(sizes, capacity)
         count = int(bins.max()) + 1
         used = np.bincount(bins, weights=sizes).astype(np.int64)
-        return rows.assign(sequence_id=(np.int64(round_) << 56) + (rows["part"].to_numpy(np.int64) << 24) + bins, offset=offsets, free=capacity - used[bins], bins=count, bound=lower_bound(sizes, capacity))
+        return rows.assign(sequence_id=(np.int64(round_) << 56) + (rows["part"].to_numpy(np.int64) << 24) + bins, offset=offsets, free=capacity - used[bins], bins=count, bound=float(bound(sizes, capacity)))
 
     return part.groupBy("part").applyInPandas(run, schema)
 
@@ -169,7 +176,7 @@ def pack(found: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIE
         made = now.groupBy("part").agg(F.max("bins").alias("n")).agg(F.sum("n")).first()[0] or 0
         if open_ is not None and made >= bins:  # the exchange has won nothing: the bins stay as they were
             return done.unionByName(open_)
-        gap = (F.col("bins") > F.col("bound")) & (F.col("free") > 0) & F.lit(parts > 1)
+        gap = (F.col("bins") > F.col("bound") + 1e-9) & (F.col("free") > 0) & F.lit(parts > 1)
         final = now.where(~gap).select(*names, "sequence_id", "offset")
         done = final if done is None else done.unionByName(final)
         rest = open_ = now.where(gap).select(*names, "sequence_id", "offset")
