@@ -131,10 +131,10 @@ def directory_proximity(a: Column | str, b: Column | str) -> Column:
 
 
 def cue_seconds(time: Column | str) -> Column:
-    """`hh:mm:ss.mmm`, hours optional, as seconds."""
+    """`hh:mm:ss.mmm`, hours optional, as seconds; null for anything else."""
     t = F.replace(col(time), F.lit(","), F.lit("."))
     part = lambda i: F.regexp_extract(t, r"^(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)$", i)
-    return F.coalesce(F.nullif(part(1), F.lit("")).cast("double"), F.lit(0.0)) * 3600 + part(2).cast("double") * 60 + part(3).cast("double")
+    return F.coalesce(part(1).try_cast("double"), F.lit(0.0)) * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double")
 
 
 def timecode(seconds: Column | str) -> Column:
