@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators.terms import runs
 
 
 def dictionary(forms: DataFrame, least: int = 3, stopwords: tuple[str, ...] = (), short: tuple[str, ...] = ()) -> DataFrame:
@@ -20,18 +21,11 @@ def dictionary(forms: DataFrame, least: int = 3, stopwords: tuple[str, ...] = ()
 
 
 def occurrences(units: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, line, start, end, key): every run of words that is a key.  Runs are as long as the longest key at most; the
-    join is on the run, and the planner broadcasts the dictionary while it is small."""
-    longest = known.agg(F.max("words")).first()[0] or 0
-    rows = units.select("path", "line", F.posexplode(T.tokens("text")).alias("start", "w"))
-    if longest > 1:
-        following = Window.partitionBy("path", "line").orderBy("start")
-        rows = rows.withColumns({f"w{n}": F.lead("w", n).over(following) for n in range(1, longest)})
-    runs = [F.struct(F.lit(n).alias("n"), F.concat_ws(" ", "w", *(f"w{i}" for i in range(1, n))).alias("key"), (F.lit(True) if n == 1 else F.col(f"w{n - 1}").isNotNull()).alias("ok")) for n in range(1, longest + 1)]
-    if not runs:
-        return rows.select("path", "line", "start", F.col("start").alias("end"), F.col("w").alias("key")).limit(0)
-    rows = rows.select("path", "line", "start", F.explode(F.array(*runs)).alias("r")).where("r.ok")
-    rows = rows.select("path", "line", "start", (F.col("start") + F.col("r.n")).alias("end"), F.col("r.key").alias("key"))
+    """(path, line, start, end, key): every run of words that is a key.  Runs are as long as the longest key at most and are
+    made within the unit; the one join is on the run, and the planner broadcasts the dictionary while it is small."""
+    longest = known.agg(F.max("words")).first()[0] or 1
+    rows = runs(units, longest).select("path", "line", F.col("position").alias("start"), "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    rows = rows.select("path", "line", "start", (F.col("start") + F.col("n")).alias("end"), F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("key"))
     return rows.join(known.select("key"), "key", "left_semi").select("path", "line", "start", "end", "key")
 
 

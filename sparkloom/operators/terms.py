@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.session import checkpointed, spread
 
 #: Function words that end or begin no term; a project passes its own list.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -31,20 +32,24 @@ class TermOptions:
 
 def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(path, line from 1, text): a unit a line that is not blank."""
-    lines = docs.select(F.col(id_col).cast("string").alias("path"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
+    lines = spread(docs).select(F.col(id_col).cast("string").alias("path"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
     return lines.where(F.trim("text") != "").select("path", (F.col("pos") + 1).alias("line"), "text")
 
 
+def runs(found: DataFrame, most: int) -> DataFrame:
+    """(path, line, position, w): for each word of each unit the run of up to `most` words that begins with it.  A row holds
+    its run alone, never the unit's words; the generator in front keeps them from being computed anew for each."""
+    rows = found.select("path", "line", F.explode(F.array(T.tokens("text"))).alias("t")).where(F.size("t") > 0)
+    slices = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t"))), lambda i: F.slice("t", i, most))
+    return rows.select("path", "line", F.posexplode(slices).alias("position", "w")).where(F.size("w") > 0)
+
+
 def ngrams(found: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
     """(path, line, position (of the first word), words, key): n-grams that neither begin nor end with a stopword, are not
     digits alone and long enough.  Those with a stopword at an edge go before anything is shuffled."""
-    stop = F.array(*(F.lit(w) for w in options.stopwords)) if options.stopwords else F.array().cast("array<string>")
-    rows = found.select("path", "line", T.tokens("text").alias("t"))
-    rows = rows.select("path", "line", "t", F.posexplode("t").alias("position", "first")).where(~F.array_contains(stop, F.col("first")))
-    most = F.least(F.lit(options.max_words), F.size("t") - F.col("position"))
-    rows = rows.select("path", "line", "position", F.slice("t", F.col("position") + 1, most).alias("w"))
+    rows = runs(found, options.max_words).where(~F.element_at("w", 1).isin(*options.stopwords))
     rows = rows.select("path", "line", "position", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("words"))
-    rows = rows.where(~F.array_contains(stop, F.element_at("w", F.col("words"))))
+    rows = rows.where(~F.element_at("w", F.col("words")).isin(*options.stopwords))
     rows = rows.select("path", "line", "position", "words", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("key"))
     return rows.where((F.length("key") >= options.min_length) & ~F.col("key").rlike(r"^[\p{N} ]+$"))
 
@@ -79,7 +84,8 @@ def score_terms(found: DataFrame, options: TermOptions = TermOptions(), prominen
     groups = grouped(found)
     corpus = found.select("path").distinct().agg(F.count("*").alias("corpus"))
     defined = F.array(*(F.lit(w) for w in options.defined)) if options.defined else F.array().cast("array<string>")
-    frequent = groups.where((F.col("occurrences") >= options.min_occurrences) & (F.col("documents") >= options.min_documents))
+    # stored, as three branches read it: else each would count all n-grams again
+    frequent = checkpointed(groups.where((F.col("occurrences") >= options.min_occurrences) & (F.col("documents") >= options.min_documents)))
     longer = frequent.where("words > 1").select("occurrences", F.col("key").alias("whole"), nested(F.col("key"), F.col("words")).alias("parts"))
     longer = longer.withColumn("vouches", F.arrays_overlap("parts", defined))
     inside = longer.select(F.explode("parts").alias("key"), "occurrences", "vouches")

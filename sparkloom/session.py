@@ -38,3 +38,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getConf().get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it comes in fewer partitions, as a small file of one row group does; else as it is, so a
+    large input is never moved for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
