@@ -6,8 +6,10 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,12 +113,24 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node long, root long): the smallest label reachable, for every node that has an edge.
 
-    Alternates large-star and small-star steps: each is a minimum by key (combined before the shuffle) and an equi join
+    Each task first joins what it holds of the edges into stars, which takes long paths out of the graph.  Then it
+    alternates large-star and small-star steps: each is a minimum by key (combined before the shuffle) and an equi join
     that adaptive execution may split where a hub is hot.  Each round is written to the shared folder; the driver sees
     two numbers a round.  Null ends and loops are left out; no edges give no rows.
     """
-    spark = edges.sparkSession
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forest = Forest()
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for x, y in zip(a, b):
+                forest.join(x, y)
+            ends = sorted({*a, *b})
+            roots = [forest.root(x) for x in ends]
+            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+
+    local = edges.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(stars, "a long, b long")
+    now = written(local.where("a > b").distinct(), "cc")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
