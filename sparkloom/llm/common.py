@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,9 @@ def remove(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in reversed(_made):
+        if path.startswith("file:"):
+            shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+            continue
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session has ended before: nothing more can be removed through it
