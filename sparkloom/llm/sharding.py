@@ -106,7 +106,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
 
 def shard_by_bytes(df: DataFrame, shards: int = 40, *, tolerance: float = 0.002, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of `df` with size (UTF-8 bytes and `overhead`; null text: `overhead`), shard (0 to shards - 1)
-    and slot (gapless from 0 in each shard, in the order of text hash and id).
+    and slot (gapless from 0 in each shard, in the order of 1/1024ths of the hashes).
 
     Sizes of shards differ from the mean by at most twice `tolerance` of it and the largest row.  Copies of a text are
     neighbours and are parted only where a splitter falls among them and no edge of theirs is within the tolerance.  Rows
@@ -121,15 +121,16 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, *, tolerance: float = 0.002,
     cuts = splitters(keys, shards, tolerance)
     # the shard is the number of splitters at or before the key
     at = lambda h, i: reduce(lambda a, b: a + b, (F.when((h > c[0]) | ((h == c[0]) & (i >= c[1]) if c[1] < 2**63 else F.lit(False)), 1).otherwise(0) for c in cuts), F.lit(0))
-    # within a shard, runs of 1/1024 of the hashes are numbered alone and set behind one another
-    run = lambda h: top(h, 10)
-    runs = keys.groupBy(at(F.col("h"), F.col("i")).alias("shard"), run(F.col("h")).alias("run")).count()
+    # within a shard, runs of 1/1024 of the hashes, each in 16 parts by id, are numbered alone and set behind one another,
+    # so that a hot text is numbered by many tasks
+    run = lambda h, i: top(h, 10) * 16 + F.pmod(F.xxhash64(i), F.lit(16))
+    runs = keys.groupBy(at(F.col("h"), F.col("i")).alias("shard"), run(F.col("h"), F.col("i")).alias("run")).count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
     base = runs.select("shard", F.col("run").alias("_run"), F.coalesce(before, F.lit(0)).alias("_base"))
     own = {"_h": h, "_i": i, "size": size}
-    out = keyed.withColumns(own).withColumns({"shard": at(F.col("_h"), F.col("_i")), "_run": run(F.col("_h"))})
+    out = keyed.withColumns(own).withColumns({"shard": at(F.col("_h"), F.col("_i")), "_run": run(F.col("_h"), F.col("_i"))})
     order = Window.partitionBy("shard", "_run").orderBy("_h", "_i")
     out = out.withColumn("_n", F.row_number().over(order).cast("long") - 1)
-    out = out.join(F.broadcast(base), ["shard", "_run"])  # at most 1024 + shards rows
+    out = out.join(F.broadcast(base), ["shard", "_run"])  # at most 16 * (1024 + shards) rows
     names = [c for c in df.columns if c not in ("size", "shard", "slot")]
     return out.select(*names, "size", "shard", (F.col("_n") + F.col("_base")).alias("slot"))
