@@ -378,3 +378,34 @@ def test_broken_archives_are_told():
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
     assert warc.dechunked(warc.chunked(b"q" * 100_000)) == b"q" * 100_000
+
+
+def test_language_model_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 50)) for i in range(120)]
+    found = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in rows}
+    streams = {i: ["<s>", *t.split(), "</s>"] for i, t in rows}
+
+    def counts(keep):
+        one, two = Counter(), Counter()
+        for i, t in streams.items():
+            if keep(fold[i]):
+                one.update(t)
+                two.update(zip(t, t[1:]))
+        return one, two, sum(one.values()) - one["<s>"]
+
+    one, two, n = counts(lambda f: f != lm.HELD_OUT)
+    types = len(one) - 1
+    rest1, rest2, rest_n = counts(lambda f: f not in (lm.HELD_OUT, lm.APART))
+    level = lambda c: int(lm.level(np.array([c]))[0])
+    step = lambda p: round(-lm.GRID * math.log2(p)) if p > 0 else -1
+    cells = Counter()
+    for i, t in streams.items():
+        if fold[i] == lm.APART:
+            for v, w in zip(t, t[1:]):
+                cells[level(rest1[v]), step(rest1[w] / rest_n), step(rest2[v, w] / max(1, rest1[v]))] += 1
+    weights = lm.learned(sorted((*k, c) for k, c in cells.items()), types)
+    for i, t in streams.items():
+        p = [(weights[level(one[v])] * [1 / (types + 1), one[w] / n, two[v, w] / max(1, one[v])]).sum() for v, w in zip(t, t[1:])]
+        assert abs(found[i] - sum(map(math.log10, p))) < 1e-4
