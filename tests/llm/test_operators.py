@@ -133,6 +133,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == sorted(min(g) for g in groups.values())
 
 
+def test_near_duplicates_reach_contiguous_edits(spark):
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for size in (200, 400, 600):
+        for _ in range(40):
+            base, part = fresh(size), size // 12
+            at = int(rng.integers(0, size - part))
+            texts += [base, base + fresh(size // 5), base[:at] + fresh(part) + base[at + part :]]
+            base = fresh(size)
+            texts += [base, base[: at // 2] + base[at // 2 + size // 7 :]]
+    texts = [" ".join(t) for t in texts]
+    path = scratch(spark, "near-passages")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    kept = sorted(r.doc_id for r in simhash.deduplicated(spark.read.parquet(path)).select("doc_id").collect())
+    sets = [frozenset(simhash.hashes(words(t.encode()), 5).tolist()) for t in texts]
+    forest = Forest()
+    for x in range(len(texts)):
+        for y in range(max(0, x - 5), x):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                forest.join(x, y)
+    expected = [x for x in range(len(texts)) if forest.root(x) == x]
+    assert len(expected) == 0.4 * len(texts) and kept == expected
+
+
 def test_packing(docs, empty, spark):
     path = P.path("byte_bpe_50k.json")
     exact = Tokenizer.from_file(path)
