@@ -9,6 +9,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import duplicates, scan, search, terms
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.terms import NORMAL, TOKENS
+from sparkloom.session import checkpointed
 
 R4 = "floor(({0}) * 10000 + 0.5) / 10000.0"
 #: Phrases that the texts' function words make, as (form, priority, id).
@@ -63,15 +64,16 @@ def a19_shingles(t: Tables) -> DataFrame:
 
 @query()
 def a20_minhash_pairs(t: Tables) -> DataFrame:
-    """Pairs that share a band of four of 32 minima, with the estimate; its hashes are Spark's."""
+    """Pairs that share a band of four of 128 minima, with the estimate; its hashes are Spark's."""
     return duplicates.banded_pairs(duplicates.signatures(duplicates.shingles(t.documents)))
 
 
 @query()
 def l15_resolve_duplicates(t: Tables) -> DataFrame:
     """Near copies of documents by content, source and language: scored, folded or reported."""
-    grams = duplicates.shingles(t.documents)
-    pairs = duplicates.jaccard(duplicates.banded_pairs(duplicates.signatures(grams)).where("estimate >= 0.5"), grams)
+    met = checkpointed(duplicates.banded_pairs(duplicates.signatures(duplicates.shingles(t.documents))))
+    ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = duplicates.jaccard(met, duplicates.shingles(t.documents.join(ids, "doc_id", "left_semi")))  # the shingles of those that meet alone
     at = lambda c: t.documents.select(F.col("doc_id").alias(c), F.col("source").alias(f"source_{c}"), F.col("lang").alias(f"lang_{c}"))
     rows = pairs.join(at("a"), "a").join(at("b"), "b")
     no = F.lit(False)

@@ -108,6 +108,14 @@ def test_duplicates(spark):
     assert {(r.a, r.b): (r.root, r.verdict) for r in duplicates.resolved(scored).collect()} == {(1, 2): (1, "merged"), (2, 3): (1, "merged"), (1, 3): (1, "folded"), (4, 5): (None, "reported")}
 
 
+def test_bands_reach_pairs_of_middling_similarity(spark):
+    # shingles drawn at random, 60 shared by the 80 of either: Jaccard 0.6
+    rows = [(2 * p + side, 80, (p << 20) + (i if i < 60 else 1000 * (side + 1) + i)) for p in range(300) for side in (0, 1) for i in range(80)]
+    grams = spark.createDataFrame(rows, "id long, n int, shingle long")
+    pairs = {(r.a, r.b) for r in duplicates.banded_pairs(duplicates.signatures(grams)).collect()}
+    assert len(pairs & {(2 * p, 2 * p + 1) for p in range(300)}) >= 288
+
+
 def test_search(spark):
     fields = spark.createDataFrame([("1", "title", "Red gears"), ("1", "summary", "red"), ("2", "alias", "gear"), ("3", "other", "blue")], "entity string, field string, text string")
     index = search.postings(fields)
