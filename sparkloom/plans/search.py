@@ -91,6 +91,12 @@ def l16_content_similarity(t: Tables) -> DataFrame:
     return duplicates.jaccard(pairs, grams).where("jaccard >= 0.8")
 
 
+@query()
+def l16_content_similarity_whole(t: Tables) -> DataFrame:
+    """The pairs of `l16_content_similarity` over all documents; its SQL reads those of even id alone."""
+    return duplicates.similar_pairs(duplicates.shingles(t.documents), 0.8)
+
+
 FIELDS = "fields as (select p_partkey as entity, 'title' as field, p_name as text from part union all select p_partkey, 'summary', p_type from part union all select p_partkey, 'other', p_brand from part)"
 _norm = NORMAL.format("text")
 POSTINGS = f"""{FIELDS}, w as (select entity, field, list_filter(string_split({_norm}, ' '), lambda x: x <> '') as w from fields), i as (select entity, field, w, flatten(list_transform(w, lambda x: regexp_split_to_array(x, '[-'']'))) as inn from w),

@@ -108,6 +108,18 @@ def test_duplicates(spark):
     assert {(r.a, r.b): (r.root, r.verdict) for r in duplicates.resolved(scored).collect()} == {(1, 2): (1, "merged"), (2, 3): (1, "merged"), (1, 3): (1, "folded"), (4, 5): (None, "reported")}
 
 
+def test_all_near_copies_of_odd_ids_too(spark, tmp_path):
+    from sparkloom import plans
+
+    words = lambda n, *gone: " ".join(f"x{n}y{i}" if i not in gone else f"z{n}y{i}" for i in range(60))
+    texts = [w for n in range(12) for w in (words(n), words(n, 0), words(n, 59, 58), words(n, 30), words(n, 10, 40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.a, r.b): r.jaccard for r in plans.QUERIES["l16_content_similarity_whole"](spark, str(tmp_path)).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    exact = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(texts)) for a in range(b)}
+    assert found == {k: round(j, 4) for k, j in exact.items() if j >= 0.8} and any(a % 2 for a, _ in found)
+
+
 def test_bands_reach_pairs_of_middling_similarity(spark):
     # shingles drawn at random, 60 shared by the 80 of either: Jaccard 0.6
     rows = [(2 * p + side, 80, (p << 20) + (i if i < 60 else 1000 * (side + 1) + i)) for p in range(300) for side in (0, 1) for i in range(80)]
