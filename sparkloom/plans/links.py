@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import graph, links
 from sparkloom.plans.registry import Tables, query
+from sparkloom.session import checkpointed
 
 R4 = "floor(({0}) * 10000 + 0.5) / 10000.0"
 OR = R4.format("greatest(0.0, least(1.0, 1 - {0}))")
@@ -162,3 +163,49 @@ def q06_path(t: Tables) -> DataFrame:
     found = some_links(t, 10)
     ends = graph.undirected(found).agg(F.min("a"), F.max("a")).first()
     return graph.path(found, ends[0], ends[1], 4)
+
+
+# The queries above read a part of the links, as their SQL does; these read them all.
+
+
+@query()
+def q05_near_whole(t: Tables) -> DataFrame:
+    found = checkpointed(some_links(t, 1))
+    return graph.near(found, found.agg(F.min("from").alias("id")), 3)
+
+
+@query()
+def a21_components_whole(t: Tables) -> DataFrame:
+    return graph.components(some_links(t, 1))
+
+
+@query()
+def a23_pivots_whole(t: Tables) -> DataFrame:
+    return graph.pivots(some_links(t, 1), 3, 20)
+
+
+@query()
+def l18_emergent_domains_whole(t: Tables) -> DataFrame:
+    found = checkpointed(some_links(t, 1))
+    return graph.emergent_domains(found, graph.pivots(found, 8, 1000), 3)
+
+
+@query()
+def q03_links_of_whole(t: Tables) -> DataFrame:
+    found = checkpointed(some_links(t, 1))
+    first = found.agg(F.min("from").alias("from"))
+    return found.join(F.broadcast(first), "from", "left_semi").select("from", "to", "confidence", F.lit("out").alias("direction")).orderBy(F.desc("confidence"), "to")
+
+
+@query()
+def q07_explain_whole(t: Tables) -> DataFrame:
+    found = checkpointed(some_links(t, 1))
+    ends = F.broadcast(found.agg(F.min("from").alias("x"), F.min("to").alias("y")))  # one row
+    return found.join(ends, (F.col("from") == F.col("x")) | (F.col("to") == F.col("y"))).select("from", "to", "confidence")
+
+
+@query()
+def q06_path_whole(t: Tables) -> DataFrame:
+    found = checkpointed(some_links(t, 1))
+    ends = graph.undirected(found).agg(F.min("a"), F.max("a")).first()
+    return graph.path(found, ends[0], ends[1], 4)

@@ -108,6 +108,39 @@ def test_duplicates(spark):
     assert {(r.a, r.b): (r.root, r.verdict) for r in duplicates.resolved(scored).collect()} == {(1, 2): (1, "merged"), (2, 3): (1, "merged"), (1, 3): (1, "folded"), (4, 5): (None, "reported")}
 
 
+def test_graph_queries_read_all_links(spark, tmp_path):
+    from sparkloom import plans
+
+    # a chain of parts and suppliers, two islands and a hub; of the orders only number 50 is a multiple of 10
+    ends = [(1, 1), (2, 1), (2, 2), (3, 2), (4, 3), (5, 4), *((6, s) for s in range(5, 14)), (7, 5)]
+    rows = [(41 + n, p, s, 0.01 * (n % 9)) for n, (p, s) in enumerate(ends)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    links_ = {(p, 100000 + s): round(0.2 + 7 * d, 4) for _, p, s, d in rows}
+    beside = {}
+    for a, b in links_:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+
+    def walk(start):
+        depth, front = {start: 0}, [start]
+        while front:
+            front = [y for x in front for y in beside[x] if y not in depth and depth.setdefault(y, depth[x] + 1)]
+        return depth
+
+    assert {r.id: r.root for r in run("a21_components_whole")} == {x: min(walk(x)) for x in beside}
+    assert {r.id: r.degree for r in run("a23_pivots_whole")} == {x: len(v) for x, v in beside.items() if 3 <= len(v) <= 20}
+    assert {r.id: r.depth for r in run("q05_near_whole")} == {x: d for x, d in walk(1).items() if 0 < d <= 3}
+    assert {r.id: (r.pivot, r.distance) for r in run("l18_emergent_domains_whole")} == {x: (6, d) for x, d in walk(6).items() if d <= 3}
+    assert [(r["from"], r.to, r.confidence) for r in run("q03_links_of_whole")] == [(1, 100001, links_[1, 100001])]
+    assert {(r["from"], r.to): r.confidence for r in run("q07_explain_whole")} == {k: c for k, c in links_.items() if k[0] == 1 or k[1] == 100001}
+    assert run("q06_path_whole") == []  # the greatest end is on another island
+    spark.createDataFrame([*rows, (99, 3, 13, 0.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_discount double").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.id for r in sorted(run("q06_path_whole"))] == []  # five links, one more than the most
+    spark.createDataFrame([*rows, (99, 2, 13, 0.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_discount double").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.id for r in sorted(run("q06_path_whole"))] == [1, 100001, 2, 100013]
+
+
 def test_all_near_copies_of_odd_ids_too(spark, tmp_path):
     from sparkloom import plans
 
