@@ -96,6 +96,14 @@ def f12_jaro_winkler(t: Tables) -> DataFrame:
     return pairs.withColumn("s", names.jaro_winkler("a", "b")).where("s >= 0.9").select("a", "b", T.round4(F.col("s")).alias("similarity"))
 
 
+@query()
+def f12_jaro_winkler_whole(t: Tables) -> DataFrame:
+    """The pairs of `f12_jaro_winkler` without its block of first letters, which pairs like 'cold bolt' and 'old bolt' lack."""
+    rows = t.part.select(F.col("p_name").alias("name")).distinct()
+    pairs = names.candidates(rows, 0.9)
+    return pairs.withColumn("s", names.jaro_winkler("a", "b")).where("s >= 0.9").select("a", "b", T.round4(F.col("s")).alias("similarity"))
+
+
 @query("""with x as (select p_partkey, list_filter(string_split(p_brand || '/' || p_type, '/'), lambda s: s <> '') as a, list_filter(string_split(p_brand || '/' || p_size, '/'), lambda s: s <> '') as b from part)
 select p_partkey, case when a[1] <> b[1] then 0.0 when a[2] = b[2] then 1.0 else 0.5 end as proximity from x""")
 def f14_directory_proximity(t: Tables) -> DataFrame:

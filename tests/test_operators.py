@@ -38,6 +38,16 @@ def test_jaro_winkler():
     assert (jaro_winkler_of("", "a"), jaro_winkler_of("a", "a"), jaro_winkler_of("ab", "cd")) == (0.0, 1.0, 0.0)
 
 
+def test_names_of_other_first_letters_meet(spark, tmp_path):
+    from sparkloom import plans
+
+    held = sorted({f"{x}{y}" for x in ("cold ", "old ", "gold ", "c.ld ", "", "a") for y in ("bolt", "bolts", "gear", "gaer", "wheel + axle", "é", "a")} | {""})
+    spark.createDataFrame([(x,) for x in [*held, held[3]]], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r.a, r.b) for r in plans.QUERIES["f12_jaro_winkler_whole"](spark, str(tmp_path)).collect()}
+    want = {(a, b) for a in held for b in held if a < b and jaro_winkler_of(a, b) >= 0.9}
+    assert found == want and ("cold bolt", "old bolt") in found
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcdé", max_size=12), st.text("abcdé", max_size=12))
 def test_jaro_winkler_is_symmetric_and_bounded(a, b):
