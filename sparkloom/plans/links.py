@@ -30,6 +30,12 @@ def a01_noisy_or(t: Tables) -> DataFrame:
     return t.lineitem.where("l_orderkey % 7 = 0").groupBy("l_suppkey").agg(links.noisy_or(F.col("l_discount")).alias("confidence"), F.count("*").alias("n"))
 
 
+@query(f"select l_partkey, l_suppkey, {OR.format('product(1 - l_discount)')} as confidence, count(*) as n from lineitem group by 1, 2")
+def a01_noisy_or_whole(t: Tables) -> DataFrame:
+    """All evidence, by part and supplier: a supplier's alone is so much that its confidence rounds to 1."""
+    return t.lineitem.groupBy("l_partkey", "l_suppkey").agg(links.noisy_or(F.col("l_discount")).alias("confidence"), F.count("*").alias("n"))
+
+
 @query(f"select l_partkey, {R4.format('least(max(l_discount) + 0.05 * (count(*) - 1), 0.95)')} as confidence from lineitem group by 1")
 def a02_glossary_confidence(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy("l_partkey").agg(F.max("l_discount").alias("b"), F.count("*").alias("n"))

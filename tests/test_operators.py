@@ -118,6 +118,15 @@ def test_duplicates(spark):
     assert {(r.a, r.b): (r.root, r.verdict) for r in duplicates.resolved(scored).collect()} == {(1, 2): (1, "merged"), (2, 3): (1, "merged"), (1, 3): (1, "folded"), (4, 5): (None, "reported")}
 
 
+def test_noisy_or_folds_all_evidence(spark, tmp_path):
+    from sparkloom import plans
+
+    rows = [(o, 1 + o % 2, 5, 0.1) for o in range(1, 8)]  # of the orders only number 7 is a multiple of 7
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {(r.l_partkey, r.l_suppkey): (r.confidence, r.n) for r in plans.QUERIES["a01_noisy_or_whole"](spark, str(tmp_path)).collect()}
+    assert found == {(1, 5): (round(1 - 0.9**3, 4), 3), (2, 5): (round(1 - 0.9**4, 4), 4)}
+
+
 def test_graph_queries_read_all_links(spark, tmp_path):
     from sparkloom import plans
 
