@@ -14,6 +14,13 @@ from sparkloom.session import checkpointed, spread
 
 #: Function words that end or begin no term; a project passes its own list.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: Those of each language, folded, as written and as the tokens' singular; a language without a list has none.
+STOPWORDS_OF = {
+    "en": STOPWORDS,
+    "fr": ("a", "au", "aux", "avec", "ce", "ces", "d", "dan", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "l", "la", "le", "les", "ou", "par", "pour", "qu", "que", "qui", "sur", "un", "une"),
+    "de": ("als", "am", "an", "auf", "aus", "bei", "da", "das", "dem", "den", "der", "des", "die", "ein", "eine", "es", "fur", "im", "in", "ist", "mit", "nicht", "oder", "und", "von", "war", "zu", "zum", "zur"),
+    "es": ("a", "al", "como", "con", "de", "del", "e", "el", "en", "es", "esta", "la", "las", "lo", "los", "o", "para", "por", "que", "se", "su", "sus", "un", "una", "y"),
+}
 SUFFIXES = ("ly", "ing", "ed")
 
 
@@ -112,11 +119,11 @@ def score_terms(found: DataFrame, options: TermOptions = TermOptions(), prominen
     return rows.select("key", "words", "occurrences", "documents", "score", "spread", "burst", "prominence", "neighbour", "inflected", "confidence")
 
 
-def published(terms: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
+def published(terms: DataFrame, options: TermOptions = TermOptions(), order: tuple[str, ...] = ("key",)) -> DataFrame:
     """Terms with fate: page at the confidence, withheld below it, and the slug of the page, `-n` on the n-th key of a slug."""
     page = F.col("confidence") >= options.min_confidence
     slug = T.slugify("key")
-    nth = F.row_number().over(Window.partitionBy(slug, page).orderBy("key"))
+    nth = F.row_number().over(Window.partitionBy(slug, page).orderBy(*order))
     rows = terms.withColumns({"slug": F.when(nth == 1, slug).otherwise(F.concat_ws("-", slug, nth)), "fate": F.when(page, "page").otherwise("withheld")})
     return rows.withColumn("slug", F.when(page, F.col("slug")))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names
@@ -233,3 +235,55 @@ def a09_display_form(t: Tables) -> DataFrame:
     rows = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "surface"))
     # (document, place) orders as the rank in the whole corpus would, without numbering it
     return terms.display_forms(rows.select(F.lower("surface").alias("key"), "surface", F.struct("doc_id", "i").alias("rank")))
+
+
+# The queries above read English documents alone, as their SQL does; these read all, language by language.
+
+
+def by_language(t: Tables, rows: Callable[[DataFrame, terms.TermOptions], DataFrame]) -> DataFrame:
+    """`rows` of the n-grams of each language, with its stopwords; one plan a language, of which a corpus has a few."""
+    out = None
+    for (lang,) in sorted(t.documents.select("lang").distinct().collect(), key=lambda r: (r[0] is None, r[0] or "")):
+        options = terms.TermOptions(stopwords=terms.STOPWORDS_OF.get(lang, ("",)))
+        found = terms.ngrams(terms.units(t.documents.where(F.col("lang").eqNullSafe(F.lit(lang)))), options)
+        some = rows(found, options).select(F.lit(lang).cast("string").alias("lang"), "*")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@query()
+def f02_singularize_whole(t: Tables) -> DataFrame:
+    words = t.documents.select(F.explode(F.regexp_extract_all(T.fold("text"), F.lit(T.WORD), F.lit(0))).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).select("w", T.singularize("w").alias("singular"), "n")
+
+
+@query()
+def l11_ngrams_whole(t: Tables) -> DataFrame:
+    by_key = by_language(t, lambda found, _: found.groupBy("words", "key").agg(F.count("*").alias("n")))
+    return by_key.groupBy("lang", F.col("words").cast("long").alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+@query()
+def a06_term_discovery_whole(t: Tables) -> DataFrame:
+    return by_language(t, terms.score_terms)
+
+
+@query()
+def l12_publish_terms_whole(t: Tables) -> DataFrame:
+    """Of two languages' keys of one slug the later language's takes the next number."""
+    return terms.published(by_language(t, terms.score_terms), order=("lang", "key")).select("lang", "key", "score", "confidence", "fate", "slug")
+
+
+@query()
+def o03_undefined_terms_whole(t: Tables) -> DataFrame:
+    """The 50 expressions of most files of each language."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("documents"), F.desc("occurrences"), "key")).cast("long")
+    rows = by_language(t, terms.score_terms).where("documents >= 5").withColumn("rank", rank)
+    return rows.where(F.col("rank") <= 50).select("lang", "key", "documents", "occurrences", "rank")
+
+
+@query()
+def a09_display_form_whole(t: Tables) -> DataFrame:
+    rows = t.documents.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("i", "surface"))
+    found = rows.select(F.struct("lang", F.lower("surface").alias("key")).alias("key"), "surface", F.struct("doc_id", "i").alias("rank"))
+    return terms.display_forms(found).select("key.lang", "key.key", "surface", "n")

@@ -118,6 +118,24 @@ def test_duplicates(spark):
     assert {(r.a, r.b): (r.root, r.verdict) for r in duplicates.resolved(scored).collect()} == {(1, 2): (1, "merged"), (2, 3): (1, "merged"), (1, 3): (1, "folded"), (4, 5): (None, "reported")}
 
 
+def test_terms_of_every_language(spark, tmp_path):
+    from sparkloom import plans
+
+    texts = {"en": "the Grand Robot of iron", "fr": "le Grand Robot de fer et l'Écran", "de": "der Grand Robot und Öl", None: "Grand Robot"}
+    rows = [(10 * n + i, text, lang) for n, (lang, text) in enumerate(texts.items()) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    keys = {(r.lang, r.key): (r.occurrences, r.documents) for r in run("a06_term_discovery_whole")}
+    assert {lang for lang, _ in keys} == {"en", "fr", "de", None} and set(keys.values()) == {(6, 6)}
+    assert ("fr", "robot de fer") in keys and ("fr", "le grand") not in keys and ("de", "der grand") not in keys and ("en", "the grand") not in keys
+    slugs = [r.slug for r in run("l12_publish_terms_whole") if r.slug]
+    assert len(slugs) == len(set(slugs))
+    assert {(r.lang, r.key, r.documents) for r in run("o03_undefined_terms_whole")} == {(*k, 6) for k in keys}
+    assert {(r.lang, r.key): (r.surface, r.n) for r in run("a09_display_form_whole")}["fr", "écran"] == ("Écran", 6)
+    assert {r.w: r.n for r in run("f02_singularize_whole")}["robot"] == 24
+    assert {r.lang: r.n for r in run("l11_ngrams_whole") if r.words == 1}["de"] == 6 * 2  # ol is too short
+
+
 def test_noisy_or_folds_all_evidence(spark, tmp_path):
     from sparkloom import plans
 
