@@ -8,24 +8,31 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: The whitespace of every contract: space and U+0009..U+000D; `bytes.split()` splits at exactly these.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _made: list[tuple[SparkSession, str]] = []
+#: Tables that the open `temporary` blocks hold.
+_open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; where that is unset, as in tests, a temporary one."""
+    """The folder all executors share: `spark.checkpoint.dir`; where that is unset, a temporary one for a local master.  On a
+    cluster without that setting it raises, as executors would write where nobody else reads."""
     conf = spark.sparkContext.getConf()
     if folder := conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*]+\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark.sparkContext, "_llm_shared_dir", None):
         spark.sparkContext._llm_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
         _made.append((spark, spark.sparkContext._llm_shared_dir))
@@ -57,20 +64,52 @@ def _clean() -> None:
             break
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: cuts the lineage, survives the loss of executors, is computed once."""
+def written(df: DataFrame, name: str, *, beyond: bool = False) -> DataFrame:
+    """`df` as a table in the shared folder: cuts the lineage, survives the loss of executors, is computed once.  beyond:
+    stays when the open `temporary` block ends."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._llm_path = path
+    if _open and not beyond:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that are `written` inside go at its end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for df in _open.pop():
+            drop(df)
+
+
+def named(*names: str) -> list[Column]:
+    """Columns by their names, whatever stands in these."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop(df: DataFrame) -> None:
     """Removes what `written` wrote; for tables that nothing lazy reads any more."""
     remove(df.sparkSession, df._llm_path)
 
 
+def with_fields(df: DataFrame, *fields: tuple[str, DataType]) -> StructType:
+    """The schema of `df` with further columns."""
+    return StructType([*df.schema.fields, *(StructField(n, t) for n, t in fields)])
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """The words `[^\\x20\\x09-\\x0D]+` in UTF-8; none for null."""
     if text is None:
@@ -114,34 +153,50 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
+#: Parts in which the neighbours of a node are dealt out, and edges that a task joins before it hands on their stars.
+SALTS, STAR_EDGES = 32, 1 << 19
+
+
+def lowest(edges: DataFrame) -> DataFrame:
+    """(a, b) with m, the least b of each a.  A hub's edges stay in SALTS parts: each part has its own minimum, and what
+    comes together by node is at most SALTS of them."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
+    nodes = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    return dealt.join(nodes.select("a", "m", F.explode("parts").alias("part")), ["a", "part"]).select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node long, root long): the smallest label reachable, for every node that has an edge.
 
     Each task first joins what it holds of the edges into stars, which takes long paths out of the graph.  Then it
-    alternates large-star and small-star steps: each is a minimum by key (combined before the shuffle) and an equi join
-    that adaptive execution may split where a hub is hot.  Each round is written to the shared folder; the driver sees
-    two numbers a round.  Null ends and loops are left out; no edges give no rows.
+    alternates large-star and small-star steps: each is a minimum by key (combined before the shuffle) and an equi join, both
+    over a hub's edges in parts.  Each round is written to the shared folder and the one before removed; the driver sees two
+    numbers a round.  Null ends and loops are left out; no edges give no rows.
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+
+        def out() -> pa.RecordBatch:
+            ends = list(forest.up)
+            return pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array(map(forest.root, ends), pa.int64())], ["a", "b"])
+
         for batch in batches:
-            forest = Forest()
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for x, y in zip(a, b):
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 forest.join(x, y)
-            ends = sorted({*a, *b})
-            roots = [forest.root(x) for x in ends]
-            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+            if len(forest.up) >= STAR_EDGES:
+                yield out()
+                forest = Forest()
+        yield out()
 
     local = edges.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(stars, "a long, b long")
-    now = written(local.where("a > b").distinct(), "cc")
+    now = written(local.distinct(), "cc")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        large = lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = lowest(large)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a > b").distinct()
         new = written(small, "cc")
         was, state = state, new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

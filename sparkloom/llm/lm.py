@@ -8,7 +8,8 @@ its tokens, and those predictions, summed by bucket over the whole part, are wha
 Counts cover all training documents.  Texts become blocks of at most `BLOCK` tokens, each with its words' 64-bit hashes.
 A block sends the sorted hashes of its distinct words and bigrams, with their counts, once to the buckets of the hash
 space; a bucket adds up what it gets and answers each block in the same order.  So what is dealt out are sums over a block,
-never a frequent word's occurrences, and blocks and buckets have bounded size.
+never a frequent word's occurrences, and blocks and buckets have bounded size.  A block asks only the buckets that hold
+some of its hashes, so requests are never more rows than the blocks' distinct words and bigrams.
 """
 
 from __future__ import annotations
@@ -118,10 +119,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, BLOCKS)
 
 
-def slices(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The edges of the buckets in sorted hashes."""
-    edges = [-(-(b << 64) // buckets) for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)]]).astype(np.int64)
+def slices(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of the buckets that hold some of the sorted hashes."""
+    own = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    return zip(own[starts].astype(np.int64).tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)])
 
 
 REQUEST = "order int, bucket int, block long, kind int, hashes binary, counts binary"
@@ -142,9 +144,9 @@ def requests(made: DataFrame, buckets: int) -> DataFrame:
                 n[block.vocabulary == START] = begun
                 pairs, place = block.bigrams()
                 for order, hashes, counts in ((1, block.vocabulary, n), (2, pairs, np.bincount(place, minlength=len(pairs)))):
-                    edges = slices(hashes, buckets)
-                    out = [(order, i, b["block"], b["kind"], hashes[x:y].astype("<u8").tobytes(), small(counts[x:y]) if b["kind"] < 2 else b"") for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out = [(order, i, b["block"], b["kind"], hashes[x:y].astype("<u8").tobytes(), small(counts[x:y]) if b["kind"] < 2 else b"") for i, x, y in slices(hashes, buckets)]
+                    for at in range(0, len(out), 4096):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096]), types)], names)
 
     return made.mapInArrow(run, REQUEST)
 

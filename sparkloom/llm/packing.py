@@ -4,8 +4,7 @@ Documents become pieces of at most `capacity` tokens.  Pieces are dealt over par
 decreasing.  For each partition the largest of the lower bounds that dual feasible functions give certifies its number of
 bins; it is taken before rounding up, as a part of a bin that one partition must waste can be filled from another.
 Partitions with a gap between the two exchange documents: those of their bins that are not full are pooled over all such
-partitions, dealt anew over fewer, and packed again, until no gap is left, an exchange wins nothing or a single pool has
-been packed.
+partitions, dealt anew, and packed again, until no gap is left, an exchange wins too little or a single pool has been packed.
 """
 
 from __future__ import annotations
@@ -41,20 +40,46 @@ class ByteBPE:
     def __init__(self, text: str) -> None:
         self.text = text
         spec = json.loads(text)
-        byte = {c: b for b, c in enumerate(byte_symbols())}
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks(spec), special_tokens=special(spec)) if plain(spec) else None
         self.exact: Tokenizer | None = None
 
     def encode(self, text: str) -> list[int]:
-        try:
-            return self.fast.encode(text, allowed_special="all", disallowed_special=())
-        except BaseException as e:  # the pattern's stack ends at about a million equal white spaces: a Rust panic
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            self.exact = self.exact or Tokenizer.from_str(self.text)
-            return self.exact.encode(text, add_special_tokens=False).ids
+        if self.fast is not None:
+            try:
+                return self.fast.encode(text, allowed_special="all", disallowed_special=())
+            except BaseException as e:  # the pattern's stack ends at about a million equal white spaces: an error or a panic of the library
+                if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
+                    raise
+        self.exact = self.exact or Tokenizer.from_str(self.text)
+        return self.exact.encode(text, add_special_tokens=False).ids
+
+
+def special(spec: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in spec["added_tokens"]}
+
+
+def ranks(spec: dict) -> dict[bytes, int]:
+    byte, added = {c: b for b, c in enumerate(byte_symbols())}, special(spec)
+    return {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+
+
+def plain(spec: dict) -> bool:
+    """Whether a file says what tiktoken does: byte-level BPE with PATTERN, no normalizer, special tokens as they stand, and
+    ids in the order of the merges.  Any other file is left to its library."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "unk_token")):
+        return False
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        return False
+    vocab, added = model["vocab"], special(spec)
+    symbols = set(byte_symbols())
+    if not all(set(token) <= symbols for token in vocab if token not in added):
+        return False
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    single = [i for token, i in vocab.items() if len(token) == 1]
+    return made == sorted(set(made)) and len(single) == 256 and (not made or made[0] > max(single)) and len(made) + len(single) + sum(t in vocab for t in added) == len(vocab)
 
 
 @lru_cache(maxsize=2)
@@ -159,29 +184,31 @@ def packed(part: DataFrame, round_: int, capacity: int) -> DataFrame:
     return part.groupBy("part").applyInPandas(run, schema)
 
 
-def pack(found: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIECES) -> DataFrame:
+def pack(found: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIECES, least_gain: float = 0.001) -> DataFrame:
     """`found` (doc_id, piece, length, ids_crc32 and more) with sequence_id and offset: sequences of at most `capacity`
     tokens, filled from 0 without gaps.
 
-    Every row is placed, repeated ones as rows of their own.  No rows give no rows.
+    Pieces are dealt at random over enough partitions that none gets many more than `per_partition`, in every round.  The
+    exchange ends when no partition has a gap or a round wins less than `least_gain` of the open bins.  Every row is placed,
+    repeated ones as rows of their own.  No rows give no rows; old columns called sequence_id or
+    offset are replaced, and part, free, bins and bound left out.
     """
-    names = [c for c in found.columns if c not in ("part", "sequence_id", "offset")]
+    names = [c for c in found.columns if c.lower() not in ("part", "sequence_id", "offset", "free", "bins", "bound")]
     rest, done = written(found.select(*names), "pieces"), None
     count, open_, bins = rest.count(), None, 0
-    parts = max(1, -(-count // per_partition))
     for round_ in range(100):
+        parts = max(1, -(-count // per_partition))
         # the row's place in the written table deals repeated rows apart
         seeded = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(round_)), F.lit(parts)).cast("int")
         now = written(packed(rest.select(*names, seeded.alias("part")), round_, capacity), "packed")
         made = now.groupBy("part").agg(F.max("bins").alias("n")).agg(F.sum("n")).first()[0] or 0
         if open_ is not None and made >= bins:  # the exchange has won nothing: the bins stay as they were
             return done.unionByName(open_)
-        gap = (F.col("bins") > F.col("bound") + 1e-9) & (F.col("free") > 0) & F.lit(parts > 1)
+        gap = (F.col("bins") > F.col("bound") + 1e-9) & (F.col("free") > 0) & F.lit(parts > 1 and (open_ is None or bins - made > least_gain * bins))
         final = now.where(~gap).select(*names, "sequence_id", "offset")
         done = final if done is None else done.unionByName(final)
         rest = open_ = now.where(gap).select(*names, "sequence_id", "offset")
         count, bins = open_.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         if not count:
             return done
-        parts = max(1, min(parts // 2, -(-count // per_partition)))
     return done.unionByName(open_)

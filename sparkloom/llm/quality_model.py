@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from sparkloom.llm.common import utf8, written
+from sparkloom.llm.common import fresh, utf8, with_fields, written
 
 #: Labelled rows that the fit uses at most; the fit is on the driver.
 MAX_ROWS = 20_000
@@ -152,16 +153,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int =
 def score(docs: DataFrame, trees: Trees, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with the probability of label 1 of each whole text.  Null and empty texts have statistics of zero and are
     scored as such; all rows and columns come back, an old score replaced."""
-    rest = docs.drop(score_col).withColumn("_utf8", F.col(text_col).cast("string").cast("binary"))
+    held = fresh(docs, "_utf8")
+    rest = docs.withColumn(held, F.col(text_col).cast("string").cast("binary")).drop(score_col)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column("_utf8")], float).reshape(-1, len(FEATURES))
+            x = np.array([statistics(t.as_py()) for t in batch.columns[-1]], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sent.value.probability(x))], [*batch.schema.names[:-1], score_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.drop("_utf8").schema), f"`{score_col}` double"])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(run, with_fields(rest.drop(held), (score_col, DoubleType())))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: float = 0.3, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType
 
-from sparkloom.llm.common import LOWER, utf8
+from sparkloom.llm.common import LOWER, fresh, with_fields
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 LOST = 2  # a document is rejected when it keeps less than one word of so many
@@ -28,16 +29,26 @@ SYMBOLS = "#*$%&|<>"
 ENDS = "…|[.!?:;][\"”»')\\]]*([\\x20\\x09-\\x0D]|$)"
 RUNS = "[#*$%&]{2,}|!{2,}"
 SEPARATORS = "[|»·•]"
+#: Phrases of licences, consent and sites in the corpus' languages, A-Z in lower case; a project passes its own.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "this work is licensed", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "uses cookies", "accept cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "sign up for our newsletter",
     "subscribe to our", "click here to", "skip to content", "powered by wordpress",
+    "alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerkl", "verwendet cookies", "cookies akzeptieren", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialit", "utilise des cookies", "accepter les cookies", "aller au contenu",
+    "todos los derechos reservados", "con licencia", "términos de uso", "política de privacidad", "utiliza cookies", "aceptar cookies", "saltar al contenido",
 )
 
 _separators = re.compile(SEPARATORS)
 _runs = re.compile(RUNS.encode())
 _ends = re.compile(ENDS.replace("[\"”»')\\]]", "(?:[\"')\\]]|”|»)").encode())
-_boilerplate = re.compile(b"|".join(p.encode() for p in BOILERPLATE))
+
+
+def phrases(listed: tuple[str, ...]) -> re.Pattern[bytes] | None:
+    return re.compile(b"|".join(re.escape(p.encode()) for p in listed)) if listed else None
+
+
+_boilerplate = phrases(BOILERPLATE)
 _symbols = [s.encode() for s in SYMBOLS]
 _space = [bytes([c]) for c in b" \t\n\v\f\r"]
 
@@ -75,17 +86,17 @@ def repeated_words(parts: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def line_fails(line: bytes, n: int) -> bool:
+def line_fails(line: bytes, n: int, boilerplate: re.Pattern[bytes] | None = _boilerplate) -> bool:
     """Whether a line of `n` words fails on its own; one that repeats an earlier line fails besides."""
     separators = line.count(b"|") + (len(_separators.findall(line.decode("utf-8", "replace"))) - line.count(b"|") if b"\xc2" in line or b"\xe2" in line else 0)
     if separators >= 3 and 10 * separators >= n:
         return True
     if 5 * len(_runs.findall(line)) > n or not _ends.search(line):
         return True
-    return _boilerplate.search(line.translate(LOWER)) is not None
+    return boilerplate is not None and boilerplate.search(line.translate(LOWER)) is not None
 
 
-def judge(text: bytes | None) -> Verdict:
+def judge(text: bytes | None, boilerplate: re.Pattern[bytes] | None = _boilerplate) -> Verdict:
     """Null is a text without words: it fails the document rules."""
     text = text or b""
     parts = text.split()
@@ -102,7 +113,7 @@ def judge(text: bytes | None) -> Verdict:
             dups += 1
             continue
         seen.add(line)
-        if not line_fails(line, m):
+        if not line_fails(line, m, boilerplate):
             kept.append(line)
             kept_words += m
     repeats = repeated_words(parts)
@@ -118,29 +129,31 @@ def continuation(text: bytes) -> int:
 FIELDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept_words": "long", "kept": "boolean", "clean_text": "string"}
 
 
-def clean_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def clean_lines(docs: DataFrame, *, boilerplate: tuple[str, ...] = BOILERPLATE, text_col: str = "text") -> DataFrame:
     """`docs` with the counts, base_failed (document rules), kept_words, kept and clean_text (the lines that pass, and
     those without words) of each whole text.
 
     All rows come back, repeated and null ones too; null and empty texts have no words and are not kept; columns of `docs`
     with the new names are replaced.
     """
-    rest = docs.drop(*FIELDS)
-    rest = rest.withColumn("_utf8", F.col(text_col).cast("string").cast("binary"))
+    held = fresh(docs, "_utf8")
+    rest = docs.withColumn(held, F.col(text_col).cast("string").cast("binary")).drop(*FIELDS)
+
+    listed = phrases(boilerplate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*(judge(t.as_py()) for t in batch.column("_utf8")))) or [()] * len(FIELDS)
+            found = list(zip(*(judge(t.as_py(), listed) for t in batch.columns[-1]))) or [()] * len(FIELDS)
             types = {"long": pa.int64(), "boolean": pa.bool_()}
             new = [pa.array(c, types[t]) if t in types else pa.array(c, pa.binary()) for c, t in zip(found, FIELDS.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *FIELDS])
 
-    binary = ", ".join(f"{k} {'binary' if t == 'string' else t}" for k, t in FIELDS.items())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.drop("_utf8").schema), binary])
+    types = {"long": LongType(), "boolean": BooleanType(), "string": BinaryType()}
+    schema = with_fields(rest.drop(held), *((n, types[t]) for n, t in FIELDS.items()))
     return rest.mapInArrow(run, schema).withColumn("clean_text", F.col("clean_text").cast("string"))
 
 
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
 ORACLE_SQL = f"""
 with docs as (

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import fresh, named, written
 
 FIRST_BITS, MORE_BITS = 12, 8
 LOW = -(2**63)
@@ -114,10 +114,9 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, *, tolerance: float = 0.002,
     of `df` called size, shard or slot are replaced.
     """
     dim = F.col(text_col)
-    keyed = df.drop("size", "shard", "slot")
     size = F.coalesce(F.octet_length(dim), F.lit(0)).cast("long") + overhead
     h, i = F.xxhash64(dim), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW).cast("long"))
-    keys = written(keyed.select(h.alias("h"), i.alias("i"), size.alias("size")), "shard-keys")
+    keys = written(df.select(h.alias("h"), i.alias("i"), size.alias("size")), "shard-keys")
     cuts = splitters(keys, shards, tolerance)
     # the shard is the number of splitters at or before the key
     at = lambda h, i: reduce(lambda a, b: a + b, (F.when((h > c[0]) | ((h == c[0]) & (i >= c[1]) if c[1] < 2**63 else F.lit(False)), 1).otherwise(0) for c in cuts), F.lit(0))
@@ -126,11 +125,12 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, *, tolerance: float = 0.002,
     run = lambda h, i: top(h, 10) * 16 + F.pmod(F.xxhash64(i), F.lit(16))
     runs = keys.groupBy(at(F.col("h"), F.col("i")).alias("shard"), run(F.col("h"), F.col("i")).alias("run")).count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    base = runs.select("shard", F.col("run").alias("_run"), F.coalesce(before, F.lit(0)).alias("_base"))
-    own = {"_h": h, "_i": i, "size": size}
-    out = keyed.withColumns(own).withColumns({"shard": at(F.col("_h"), F.col("_i")), "_run": run(F.col("_h"), F.col("_i"))})
-    order = Window.partitionBy("shard", "_run").orderBy("_h", "_i")
-    out = out.withColumn("_n", F.row_number().over(order).cast("long") - 1)
-    out = out.join(F.broadcast(base), ["shard", "_run"])  # at most 16 * (1024 + shards) rows
-    names = [c for c in df.columns if c not in ("size", "shard", "slot")]
-    return out.select(*names, "size", "shard", (F.col("_n") + F.col("_base")).alias("slot"))
+    hash_, id_, run_, base_, n_, size_, shard_ = (fresh(df, c) for c in ("_h", "_i", "_run", "_base", "_n", "_size", "_shard"))
+    base = runs.select(F.col("shard").alias(shard_), F.col("run").alias(run_), F.coalesce(before, F.lit(0)).alias(base_))
+    out = df.withColumns({hash_: h, id_: i, size_: size})
+    out = out.withColumns({shard_: at(F.col(hash_), F.col(id_)), run_: run(F.col(hash_), F.col(id_))})
+    order = Window.partitionBy(shard_, run_).orderBy(hash_, id_)
+    out = out.withColumn(n_, F.row_number().over(order).cast("long") - 1)
+    out = out.join(F.broadcast(base), [shard_, run_])  # at most 16 * (1024 + shards) rows
+    names = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
+    return out.select(*named(*names), F.col(size_).alias("size"), F.col(shard_).alias("shard"), (F.col(n_) + F.col(base_)).alias("slot"))

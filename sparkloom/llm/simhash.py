@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, Forest, connected_components, spanning, utf8, words, written
+from sparkloom.llm.common import LOWER, SALTS, Forest, connected_components, fresh, named, spanning, temporary, utf8, words, written
 
 SEED = 42
 #: Homes of one anchor that one task compares; beyond it the anchor is dealt over several.
@@ -86,11 +86,20 @@ class AnchorCode:
                 patterns[syndrome].append(sum(1 << bit for bit in bits))
         self.patterns = [np.array(x, dtype=np.uint64) for x in patterns]
 
+    def syndrome(self, block: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(block), np.uint64)
+        for bit in range(self.n):
+            out ^= ((block >> np.uint64(bit)) & np.uint64(1)) * np.uint64(bit + 1)
+        return out
+
+    def home(self, block: np.ndarray) -> np.ndarray:
+        """The nearest anchor: the bit that the syndrome names is turned."""
+        s = self.syndrome(block)
+        return block ^ np.where(s > 0, np.uint64(1) << (np.maximum(s, np.uint64(1)) - np.uint64(1)), np.uint64(0))
+
     def anchors(self, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(row numbers, their anchors within reach as a matrix, the column of the home)."""
-        syndrome = np.zeros(len(block), np.uint64)
-        for bit in range(self.n):
-            syndrome ^= ((block >> np.uint64(bit)) & np.uint64(1)) * np.uint64(bit + 1)
+        syndrome = self.syndrome(block)
         for s, patterns in enumerate(self.patterns):
             rows = np.flatnonzero(syndrome == s)
             home = np.uint64(1 << (s - 1) if s else 0)
@@ -104,6 +113,20 @@ def covering(threshold: int, blocks: int) -> list[tuple[int, AnchorCode]]:
     return [(i * width, AnchorCode(width, 1 + threshold // blocks)) for i in range(blocks)]
 
 
+def hot_anchors(fps: DataFrame, threshold: int, blocks: int) -> DataFrame:
+    """(anchor, parts) of the anchors that are home to over HOMES fingerprints; a row a block goes into the count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, (low, code) in enumerate(covering(threshold, blocks)):
+                key = code.home((fp >> np.uint64(low)) & np.uint64((1 << code.width) - 1)) | np.uint64(i << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64))], ["anchor"])
+
+    homes = fps.select("fp").mapInArrow(run, "anchor long").groupBy("anchor").count().where(F.col("count") > HOMES)
+    return homes.select("anchor", F.ceil(F.col("count") / HOMES).cast("int").alias("parts"))
+
+
 def replicate(fps: DataFrame, threshold: int, blocks: int) -> DataFrame:
     """(fp) -> (anchor long, fp, home boolean), a row for each anchor within reach."""
 
@@ -156,8 +179,7 @@ def links(fps: DataFrame, threshold: int = 3, blocks: int = 2) -> DataFrame:
     """(fp long, distinct) -> (a, b): pairs that differ in at most `threshold` bits, enough of them to connect all that
     such pairs connect."""
     every = replicate(fps, threshold, blocks)
-    hot = replicate(fps, threshold, blocks).where("home").groupBy("anchor").count().where(F.col("count") > HOMES)
-    hot = hot.select("anchor", F.ceil(F.col("count") / HOMES).cast("int").alias("parts"))
+    hot = hot_anchors(fps, threshold, blocks)
     part = F.when(F.col("home"), F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.array(F.lit(-1)))
     dealt = every.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", part.getItem(0))
     dealt = dealt.select("anchor", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -220,13 +242,29 @@ def bands(h: np.ndarray) -> np.ndarray | None:
     return np.array(keys, np.uint64).view(np.int64)
 
 
+#: A band that seems to hold over HOT texts, by one text in GLIMPSE, is chained in parts.
+HOT, GLIMPSE = 2000, 64
+
+
+def chained(keyed: DataFrame) -> DataFrame:
+    """(key, b) -> (a, b): each text and the one before it in a band, which connects the band without its pairs.  Hot bands
+    are chained in SALTS parts, and then the first texts of the parts; a band not known as hot only takes one part more."""
+    some = keyed.where(F.pmod(F.xxhash64("b"), F.lit(GLIMPSE)) == 0).groupBy("key").count()
+    hot = written(some.where(F.col("count") * GLIMPSE > HOT).select("key", F.lit(True).alias("hot")), "near-hot")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = keyed.join(hot, "key", "left").withColumn("part", part)
+    heads = dealt.where("hot").groupBy("key", "part").agg(F.min("b").alias("b"))
+    before = lambda rows, *by: rows.withColumn("a", F.lag("b").over(Window.partitionBy(*by).orderBy("b"))).where("a is not null").select("a", "b")
+    return before(dealt, "key", "part").unionByName(before(heads, "key"))
+
+
 #: Texts of one group that a task holds on either side when it compares them.
 CELL = 256
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row, _keeper) for each row of `docs` that a row kept instead stands for; `_row` is monotonically_increasing_id()
-    over `docs`, which must be a table.
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_row, _keeper) for each row of `docs` that a row kept instead stands for.  Rows go by `row_col`, distinct longs that
+    the table holds: numbers made anew for each reading would change with the number of cores at that moment.
 
     Two texts are near copies if the Jaccard similarity of their sets of `k`-word shingles (A-Z lower-cased; fewer words:
     the whole sequence) is `similarity` or more; groups are the connected components, and the row of the smallest id stays
@@ -234,7 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_
     pairs of different texts not yet connected are compared exactly, in cells of bounded size where a component is large.
     Null and empty texts are copies of one another.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+    numbered = docs.select(F.col(row_col).alias("_row"), F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     kind = numbered.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     texts = written(rows.groupBy("content").agg(F.min(first).alias("first")).withColumn("node", F.col("first._row")), "near-texts")
     keyed = rows.join(texts.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("b"), F.explode("bands").alias("key"))
-    # each text and the one before it in a band: enough to connect the band, and nothing holds it as a whole
-    edges = keyed.withColumn("a", F.lag("b").over(Window.partitionBy("key").orderBy("b"))).where("a is not null").select("a", "b")
-    candidates = connected_components(edges)
+    candidates = connected_components(chained(keyed))
     sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
     members = written(candidates.join(sizes, "root").select(F.col("node").alias("_row"), "root", "cells"), "near-members")
     verified = _verified(numbered.select("_row", "text").join(members, "_row"), k, similarity)
@@ -323,6 +359,11 @@ def _verified(members: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` (a table) with one row of each group of `near_duplicates`; all columns."""
-    gone = written(near_duplicates(docs, k, similarity, id_col=id_col, text_col=text_col).select("_row"), "near-gone")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    """`docs` with one row of each group of `near_duplicates`; all columns.
+
+    The rows are numbered once, in a stored copy that every later step reads."""
+    row = fresh(docs, "_row")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    with temporary():
+        gone = written(near_duplicates(held, k, similarity, row_col=row, id_col=id_col, text_col=text_col).select(F.col("_row").alias(row)), "near-gone", beyond=True)
+    return held.join(gone, row, "left_anti").select(named(*docs.columns))

@@ -4,8 +4,8 @@ A host's key is its labels in reverse order, so a rule's host and all its subdom
 urls are range partitioned and sorted by key; beside them runs the sorted list of rules, and a stack holds the rules whose
 intervals are open, the innermost on top.  Each url takes the longest of the open rules whose path starts its path.
 
-The rules are an argument, not a table: they are sent to the tasks in blocks of at most `RULES_A_SWEEP`, and more rules
-take more sweeps over the same sorted partitions, each keeping the longer of its own and the earlier match.
+The rules are an argument, not a table: they are sent to the tasks in blocks of at most `RULES_A_SWEEP` and `RULE_BYTES`, and more
+rules take more sweeps over the same sorted partitions, each keeping the longer of its own and the earlier match.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULES_A_SWEEP = 50_000
-LIMIT_BYTES = 16 << 20
+#: Rules of a sweep, by number and by bytes (a longer one goes alone).
+RULES_A_SWEEP, RULE_BYTES = 50_000, 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -96,10 +96,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, defau
     fitting rule `rule` is null and the verdict is `default`.  Null urls and those without `://` have empty host and path
     and fit no rule with a host.  Repeated rows come back repeated, null ids stay; other columns are not read.
     """
-    listed = [Rule(*r) for r in rules]
-    blocks = [listed[i : i + RULES_A_SWEEP] for i in range(0, len(listed), RULES_A_SWEEP)] or [[]]
-    if any(sum(len(r.host) + len(r.path) for r in block) > LIMIT_BYTES for block in blocks):
-        raise ValueError("rules of more than 300 characters on average: they would not fit a task's share")
+    blocks: list[list[Rule]] = [[]]
+    size = 0
+    for rule in (Rule(*r) for r in rules):
+        own = len(rule.name.encode())
+        if blocks[-1] and (len(blocks[-1]) >= RULES_A_SWEEP or size + own > RULE_BYTES):
+            blocks.append([])
+            size = 0
+        blocks[-1].append(rule)
+        size += own
     url = F.col(url_col).cast("string")
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = urls.withColumn("key", F.reverse(F.split("host", r"\."))).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
