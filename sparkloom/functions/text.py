@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache, reduce
 
@@ -75,8 +76,17 @@ def search_tokens(text: Column | str, least: int = 2) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda w: F.length(w) >= least)))
 
 
+def fnv1a(text: Column | str) -> Column:
+    """The 32-bit FNV-1a hash of a text's code points, as eight hex digits."""
+    codes = F.transform(F.filter(F.split(col(text), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32))
+    return F.lpad(F.lower(F.hex(F.aggregate(codes, F.lit(2166136261).cast("long"), step))), 8, "0")
+
+
 def slugify(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Letters and digits of ASCII, any other run one `-`; `u` and a hash where nothing is left of a text."""
+    slug = F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(slug == "", F.concat(F.lit("u"), fnv1a(text))).otherwise(slug)
 
 
 def comparison_key(text: Column | str) -> Column:
@@ -93,6 +103,22 @@ def context_around(text: Column | str, start: Column, end: Column, width: int =
     return F.concat(F.when(low > 0, "…").otherwise(""), F.substring(t, low + 1, high - low), F.when(high < F.length(t), "…").otherwise(""))
 
 
+def with_code(text: Column | str, code: Column | str) -> Column:
+    """A unit's text with its inline code put back: `code` (array<struct<at:int,text:string>>) in order of its places, which
+    count the characters of the text without it."""
+    step = lambda s, c: F.struct(F.concat(s["out"], F.substring(col(text), s["at"] + 1, c["at"] - s["at"]), F.lit("`"), c["text"], F.lit("`")).alias("out"), c["at"].alias("at"))
+    end = lambda s: F.concat(s["out"], F.substring(col(text), s["at"] + 1, F.length(col(text)) - s["at"]))
+    return F.aggregate(col(code), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, end)
+
+
+def occurrence_context(text: Column | str, code: Column | str, start: Column, end: Column, width: int = 80) -> Column:
+    """`context_around` a span of a unit's text as it was written, inline code included: the span moves by the code before
+    its ends."""
+    shift = lambda at: F.aggregate(col(code), F.lit(0), lambda n, c: n + F.when(c["at"] < at, F.length(c["text"]) + 2).otherwise(0))
+    inner = F.aggregate(col(code), F.lit(0), lambda n, c: n + F.when(c["at"] <= start, F.length(c["text"]) + 2).otherwise(0))
+    return context_around(with_code(text, code), start + inner, end + shift(end), width)
+
+
 def excerpt(text: Column | str, most: int) -> Column:
     """Cut at the last word that ends within `most` characters."""
     t = col(text)
@@ -115,10 +141,11 @@ def letter_of(title: Column | str) -> Column:
     return F.when(first.rlike("^[A-Z]$"), first).otherwise("#")
 
 
-def numeric_key(text: Column | str, digits: int = 12) -> Column:
-    """A sort key under which runs of digits compare as numbers."""
-    padded = F.regexp_replace(fold(text), r"(\d+)", "0" * digits + "$1")
-    return F.regexp_replace(padded, rf"\d*(\d{{{digits}}})", "$1")
+def numeric_key(text: Column | str) -> Column:
+    """A sort key under which runs of digits compare as numbers, of whatever length: each is led by the number of its digits."""
+    runs = F.regexp_extract_all(fold(text), F.lit(r"\d+|\D+"), F.lit(0))
+    bare = lambda r: F.regexp_replace(r, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(r)).cast("string"), 5, "0"), bare(r))).otherwise(r)), "")
 
 
 def directory_proximity(a: Column | str, b: Column | str) -> Column:
@@ -137,11 +164,33 @@ def cue_seconds(time: Column | str) -> Column:
     return F.coalesce(part(1).try_cast("double"), F.lit(0.0)) * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double")
 
 
+def date_of(written: Column | str, path: Column | str) -> Column:
+    """The ISO day of a date attribute, else of the file's name where it begins or ends with one; null for neither."""
+    iso = r"(\d{4}-\d{2}-\d{2})"
+    name = F.regexp_extract(col(path), r"([^/]*)$", 1)
+    found = F.coalesce(F.nullif(F.regexp_extract(col(written), "^" + iso, 1), F.lit("")), F.nullif(F.regexp_extract(name, iso, 1), F.lit("")))
+    return F.when(found.try_cast("date").isNotNull(), found)
+
+
 def timecode(seconds: Column | str) -> Column:
     s = col(seconds)
-    return F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600).cast("int"), F.floor(F.pmod(s, F.lit(3600.0)) / 60).cast("int"), F.pmod(s, F.lit(60.0)))
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600).cast("int"), F.floor(F.pmod(s, F.lit(3600.0)) / 60).cast("int"), F.pmod(s, F.lit(60.0))))
 
 
 def round4(x: Column) -> Column:
     """Half up to four decimals, as floor(x * 10000 + 0.5) / 10000."""
     return F.floor(x * 10000 + 0.5) / F.lit(10000.0)
+
+
+def normal_question(text: str) -> str:
+    """A question's words as the index holds them: folded, white space collapsed, trimmed."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M"))
+    for c in APOSTROPHES:
+        bare = bare.replace(c, "'")
+    return " ".join(bare.lower().split())
+
+
+def question_words(text: str, least: int = 2) -> list[str]:
+    """The words of a question without what stands about them, of at least `least` characters, each once, in order."""
+    words = (re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in normal_question(text).split(" "))
+    return list(dict.fromkeys(w for w in words if len(w) >= least))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import stored
+
 
 def listed(entities: DataFrame, **wanted: str | int) -> DataFrame:
     """Entities that meet all of the equalities."""
@@ -34,10 +39,34 @@ def recent(rows: DataFrame, date: str, since: str, *order: str) -> DataFrame:
 
 
 def bounded(rows: DataFrame, by: list[str], order: list[Column | str], most: int) -> DataFrame:
-    """The first `most` rows of each group, with the number of those left out as `more`."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    total = F.count("*").over(Window.partitionBy(*by))
-    return rows.withColumns({"place": place, "more": F.greatest(F.lit(0), total - most)}).where(F.col("place") <= most)
+    """The first `most` rows of each group, with the number of those left out as `more`.  The first ones are chosen before
+    anything is shuffled, and the counts are sums, so a large group meets no task as a whole."""
+    total = rows.groupBy(*by).agg(F.greatest(F.lit(0), F.count("*") - most).alias("more"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    total = total.select(*(F.col(c).alias(f"_{c}") for c in by), "more")
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return first.join(total, on).drop(*(f"_{c}" for c in by))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """Rows with their place (from 1) in their group; `order` (columns, with a leading - for falling ones) tells all rows of
+    a group apart.  Rows are range partitioned by group and order, counted by partition, and numbered behind those before:
+    a group of any size is numbered by as many tasks as it fills."""
+    keys = [*(F.col(c) for c in by), *(F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in order)]
+    part, ahead = "_part", "_ahead"
+    held = stored(rows.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()))
+    counts = held.groupBy(*by, part).agg(F.count("*").alias(name))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(part).alias("_at"), F.coalesce(F.sum(name).over(before), F.lit(0)).alias(ahead))
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col(part) == F.col("_at"))
+    nth = F.row_number().over(Window.partitionBy(*by, part).orderBy(*keys[len(by) :]))
+    return held.withColumn(name, nth).join(counts, on).withColumn(name, F.col(name) + F.col(ahead)).select(*rows.columns, name)
+
+
+def changed_with(rows: DataFrame, commit: list[str], key: str, value: int | str) -> DataFrame:
+    """The other rows that changed in the commit of the row whose `key` is `value`."""
+    own = rows.where(F.col(key) == F.lit(value)).select(*commit).distinct()
+    return rows.join(own, commit, "left_semi").where(F.col(key) != F.lit(value))
 
 
 def dormant(rows: DataFrame, key: str, date: Column, at: str, thresholds: dict[str, int], default: int = 180) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import round4
+from sparkloom.functions.text import normalize, round4
 
 GLOSSARY = "glossary_occurrence"
 BONUS, CAP = 0.05, 0.95
@@ -63,6 +63,63 @@ def cooccurrence_links(neighbours: DataFrame, confidence: float = 0.4) -> DataFr
     return pair.agg(F.max("n").alias("n")).withColumn("confidence", F.lit(confidence))
 
 
+def mention_links(found: DataFrame, entities: DataFrame, sections: DataFrame, allowed: DataFrame, *, undirected: tuple[str, ...] = ("related",), section: float = 0.7, base: float = 0.6) -> DataFrame:
+    """(from, to, relation, method, confidence, path, line, section) for each mention of an entity in another's file.
+
+    found: (path, line, section, target, confidence); entities: (id, type, path); sections: (type, heading (folded), name,
+    relation, inverse), the sections that a type's profile maps; allowed: (relation, from_type, to_type).  A mention in a
+    mapped section whose relation the pair of types allows carries that relation, turned round where it is inverse; any
+    other is `related` at its own confidence.  Undirected relations go from the smaller id."""
+    at = entities.select(F.col("path"), F.col("id").alias("own"), F.col("type").alias("own_type"))
+    named = entities.select(F.col("id").alias("target"), F.col("type").alias("target_type"))
+    rows = found.join(at, "path").join(named, "target").where(F.col("own") != F.col("target"))
+    maps = sections.select(F.col("type").alias("own_type"), F.col("heading").alias("_h"), "name", F.col("relation").alias("produced"), "inverse")
+    rows = rows.withColumn("_h", normalize("section")).join(maps, ["own_type", "_h"], "left")
+    turned = F.coalesce(F.col("inverse"), F.lit(False))
+    rows = rows.withColumns({"_f": F.when(turned, F.col("target_type")).otherwise(F.col("own_type")), "_t": F.when(turned, F.col("own_type")).otherwise(F.col("target_type"))})
+    fits = allowed.select(F.col("relation").alias("produced"), F.col("from_type").alias("_f"), F.col("to_type").alias("_t"), F.lit(True).alias("_ok")).distinct()
+    rows = rows.join(fits, ["produced", "_f", "_t"], "left")
+    ok = F.coalesce(F.col("_ok"), F.lit(False))
+    relation = F.when(ok, F.col("produced")).otherwise("related")
+    a, b = F.when(ok & turned, F.col("target")).otherwise(F.col("own")), F.when(ok & turned, F.col("own")).otherwise(F.col("target"))
+    swap = relation.isin(*undirected) & (b < a)
+    return rows.select(
+        F.when(swap, b).otherwise(a).alias("from"), F.when(swap, a).otherwise(b).alias("to"), relation.alias("relation"),
+        F.when(ok, "section_mention").otherwise(GLOSSARY).alias("method"), F.when(ok, F.lit(section)).otherwise(F.coalesce("confidence", F.lit(base))).alias("confidence"),
+        "path", "line", F.when(ok, F.col("name")).alias("section"),
+    )
+
+
+def keyword_neighbours(occurrences: DataFrame, keywords: DataFrame, k: int = 50, most: int = 200) -> DataFrame:
+    """(id, neighbour, n, rank) of the keywords (paragraph, id): what is named in the paragraphs where each is read, other
+    keywords included; paragraphs without a keyword are left out before anything is paired."""
+    shared = occurrences.select("paragraph", "id").join(keywords.select("paragraph").distinct(), "paragraph", "left_semi")
+    found = cooccurrences(shared.unionByName(keywords.select("paragraph", "id")), k, most)
+    return found.join(keywords.select("id").distinct(), "id", "left_semi")
+
+
+def linked_to(links: DataFrame, entity: int | str, direction: str | None = None, relation: str | None = None) -> DataFrame:
+    """(id, relation, direction, confidence, methods): what is linked to an entity at either end."""
+    out = links.where(F.col("from") == F.lit(entity)).select(F.col("to").alias("id"), "relation", F.lit("out").alias("direction"), "confidence", "methods")
+    in_ = links.where((F.col("to") == F.lit(entity)) & (F.col("from") != F.lit(entity))).select(F.col("from").alias("id"), "relation", F.lit("in").alias("direction"), "confidence", "methods")
+    rows = out.unionByName(in_)
+    rows = rows.where(F.col("direction") == direction) if direction else rows
+    return rows.where(F.col("relation") == relation) if relation else rows
+
+
+def related_to(links: DataFrame, types: DataFrame, entity: int | str, wanted: tuple[str, ...] = ("decision", "meeting")) -> DataFrame:
+    """`linked_to` of the other ends whose type (id, type) is wanted."""
+    return linked_to(links, entity).join(types.where(F.col("type").isin(*wanted)), "id")
+
+
+def explained(links: DataFrame, entity: int | str, other: int | str) -> DataFrame:
+    """(relation, direction, confidence, methods, provenances): every link between two entities, seen from the first."""
+    x, y = F.lit(entity), F.lit(other)
+    out = (F.col("from") == x) & (F.col("to") == y)
+    rows = links.where(out | ((F.col("from") == y) & (F.col("to") == x)))
+    return rows.select("relation", F.when(out, "out").otherwise("in").alias("direction"), "confidence", "methods", "provenances")
+
+
 def type_relations(links: DataFrame, types: DataFrame, allowed: DataFrame, cap: float = 0.6) -> DataFrame:
     """(from, to, relation, confidence, finding) from links (from, to, relation, confidence), types (id, type) and the
     allowed pairs (relation, from_type, to_type), wildcards written out beforehand.

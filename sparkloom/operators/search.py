@@ -17,27 +17,40 @@ def postings(fields: DataFrame) -> DataFrame:
     return rows.groupBy(F.substring("token", 1, 2).alias("shard"), "token", "entity").agg(F.sum(weight).alias("weight"))
 
 
-def ranked(index: DataFrame, words: list[str], cited: DataFrame | None = None) -> DataFrame:
-    """(entity, score, rank): entities that hold a token with each word as its prefix; the best weight a word, summed; ties
-    by citations, then id.  Only the shards of the words are read."""
+def ranked(index: DataFrame, words: list[str], cited: DataFrame | None = None, keywords: DataFrame | None = None) -> DataFrame:
+    """(entity, score, rank): entities that hold a token with each word as its prefix; the best weight a word, summed; what is
+    no keyword page first, then by score, citations and id.  Only the shards of the words are read of a stored index."""
     hits = None
     for i, word in enumerate(dict.fromkeys(words)):
         some = index.where((F.col("shard") == word[:2]) & F.col("token").startswith(word)).groupBy("entity").agg(F.max("weight").alias(f"s{i}"))
         hits = some if hits is None else hits.join(some, "entity")
     score = sum((F.col(f"s{i}") for i in range(len(dict.fromkeys(words)))), F.lit(0.0))
     rows = hits.select("entity", score.alias("score"))
-    rows = rows.join(cited, "entity", "left") if cited is not None else rows.withColumn("cited", F.lit(0).cast("long"))
-    order = (F.desc("score"), F.desc(F.coalesce("cited", F.lit(0))), F.col("entity"))
-    # hits of one question: numbered within equal scores, whose numbers are summed up before them
-    by = rows.groupBy("score").agg(F.count("*").alias("n"))
-    before = by.alias("x").join(by.alias("y"), F.col("y.score") > F.col("x.score"), "left").groupBy(F.col("x.score").alias("score")).agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("ahead"))
-    nth = F.row_number().over(Window.partitionBy("score").orderBy(*order[1:]))
-    return rows.withColumn("nth", nth).join(before, "score").select("entity", "score", (F.col("ahead") + F.col("nth")).alias("rank"))
-
-
-def facet_counts(rows: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
-    """(facet, value, n): how many rows each value has under the choices of the other facets.  One pass: each row goes to
-    the facets whose other conditions it meets."""
+    rows = rows.join(cited, "entity", "left").withColumn("cited", F.coalesce("cited", F.lit(0))) if cited is not None else rows.withColumn("cited", F.lit(0).cast("long"))
+    if keywords is not None:
+        rows = rows.join(keywords.select("entity").distinct().withColumn("last", F.lit(1)), "entity", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    else:
+        rows = rows.withColumn("last", F.lit(0))
+    # numbered within what is equal but for the id, whose sizes are summed up over the few distinct orders before
+    order = ["last", F.desc("score"), F.desc("cited")]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("last", "score", "cited").orderBy("entity")))
+    sizes = rows.groupBy("last", "score", "cited").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.join(before, ["last", "score", "cited"]).select("entity", "score", (F.col("ahead") + F.col("nth")).alias("rank"))
+
+
+def filtered(rows: DataFrame, chosen: dict[str, list[str]], keywords: str = "any") -> DataFrame:
+    """Rows that have one of the values of every facet chosen; keyword pages (column keyword) too, alone, or not at all."""
+    for facet, values in chosen.items():
+        rows = rows.where(F.col(facet).isin(*values)) if values else rows
+    own = F.coalesce(F.col("keyword"), F.lit(False)) if "keyword" in rows.columns else F.lit(False)
+    return rows.where(own) if keywords == "only" else rows.where(~own) if keywords == "exclude" else rows
+
+
+def facet_counts(rows: DataFrame, chosen: dict[str, list[str]], keywords: str = "any") -> DataFrame:
+    """(facet, value, n): how many rows each value has under the choices of the other facets and the keyword mode.  One pass:
+    each row goes to the facets whose other conditions it meets."""
+    rows = filtered(rows, {}, keywords)
     names = list(chosen)
     fits = {f: (F.col(f).isin(*v) if v else F.lit(True)) for f, v in chosen.items()}
 

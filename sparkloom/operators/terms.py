@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.session import checkpointed, spread
+from sparkloom.session import stored, spread
 
 #: Function words that end or begin no term; a project passes its own list.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -33,38 +33,93 @@ class TermOptions:
     max_spread: float = 0.5
     min_confidence: float = 0.5
     stopwords: tuple[str, ...] = STOPWORDS
+    #: Those of each value of the column `lang`, in the place of `stopwords` where there is such a column.
+    stopwords_of: tuple[tuple[str, tuple[str, ...]], ...] = tuple(STOPWORDS_OF.items())
     suffixes: tuple[str, ...] = SUFFIXES
     defined: tuple[str, ...] = field(default=())
 
 
-def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(path, line from 1, text): a unit a line that is not blank."""
-    lines = spread(docs).select(F.col(id_col).cast("string").alias("path"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
-    return lines.where(F.trim("text") != "").select("path", (F.col("pos") + 1).alias("line"), "text")
+def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, line from 1, text) and what to keep: a unit a line that is not blank."""
+    lines = spread(docs).select(F.col(id_col).cast("string").alias("path"), *keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
+    return lines.where(F.trim("text") != "").select("path", (F.col("pos") + 1).alias("line"), "text", *keep)
+
+
+def usage_units(found: DataFrame, labels: tuple[str, ...] = (), most: int = 60) -> DataFrame:
+    """Units (text, kind, ...) that use words: headings go, and list items lose a label of a mapped section (folded) that
+    opens them, with the blanks behind its colon; what is blank then goes too."""
+    colon = F.instr("text", ":")
+    opens = (F.col("kind") == "list") & (colon > 1) & (colon <= most + 1) & T.normalize(F.substring("text", F.lit(1), colon - 1)).isin(*labels) if labels else F.lit(False)
+    rest = F.ltrim(F.substring("text", colon + 1, F.length("text")))
+    return found.where("kind <> 'heading'").withColumn("text", F.when(opens, rest).otherwise(F.col("text"))).where(F.trim("text") != "")
+
+
+def prominent_units(notes: DataFrame) -> DataFrame:
+    """(path, line, text) of what a note (a row of the Markdown reader) puts forward: headings, link texts, and the strings
+    of its frontmatter, alone or in lists."""
+    headings = notes.select("path", F.explode("units").alias("u")).where("u.kind = 'heading'").select("path", "u.line", "u.text")
+    links = notes.select("path", F.explode("links").alias("l")).select("path", "l.line", "l.text")
+    values = F.map_values(F.from_json("frontmatter", "map<string,string>"))
+    listed = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array("v"))
+    front = notes.select("path", F.explode(values).alias("v")).select("path", F.explode(listed).alias("text"))
+    front = front.where(F.col("text").try_cast("double").isNull() & ~F.col("text").isin("true", "false") & ~F.col("text").startswith("{"))
+    return headings.unionByName(links).unionByName(front.select("path", F.lit(1).alias("line"), "text")).where(F.trim("text") != "")
+
+
+def carried(found: DataFrame) -> list[str]:
+    return ["lang"] if "lang" in found.columns else []
 
 
 def runs(found: DataFrame, most: int) -> DataFrame:
-    """(path, line, position, w): for each word of each unit the run of up to `most` words that begins with it.  A row holds
-    its run alone, never the unit's words; the generator in front keeps them from being computed anew for each."""
-    rows = found.select("path", "line", F.explode(F.array(T.tokens("text"))).alias("t")).where(F.size("t") > 0)
+    """(path, line, position, w, and lang if there is one): for each word of each unit the run of up to `most` words that
+    begins with it.  A row holds its run alone, never the unit's words; the generator in front keeps them from being
+    computed anew for each."""
+    rows = found.select("path", "line", *carried(found), F.explode(F.array(T.tokens("text"))).alias("t")).where(F.size("t") > 0)
     slices = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t"))), lambda i: F.slice("t", i, most))
-    return rows.select("path", "line", F.posexplode(slices).alias("position", "w")).where(F.size("w") > 0)
+    return rows.select("path", "line", *carried(found), F.posexplode(slices).alias("position", "w")).where(F.size("w") > 0)
+
+
+def is_stopword(word: Column, options: TermOptions, by_language: bool) -> Column:
+    """Whether a word is one of its language's, or of the options' where rows have no language."""
+    if not by_language:
+        return word.isin(*options.stopwords) if options.stopwords else F.lit(False)
+    return F.coalesce(*(F.when(F.col("lang") == lang, word.isin(*words)) for lang, words in options.stopwords_of if words), F.lit(False))
+
+
+def is_term(key: Column, options: TermOptions) -> Column:
+    return (F.length(key) >= options.min_length) & ~key.rlike(r"^[\p{N} ]+$")
 
 
 def ngrams(found: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
-    """(path, line, position (of the first word), words, key): n-grams that neither begin nor end with a stopword, are not
-    digits alone and long enough.  Those with a stopword at an edge go before anything is shuffled."""
-    rows = runs(found, options.max_words).where(~F.element_at("w", 1).isin(*options.stopwords))
-    rows = rows.select("path", "line", "position", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("words"))
-    rows = rows.where(~F.element_at("w", F.col("words")).isin(*options.stopwords))
-    rows = rows.select("path", "line", "position", "words", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("key"))
-    return rows.where((F.length("key") >= options.min_length) & ~F.col("key").rlike(r"^[\p{N} ]+$"))
+    """(path, line, position (of the first word), words, key, and lang if there is one): n-grams that neither begin nor end
+    with a stopword, are not digits alone and long enough.  Those with a stopword at an edge go before anything is shuffled."""
+    lang = carried(found)
+    rows = runs(found, options.max_words).where(~is_stopword(F.element_at("w", 1), options, bool(lang)))
+    rows = rows.select("path", "line", *lang, "position", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("words"))
+    rows = rows.where(~is_stopword(F.element_at("w", F.col("words")), options, bool(lang)))
+    rows = rows.select("path", "line", *lang, "position", "words", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("key"))
+    return rows.where(is_term(F.col("key"), options))
 
 
 def grouped(found: DataFrame) -> DataFrame:
-    """(key, words, occurrences, documents), counted by key and document first so that frequent keys meet small."""
-    by_doc = found.groupBy("key", "words", "path").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("key", "words").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+    """(lang if there is one, key, words, occurrences, documents), counted by key and document first so that frequent keys
+    meet small."""
+    lang = carried(found)
+    by_doc = found.groupBy(*lang, "key", "words", "path").agg(F.count("*").alias("n"))
+    return by_doc.groupBy(*lang, "key", "words").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+
+
+def corpus_size(found: DataFrame, options: TermOptions) -> DataFrame:
+    """(lang if there is one, corpus): the documents that hold an n-gram, told by looking for the first one: no n-gram is
+    made into a row."""
+    lang = carried(found)
+    rows = found.select("path", *lang, F.explode(F.array(T.tokens("text"))).alias("t")).where(F.size("t") > 0)
+    edge = lambda w: ~is_stopword(w, options, bool(lang))
+    key = lambda i, n: F.array_join(F.slice("t", i, n), " ")
+    fits = lambda i, n: (i + n - 1 <= F.size("t")) & edge(F.get("t", i - 1)) & edge(F.get("t", i + n - 2)) & is_term(key(i, n), options)
+    any_ = lambda n: F.exists(F.sequence(F.lit(1), F.size("t")), lambda i: F.coalesce(fits(i, n), F.lit(False)))
+    has = reduce(or_, (any_(n) for n in range(1, options.max_words + 1)))
+    return rows.where(has).select("path", *lang).distinct().groupBy(*lang).agg(F.count("*").alias("corpus"))
 
 
 def nested(key: Column, words: Column) -> Column:
@@ -83,24 +138,27 @@ def confidence(options: TermOptions) -> Column:
 
 
 def score_terms(found: DataFrame, options: TermOptions = TermOptions(), prominent: DataFrame | None = None) -> DataFrame:
-    """(key, words, occurrences, documents, score, spread, burst, prominence, neighbour, inflected, confidence): n-grams at
-    the thresholds, defined ones left out.
+    """(lang if there is one, key, words, occurrences, documents, score, spread, burst, prominence, neighbour, inflected,
+    confidence) of units (path, line, text): their n-grams at the thresholds, defined ones left out; each language by itself.
 
     The penalty of a key is the mean frequency of the frequent longer n-grams that hold it, each once, defined ones too; a
-    longer one with a defined part vouches for its parts."""
-    groups = grouped(found)
-    corpus = found.select("path").distinct().agg(F.count("*").alias("corpus"))
+    longer one with a defined part vouches for its parts.  prominent: n-grams of the texts that authors put forward."""
+    lang = carried(found)
+    groups, corpus = grouped(ngrams(found, options)), corpus_size(found, options)
     defined = F.array(*(F.lit(w) for w in options.defined)) if options.defined else F.array().cast("array<string>")
     # stored, as three branches read it: else each would count all n-grams again
-    frequent = checkpointed(groups.where((F.col("occurrences") >= options.min_occurrences) & (F.col("documents") >= options.min_documents)))
-    longer = frequent.where("words > 1").select("occurrences", F.col("key").alias("whole"), nested(F.col("key"), F.col("words")).alias("parts"))
+    frequent = stored(groups.where((F.col("occurrences") >= options.min_occurrences) & (F.col("documents") >= options.min_documents)))
+    longer = frequent.where("words > 1").select(*lang, "occurrences", F.col("key").alias("whole"), nested(F.col("key"), F.col("words")).alias("parts"))
     longer = longer.withColumn("vouches", F.arrays_overlap("parts", defined))
-    inside = longer.select(F.explode("parts").alias("key"), "occurrences", "vouches")
-    penalty = inside.groupBy("key").agg((F.sum("occurrences") / F.count("*")).alias("mean"), F.bool_or("vouches").alias("vouched"))
-    own = longer.select(F.col("whole").alias("key"), F.col("vouches").alias("own"))
-    rows = frequent.join(penalty, "key", "left").join(own, "key", "left").crossJoin(F.broadcast(corpus))  # one row
+    inside = longer.select(*lang, F.explode("parts").alias("key"), "occurrences", "vouches")
+    penalty = inside.groupBy(*lang, "key").agg((F.sum("occurrences") / F.count("*")).alias("mean"), F.bool_or("vouches").alias("vouched"))
+    own = longer.select(*lang, F.col("whole").alias("key"), F.col("vouches").alias("own"))
+    held = lambda b, names: b.select(*(F.col(c).alias(f"_{c}") for c in names), *(c for c in b.columns if c not in names))
+    left = lambda a, b, names: a.join(held(b, names), reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names)), "left").drop(*(f"_{c}" for c in names))
+    rows = left(left(frequent, penalty, [*lang, "key"]), own, [*lang, "key"])
+    rows = left(rows, corpus, lang) if lang else rows.crossJoin(F.broadcast(corpus))  # one row a language
     if prominent is not None:
-        rows = rows.join(prominent.groupBy("key").agg(F.count("*").alias("prominent")), "key", "left")
+        rows = left(rows, prominent.groupBy(*lang, "key").agg(F.count("*").alias("prominent")), [*lang, "key"])
     else:
         rows = rows.withColumn("prominent", F.lit(None).cast("long"))
     inflected = lambda w: reduce(or_, ((F.length(w) > len(s)) & w.endswith(s) for s in options.suffixes), F.lit(False))
@@ -116,7 +174,66 @@ def score_terms(found: DataFrame, options: TermOptions = TermOptions(), prominen
         "inflected": ends,
     })
     rows = rows.withColumn("confidence", confidence(options))
-    return rows.select("key", "words", "occurrences", "documents", "score", "spread", "burst", "prominence", "neighbour", "inflected", "confidence")
+    return rows.select(*lang, "key", "words", "occurrences", "documents", "score", "spread", "burst", "prominence", "neighbour", "inflected", "confidence")
+
+
+def defined_expressions(found: DataFrame, keys: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
+    """(lang if there is one, key, occurrences, documents): the n-grams that the dictionary (key) defines and that reach the
+    thresholds of a page."""
+    lang = carried(found)
+    rows = grouped(found.join(keys.select("key").distinct(), "key", "left_semi"))
+    return rows.where((F.col("occurrences") >= options.min_occurrences) & (F.col("documents") >= options.min_documents)).select(*lang, "key", "occurrences", "documents")
+
+
+def page_ids(terms: DataFrame, order: tuple[str, ...] = ("lang", "key")) -> DataFrame:
+    """Terms with their page's id `keywords/<slug>`; of the pages of one slug, in any language, the later ones take `-n`, the
+    next number that no other page's slug is."""
+    slug = T.slugify("key")
+    rows = terms.withColumn("_slug", slug).withColumn("_n", F.row_number().over(Window.partitionBy("_slug").orderBy(*order)))
+    wanted = rows.withColumn("_id", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", "_n")))
+    # a number that is another page's own slug is passed over, as are those behind it of the same slug
+    own = rows.select(F.col("_slug").alias("_id")).distinct().withColumn("_held", F.lit(True))
+    held = wanted.where("_n > 1").select("_slug", "_id", "_n").join(own, "_id").select("_slug", F.col("_n").alias("_at"))
+    passed = held.groupBy("_slug").agg(F.array_sort(F.collect_set("_at")).alias("_taken"))  # few: slugs that end in another's number
+    step = lambda n, t: F.when(t <= n, n + 1).otherwise(n)
+    rows = wanted.join(passed, "_slug", "left").withColumn("_n", F.when(F.col("_n") > 1, F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), step)).otherwise(F.col("_n")))
+    return rows.withColumn("id", F.concat(F.lit("keywords/"), "_slug", F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(""))).drop("_slug", "_n", "_id", "_taken")
+
+
+def leads(pages: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
+    """(id, lead, overlap, rank): the pages (id, key) and dictionary entries (key, targets; the first target leads) whose
+    expressions are similar to a page's."""
+    every = pages.select("key", F.col("id").alias("lead")).unionByName(known.select("key", F.element_at("targets", 1).alias("lead")))
+    near = similar(pages.select("key"), most=None, others=every.select("key").distinct())
+    rows = pages.select("id", "key").join(near, "key").join(every.withColumnRenamed("key", "other"), "other").where("lead <> id")
+    best = rows.groupBy("id", "lead").agg(F.max("overlap").alias("overlap"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "lead"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def taken_over(defined: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
+    """(target, id): the page id that a defined expression at the thresholds would have, kept by the first target of its
+    dictionary entry; an id that a page (id) holds is no redirect."""
+    rows = known.select("key", F.element_at("targets", 1).alias("target")).join(defined.select("key").distinct(), "key", "left_semi")
+    return rows.select("target", F.concat(F.lit("keywords/"), T.slugify("key")).alias("id")).distinct().join(pages.select("id"), "id", "left_anti").select("target", "id")
+
+
+def discover(notes: DataFrame, known: DataFrame, options: TermOptions = TermOptions(), labels: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The expressions that no note defines: terms (scored, with prominence), pages (with id), leads and redirects.
+
+    notes: rows of the Markdown reader with lang; known: the dictionary (key, targets).  Usage is what `usage_units` reads;
+    headings, link texts and frontmatter count for prominence alone."""
+    lang = notes.select("path", "lang")
+    rows = notes.select("path", "lang", F.explode("units").alias("u")).select("path", "lang", "u.line", "u.kind", "u.text")
+    used = stored(usage_units(rows, labels).select("path", "line", "text", "lang"))
+    front = ngrams(prominent_units(notes).join(lang, "path"), options)
+    keys = tuple(r.key for r in known.select("key").distinct().orderBy("key").limit(10_001).collect())
+    if len(keys) > 10_000:
+        raise ValueError("a dictionary of over 10,000 keys does not go into the plan: leave its keys out by a join")
+    scored = stored(score_terms(used, replace(options, defined=keys), front))
+    pages = page_ids(scored.where(F.col("confidence") >= options.min_confidence))
+    defined = defined_expressions(ngrams(used, options), known, options)
+    return {"terms": scored, "pages": pages, "leads": leads(pages, known), "redirects": taken_over(defined, known, pages)}
 
 
 def published(terms: DataFrame, options: TermOptions = TermOptions(), order: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -135,18 +252,35 @@ def display_forms(found: DataFrame) -> DataFrame:
     return counted.withColumn("r", first).where("r = 1").select("key", "surface", "n")
 
 
-def similar(keys: DataFrame, most: int = 5) -> DataFrame:
-    """(key, other, overlap, rank): expressions of which one is a run of the other's words or that share at least half of the
-    larger one's distinct words; the closest `most` of each.
+def similar(keys: DataFrame, most: int | None = 5, others: DataFrame | None = None) -> DataFrame:
+    """(key, other, overlap, rank): expressions (of `others`, else of `keys`) of which one is a run of the other's words or
+    that share at least half of the larger one's distinct words; the closest `most` of each.
 
-    Pairs meet through the words that they share; a pair without a shared word is not similar."""
-    rows = keys.select("key").distinct().withColumn("w", F.array_distinct(F.split("key", " ")))
-    words = rows.select("key", "w", F.explode("w").alias("word"))
-    pairs = words.alias("a").join(words.alias("b"), "word").where(F.col("a.key") != F.col("b.key"))
-    pairs = pairs.groupBy(F.col("a.key").alias("key"), F.col("b.key").alias("other"), F.size("a.w").alias("x"), F.size("b.w").alias("y")).agg(F.count("*").alias("shared"))
+    Two expressions that share so much share one of the few rarest words of each (the prefix of a set by rarity), and a run
+    holds or is held with the rarest word of the shorter one; pairs meet through these alone, so a common word brings
+    together only what has no rarer one."""
+    own = keys.select("key").distinct().withColumn("w", F.array_distinct(F.split("key", " ")))
+    rest = own if others is None else others.select("key").distinct().withColumn("w", F.array_distinct(F.split("key", " ")))
+    every = own.unionByName(rest).distinct()
+    words = every.select("key", F.explode("w").alias("word"), F.size("w").alias("size"))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("of")), "word")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("of", "word")))
+    # half of its words: all but half of them less one are the prefix; the rarest word is among them
+    few = stored(ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") / 2) + 1).select("key", "word", "r"))
+    side = lambda rows, n: few.join(rows.select("key"), "key", "left_semi").select(F.col("key").alias(n), "word")
+    met = side(own, "key").join(side(rest, "other"), "word").where(F.col("key") != F.col("other")).select("key", "other")
+    # one inside the other: the rarest word of the shorter is somewhere in the longer
+    rare = few.where("r = 1").select(F.col("key").alias("short"), "word")
+    inside = words.select(F.col("key").alias("long"), "word").join(rare, "word").where("short <> long").where(F.contains(F.concat(F.lit(" "), "long", F.lit(" ")), F.concat(F.lit(" "), "short", F.lit(" "))))
+    both = inside.select(F.col("short").alias("key"), F.col("long").alias("other")).unionByName(inside.select(F.col("long").alias("key"), F.col("short").alias("other")))
+    both = both.join(own.select("key"), "key", "left_semi").join(rest.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
+    at = lambda c: F.array_distinct(F.split(c, " "))
+    pairs = met.unionByName(both).distinct().withColumns({"x": F.size(at("key")), "y": F.size(at("other")), "shared": F.size(F.array_intersect(at("key"), at("other")))})
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    inside = F.contains(padded("key"), padded("other")) | F.contains(padded("other"), padded("key"))
-    pairs = pairs.where(inside | (2 * F.col("shared") >= F.greatest("x", "y")))
+    holds = F.contains(padded("key"), padded("other")) | F.contains(padded("other"), padded("key"))
+    pairs = pairs.where(holds | (2 * F.col("shared") >= F.greatest("x", "y")))
     pairs = pairs.withColumn("overlap", F.col("shared") / (F.col("x") + F.col("y") - F.col("shared")))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("overlap"), "other"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("key", "other", T.round4(F.col("overlap")).alias("overlap"), "rank")
+    pairs = pairs.withColumn("rank", rank)
+    pairs = pairs.where(F.col("rank") <= most) if most else pairs
+    return pairs.select("key", "other", T.round4(F.col("overlap")).alias("overlap"), "rank")

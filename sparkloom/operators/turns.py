@@ -31,5 +31,35 @@ def replace_names(text: Column | str, names: list[str], mark: str = "[person]")
 
 
 def capitalised_runs(text: Column | str) -> Column:
-    """Two or more neighbouring words that begin with a capital."""
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))
+    """Two or more neighbouring words, parted by blanks alone, that begin with a capital and hold a small letter."""
+    word = r"\p{Lu}(?=[\p{L}\p{M}'’-]*\p{Ll})[\p{L}\p{M}\p{N}]*(?:['’-][\p{L}\p{M}\p{N}]+)*"
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){word}(?:[ \t]+{word})+"), F.lit(0))
+
+
+def personal_mentions(text: Column | str, known: list[str]) -> Column:
+    """Capitalised runs that hold none of the known names as whole words."""
+    listed = "|".join(re.escape(n) for n in sorted({n for n in known if n}, key=lambda n: (-len(n), n)))
+    runs = capitalised_runs(text)
+    return F.filter(runs, lambda r: ~r.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{listed})(?![\p{{L}}\p{{N}}])")) if listed else runs
+
+
+def pseudonymized(rows: DataFrame, text_cols: list[str], names: list[str], in_scope: Column, mark: str = "[person]") -> DataFrame:
+    """`rows` with the names replaced in the columns of rows that are in the scope, arrays of texts item by item, and
+    `replaced`, whether anything was."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    new = {c: F.transform(F.col(c), lambda x: replace_names(x, names, mark)) if kinds[c] == "array<string>" else replace_names(c, names, mark) for c in text_cols}
+    scoped = {c: F.when(F.coalesce(in_scope, F.lit(False)), v).otherwise(F.col(c)) for c, v in new.items()}
+    changed = F.lit(False)
+    for c in text_cols:
+        changed = changed | ~F.coalesce(scoped[c].eqNullSafe(F.col(c)), F.lit(True))
+    return rows.select(*(scoped[c].alias(c) if c in scoped else F.col(c) for c in rows.columns), changed.alias("replaced"))
+
+
+def withheld(documents: DataFrame, *, publish: bool, enabled: bool, dictionary: bool, rewritable: tuple[str, ...] = ("vtt", "srt")) -> DataFrame:
+    """Documents (format, unit, ...) with `published` and `finding`: transcripts (unit `cue`) stay back unless they are to be
+    published, or where names are to be replaced and there is no dictionary or no writer for the format; the last is
+    W-PRIVACY-WITHHELD.  Other documents pass."""
+    cue, can = F.col("unit") == "cue", F.col("format").isin(*rewritable)
+    back = F.lit(not publish or (enabled and not dictionary))
+    stuck = F.lit(publish and dictionary) & ~F.coalesce(can, F.lit(False))
+    return documents.withColumns({"published": ~F.coalesce(cue, F.lit(False)) | (~back & ~stuck), "finding": F.when(cue & ~back & stuck, "W-PRIVACY-WITHHELD")})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import corpus, turns
 from sparkloom.plans.registry import Tables, query
+from sparkloom.sources import files
 
 
 @query("select p_partkey, p_name, p_size from part where p_brand = 'Brand#3' and p_type = 'ECONOMY'")
@@ -21,11 +22,6 @@ def p02_list_guard(t: Tables) -> DataFrame:
     return t.part.select(F.lit(1).alias("one")).limit(501).agg(F.when(F.count("*") > 500, "refused").otherwise("listed").alias("verdict"))
 
 
-@query("""select page_id, regexp_matches(url, '^https?://[^/]*example\\.(org|com)/en/') and not contains(url, '?') as matches, ends_with(url, '.html') as html from pages""")
-def p03_rule_matches(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", (F.col("url").rlike(r"^https?://[^/]*example\.(org|com)/en/") & ~F.contains("url", F.lit("?"))).alias("matches"), F.col("url").endswith(".html").alias("html"))
-
-
 @query("select d.doc_id, d.source, l.quality, l.toxic from documents d join labels l using (doc_id) where l.quality = 0 or l.toxic = 1")
 def p06_findings_of(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(t.labels.where("quality = 0 or toxic = 1"), "doc_id").select("doc_id", "source", "quality", "toxic")
@@ -36,14 +32,13 @@ def p07_recent_entities(t: Tables) -> DataFrame:
     return corpus.recent(t.orders.where("o_orderstatus = 'O'"), "o_orderdate", "1998-01-01", "o_orderkey").select("o_orderkey", "o_orderdate", "o_orderpriority")
 
 
-@query("select p_partkey from part where p_brand in ('Brand#1', 'Brand#2') and p_size in (1, 2, 3) and p_type <> 'ECONOMY'")
-def p08_facet_filter(t: Tables) -> DataFrame:
-    return t.part.where(F.col("p_brand").isin("Brand#1", "Brand#2") & F.col("p_size").isin(1, 2, 3) & (F.col("p_type") != "ECONOMY")).select("p_partkey")
-
-
-@query("select doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) as mentions from documents where len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) > 0")
+@query("""with w as (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}]+') as p from documents), x as (select doc_id, unnest(p) as p, unnest(range(len(p))) as i from w),
+k as (select *, regexp_matches(p, '[\\p{L}\\p{M}\\p{N}]') as word, regexp_matches(p, '^\\p{Lu}') and regexp_matches(p, '^\\p{Lu}[\\p{L}\\p{M}]*\\p{Ll}') as cap, regexp_matches(p, '^[ \\t]+$') as blank from x),
+b as (select *, sum(case when cap or (blank and not word) then 0 else 1 end) over (partition by doc_id order by i) as g from k), m as (select doc_id, g, count(*) filter (cap) as n, string_agg(p, '' order by i) as t from b where cap or (blank and not word) group by all having count(*) filter (cap) >= 2)
+select doc_id, count(*) as mentions from m where not regexp_matches(t, '(^|[^\\p{L}\\p{N}])(The|Les|Der|Las)([^\\p{L}\\p{N}]|$)') group by doc_id""")
 def p09_personal_mentions(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.size(turns.capitalised_runs("text")).cast("long").alias("mentions"))
+    """Runs of capitalised words of any script that hold no known name."""
+    rows = t.documents.select("doc_id", F.size(turns.personal_mentions("text", ["The", "Les", "Der", "Las"])).cast("long").alias("mentions"))
     return rows.where("mentions > 0")
 
 
@@ -102,11 +97,11 @@ def j15_citing_pages(t: Tables) -> DataFrame:
     return t.lineitem.select("l_partkey", "l_suppkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("cited"))
 
 
-@query("select a.o_orderkey as a, b.o_orderkey as b from orders a join orders b on a.o_orderdate = b.o_orderdate and a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey")
+@query("""with x as (select o_orderdate from orders where o_orderkey = (select max(o_orderkey) from orders)) select o_orderkey, o_custkey from orders join x using (o_orderdate) where o_orderkey <> (select max(o_orderkey) from orders)""")
 def j16_changed_with(t: Tables) -> DataFrame:
-    o = t.orders.select("o_orderkey", "o_orderdate", "o_custkey")
-    pairs = o.alias("a").join(o.alias("b"), ["o_orderdate", "o_custkey"]).where("a.o_orderkey < b.o_orderkey")
-    return pairs.select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
+    """What changed with one order: the others of its day, as the files of a commit."""
+    last = t.orders.agg(F.max("o_orderkey")).first()[0]
+    return corpus.changed_with(t.orders, ["o_orderdate"], "o_orderkey", last).select("o_orderkey", "o_custkey")
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_orderkey in (select l_orderkey from lineitem where l_quantity >= 50) and l_discount > 0.08")
@@ -145,8 +140,9 @@ def a24_count_by_severity(t: Tables) -> DataFrame:
 
 @query("""select source as slug, doc_id, case when n = 1 then source else source || '-' || n end as unique_slug from (select source, doc_id, row_number() over (partition by source order by doc_id) as n from documents)""")
 def w03_slug_suffix(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.withColumn("n", n).select(F.col("source").alias("slug"), "doc_id", F.when(F.col("n") == 1, F.col("source")).otherwise(F.concat_ws("-", "source", "n")).alias("unique_slug"))
+    """The n-th document of a source takes `-n`; a large source is numbered by many tasks."""
+    rows = corpus.numbered(t.documents.select("source", "doc_id"), ["source"], ["doc_id"])
+    return rows.select(F.col("source").alias("slug"), "doc_id", F.when(F.col("n") == 1, F.col("source")).otherwise(F.concat_ws("-", "source", "n")).alias("unique_slug"))
 
 
 @query("select conv_id, role, cast(dense_rank() over (partition by conv_id order by first) as integer) as number from (select conv_id, role, min(turn) as first from conversations group by 1, 2)")
@@ -219,16 +215,6 @@ def t01_resolve_type(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", corpus.last_rule(t.documents, rules, "document").alias("type"))
 
 
-@query("select doc_id, case when doc_id % 7 = 0 then lang when source in ('src1', 'src2') then 'folder' else 'unclassified' end as domain from documents")
-def t02_resolve_domain(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 7 == 0, F.col("lang")), F.when(F.col("source").isin("src1", "src2"), "folder"), F.lit("unclassified")).alias("domain"))
-
-
-@query("select doc_id, case when doc_id % 11 = 0 then 'own' when lang = 'de' then 'rule' else source end as application from documents")
-def t03_resolve_application(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 11 == 0, "own"), F.when(F.col("lang") == "de", "rule"), F.col("source")).alias("application"))
-
-
 NAMES = ["red gear", "red", "small bolt", "bolt"]
 
 
@@ -237,7 +223,7 @@ def v01_replace_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", turns.replace_names("p_name", NAMES).alias("text"))
 
 
-@query("select c.conv_id, c.turn, 'Speaker ' || number as speaker, regexp_replace(text, '\\b(?:The|the)\\b', '[person]', 'g') as text from conversations c join (select conv_id, role, dense_rank() over (partition by conv_id order by first) as number from (select conv_id, role, min(turn) as first from conversations group by 1, 2)) s using (conv_id, role)")
+@query("select c.conv_id, c.turn, 'Speaker ' || number as speaker, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}])(The|the)([^\\p{L}\\p{N}]|$)', '\\1[person]\\3', 'g'), '(^|[^\\p{L}\\p{N}])(The|the)([^\\p{L}\\p{N}]|$)', '\\1[person]\\3', 'g') as text from conversations c join (select conv_id, role, dense_rank() over (partition by conv_id order by first) as number from (select conv_id, role, min(turn) as first from conversations group by 1, 2)) s using (conv_id, role)")
 def v02_pseudonymize_transcript(t: Tables) -> DataFrame:
     numbered = turns.numbered_speakers(t.conversations, "conv_id", "turn", "role")
     rows = t.conversations.join(numbered, ["conv_id", "role"])
@@ -247,7 +233,7 @@ def v02_pseudonymize_transcript(t: Tables) -> DataFrame:
 @query("""with l as (select p_name as title, upper(substr(lower(strip_accents(p_name)), 1, 1)) as c from part) select letter, cast(row_number() over (partition by letter order by title) as integer) as place, title from (select distinct title, case when regexp_matches(c, '^[A-Z]$') then c else '#' end as letter from l)""")
 def x01_alphabetical_index(t: Tables) -> DataFrame:
     rows = t.part.select(F.col("p_name").alias("title"), T.letter_of("p_name").alias("letter")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("letter").orderBy("title"))).select("letter", "place", "title")
+    return corpus.numbered(rows, ["letter"], ["title"], "place").select("letter", F.col("place").cast("int").alias("place"), "title")
 
 
 @query("""select p_brand as space, count(distinct p_partkey) as notes, cast(sum(n) as bigint) as citations from part left join (select l_partkey, count(*) as n from lineitem group by 1) on p_partkey = l_partkey group by 1""")
@@ -292,12 +278,6 @@ def x14_about_figures(t: Tables) -> DataFrame:
     return rows.join(one(t.pages, "pages")).join(one(t.labels.where("quality = 0"), "findings"))  # one row each
 
 
-@query("""select regexp_replace(ship, '[^A-Z]', '', 'g') as label, id, 'MERGE (n:' || regexp_replace(ship, '[^A-Z]', '', 'g') || ' {id: ' || id || '}) SET n.title = "' || title || '"' as statement from (select p_type as ship, p_partkey as id, p_name as title from part)""")
-def k03_cypher_export(t: Tables) -> DataFrame:
-    label = F.regexp_replace("p_type", "[^A-Z]", "")
-    return t.part.select(label.alias("label"), F.col("p_partkey").alias("id"), F.concat(F.lit("MERGE (n:"), label, F.lit(" {id: "), F.col("p_partkey"), F.lit('}) SET n.title = "'), F.col("p_name"), F.lit('"')).alias("statement"))
-
-
 @query("""select 'type' as dimension, p_type as value, count(*) as n from part group by 2 union all select 'brand', p_brand, count(*) from part group by 2 union all select 'all', 'all', count(*) from part""")
 def k04_build_log(t: Tables) -> DataFrame:
     return corpus.count_by(t.part.select(F.col("p_type").alias("type"), F.col("p_brand").alias("brand")), ["type", "brand"])
@@ -308,7 +288,26 @@ def k05_fail_verdict(t: Tables) -> DataFrame:
     return t.labels.agg(F.count_if(F.col("quality") == 0).alias("errors"), F.count_if(F.col("toxic") == 1).alias("warnings"), (F.count_if(F.col("quality") == 0) > 0).alias("failed"))
 
 
-@query("select doc_id, octet_length(encode(text)) as bytes, true as valid from documents")
+@query("""select doc_id, octet_length(encode(text)) + case when doc_id % 5 = 0 then 2 else 0 end as bytes, doc_id % 5 <> 0 as valid, case when doc_id % 5 = 0 then 'E-ENCODING' end as finding from documents""")
 def s05_strict_utf8(t: Tables) -> DataFrame:
-    raw = t.documents.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    return raw.select("doc_id", F.octet_length("raw").cast("long").alias("bytes"), F.is_valid_utf8(F.col("raw").cast("string")).alias("valid"))
+    """Texts as bytes, every fifth with two that are no UTF-8 behind it."""
+    broken = F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("FFC3"))).otherwise(F.unhex(F.lit("")))
+    raw = t.documents.select("doc_id", F.concat(F.col("text").cast("binary"), broken).alias("content"))
+    read = files.strict(raw)
+    return read.select("doc_id", F.octet_length("content").cast("long").alias("bytes"), F.col("text").isNotNull().alias("valid"), "finding")
+
+
+@query("""select doc_id, source, 'Person' as x, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}])(The|Les)([^\\p{L}\\p{N}]|$)', '\\1[person]\\3', 'g'), '(^|[^\\p{L}\\p{N}])(The|Les)([^\\p{L}\\p{N}]|$)', '\\1[person]\\3', 'g') as text, regexp_matches(text, '(^|[^\\p{L}\\p{N}])(The|Les)([^\\p{L}\\p{N}]|$)') as replaced from documents where source in ('src0', 'src1')
+union all select doc_id, source, 'Person', text, false from documents where source not in ('src0', 'src1') or source is null""")
+def v03_scoped_pseudonyms(t: Tables) -> DataFrame:
+    """Names replaced in the notes of a scope alone."""
+    rows = t.documents.select("doc_id", "source", F.lit("Person").alias("x"), "text")
+    return turns.pseudonymized(rows, ["text"], ["The", "Les"], F.col("source").isin("src0", "src1"))
+
+
+@query("""select page_id, case when page_id % 3 = 0 then 'cue' else 'page' end as unit, page_id % 3 <> 0 or page_id % 2 = 0 as published, case when page_id % 3 = 0 and page_id % 2 = 1 then 'W-PRIVACY-WITHHELD' end as finding from pages""")
+def v04_withheld_transcripts(t: Tables) -> DataFrame:
+    """Transcripts that no writer can rewrite with the pseudonyms stay back."""
+    p = F.col("page_id")
+    rows = t.pages.select("page_id", F.when(p % 3 == 0, "cue").otherwise("page").alias("unit"), F.when(p % 2 == 0, "vtt").otherwise("sbv").alias("format"))
+    return turns.withheld(rows, publish=True, enabled=True, dictionary=True).drop("format")

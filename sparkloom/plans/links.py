@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import round4
 from sparkloom.operators import graph, links
 from sparkloom.plans.registry import Tables, query
-from sparkloom.session import checkpointed
+from sparkloom.session import stored
 
 R4 = "floor(({0}) * 10000 + 0.5) / 10000.0"
 OR = R4.format("greatest(0.0, least(1.0, 1 - {0}))")
@@ -25,13 +26,8 @@ def evidence(t: Tables) -> DataFrame:
     )
 
 
-@query(f"select l_suppkey, {OR.format('product(1 - l_discount)')} as confidence, count(*) as n from lineitem where l_orderkey % 7 = 0 group by 1")
-def a01_noisy_or(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_orderkey % 7 = 0").groupBy("l_suppkey").agg(links.noisy_or(F.col("l_discount")).alias("confidence"), F.count("*").alias("n"))
-
-
 @query(f"select l_partkey, l_suppkey, {OR.format('product(1 - l_discount)')} as confidence, count(*) as n from lineitem group by 1, 2")
-def a01_noisy_or_whole(t: Tables) -> DataFrame:
+def a01_noisy_or(t: Tables) -> DataFrame:
     """All evidence, by part and supplier: a supplier's alone is so much that its confidence rounds to 1."""
     return t.lineitem.groupBy("l_partkey", "l_suppkey").agg(links.noisy_or(F.col("l_discount")).alias("confidence"), F.count("*").alias("n"))
 
@@ -83,8 +79,10 @@ select case when back or (rel and not ahead and "from" > "to") then "to" else "f
   case when not rel and not ok then 'E-META-REL' when rel and coalesce(fn, bn) > 1 then 'I-REL-AMBIGUOUS' end as finding from k""")
 def l06_type_relations(t: Tables) -> DataFrame:
     types = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"))
-    brands = t.part.select("p_brand").distinct()
-    pairs = brands.select(F.col("p_brand").alias("from_type")).crossJoin(F.broadcast(brands.select(F.col("p_brand").alias("to_type"))))  # a profile's types: a few dozen
+    brands = [r[0] for r in t.part.select("p_brand").distinct().limit(1001).collect()]
+    if len(brands) > 1000:
+        raise ValueError("a profile has some dozens of types; over 1,000 do not go into the plan")
+    pairs = t.spark.createDataFrame([(a, b) for a in sorted(brands) for b in sorted(brands)], "from_type string, to_type string")
     last = lambda c: F.ascii(F.right(F.col(c), F.lit(1)))
     allowed = pairs.where((F.length("from_type") + F.length("to_type") + last("from_type") + 2 * last("to_type")) % 3 == 0)
     allowed = allowed.withColumn("relation", F.when(F.col("from_type") < F.col("to_type"), "uses").otherwise("documents"))
@@ -101,15 +99,13 @@ def a22_displayed_neighbourhood(t: Tables) -> DataFrame:
     return links.displayed(links.combine_links(evidence(t)).withColumn("to", F.col("to") + 100000))
 
 
-GRAPH = """links as (select l_partkey as "from", 100000 + l_suppkey as "to", floor((0.2 + 0.7 * avg(l_discount) * 10) * 10000 + 0.5) / 10000.0 as confidence from lineitem where l_orderkey % 50 = 0 group by 1, 2),
-edges as (select a, b, max(c) as c from (select "from" as a, "to" as b, confidence as c from links union all select "to", "from", confidence from links) group by 1, 2)"""
+GRAPH = """links as materialized (select l_partkey as "from", 100000 + l_suppkey as "to", floor((0.2 + 0.7 * avg(l_discount) * 10) * 10000 + 0.5) / 10000.0 as confidence from lineitem group by 1, 2),
+edges as materialized (select a, b, max(c) as c from (select "from" as a, "to" as b, confidence as c from links union all select "to", "from", confidence from links) group by 1, 2)"""
 
 
-def some_links(t: Tables, every: int = 50) -> DataFrame:
-    from sparkloom.functions.text import round4
-
-    rows = t.lineitem.where(F.col("l_orderkey") % every == 0).groupBy(F.col("l_partkey").alias("from"), (100000 + F.col("l_suppkey")).alias("to"))
-    return rows.agg(round4(0.2 + 0.7 * F.avg("l_discount") * 10).alias("confidence"))
+def all_links(t: Tables) -> DataFrame:
+    rows = t.lineitem.groupBy(F.col("l_partkey").alias("from"), (100000 + F.col("l_suppkey")).alias("to"))
+    return stored(rows.agg(round4(0.2 + 0.7 * F.avg("l_discount") * 10).alias("confidence")))
 
 
 @query(f"""with {GRAPH}, s as (select min(a) as id from edges), d1 as (select b as id, 1 as depth, {R4.format('max(c)')} as score from edges join s on a = s.id group by b),
@@ -117,47 +113,72 @@ d2 as (select b as id, 2 as depth, {R4.format('max(score + c)')} as score from e
 d3 as (select b as id, 3 as depth, {R4.format('max(score + c)')} as score from edges join d2 on a = d2.id where b not in (select id from s) and b not in (select id from d1) and b not in (select id from d2) group by b)
 select s.id as origin, x.id, x.depth, x.score from s, (select * from d1 union all select * from d2 union all select * from d3) x""")
 def q05_near(t: Tables) -> DataFrame:
-    found = some_links(t)
+    found = all_links(t)
     return graph.near(found, found.agg(F.min("from").alias("id")), 3)
 
 
-@query(f"""with recursive {GRAPH}, c as (select a as id, a as root from edges union select e.b, c.root from c join edges e on c.id = e.a where c.root < e.b)
-select id, min(root) as root from (select id, root from c union all select b, a from edges) group by id""")
+@query(f"""with recursive {GRAPH}, c(id, root) using key (id) as (select a as id, least(a, min(b)) as root from edges group by a
+  union select e.b, min(c.root) from c join edges e on c.id = e.a join recurring.c r on r.id = e.b where c.root < r.root group by e.b)
+select id, root from c""")
 def a21_components(t: Tables) -> DataFrame:
-    return graph.components(some_links(t))
+    return graph.components(all_links(t))
 
 
 @query(f"with {GRAPH} select a as id, count(*) as degree from edges group by a having count(*) between 3 and 20")
 def a23_pivots(t: Tables) -> DataFrame:
-    return graph.pivots(some_links(t), 3, 20)
+    return graph.pivots(all_links(t), 3, 20)
 
 
-@query(f"""with {GRAPH}, p as (select a as id, count(*) as degree from edges group by a having count(*) between 8 and 1000), z as (select id, struct_pack(distance := 0, d := -degree, "pivot" := id) as best from p),
+@query(f"""with {GRAPH}, p as (select a as id, count(*) as degree from edges group by a having count(*) between 8 and 20), z as (select id, struct_pack(distance := 0, d := -degree, "pivot" := id) as best from p),
 r1 as (select id, min(best) as best from (select * from z union all select b, struct_pack(distance := best.distance + 1, d := best.d, "pivot" := best."pivot") from z join edges on a = id) group by id),
 r2 as (select id, min(best) as best from (select * from r1 union all select b, struct_pack(distance := best.distance + 1, d := best.d, "pivot" := best."pivot") from r1 join edges on a = id) group by id),
 r3 as (select id, min(best) as best from (select * from r2 union all select b, struct_pack(distance := best.distance + 1, d := best.d, "pivot" := best."pivot") from r2 join edges on a = id) group by id)
 select id, best."pivot" as "pivot", cast(best.distance as integer) as distance from r3""")
 def l18_emergent_domains(t: Tables) -> DataFrame:
-    found = some_links(t)
-    return graph.emergent_domains(found, graph.pivots(found, 8, 1000), 3)
+    found = all_links(t)
+    return graph.emergent_domains(found, graph.pivots(found, 8, 20), 3)
+
+
+TYPED = """typed as (select p_partkey as id, case p_type when 'PROMO' then 'decision' when 'SMALL' then 'meeting' else 'term' end as type from part union all select 100000 + s_suppkey, 'meeting' from supplier where s_suppkey % 3 = 0)"""
+
+
+def typed(t: Tables) -> DataFrame:
+    p = F.col("p_type")
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.when(p == "PROMO", "decision").when(p == "SMALL", "meeting").otherwise("term").alias("type"))
+    return parts.unionByName(t.supplier.where("s_suppkey % 3 = 0").select((100000 + F.col("s_suppkey")).alias("id"), F.lit("meeting").alias("type")))
+
+
+def combined(t: Tables) -> DataFrame:
+    return links.combine_links(evidence(t)).withColumn("to", F.col("to") + 100000)
+
+
+def hub(t: Tables) -> int:
+    return 100000 + t.lineitem.agg(F.min("l_suppkey")).first()[0]
+
+
+ASKED = f"""{COMBINED}, moved as (select "from", 100000 + "to" as "to", relation, confidence, methods, provenances from combined), x as (select 100000 + min(l_suppkey) as x from lineitem)"""
 
 
-@query(f"""with {GRAPH} select "from", "to", confidence, 'out' as direction from links where "from" = (select min("from") from links) order by confidence desc, "to" """)
+@query(f"""with {ASKED} select "to" as id, relation, 'out' as direction, confidence, methods from moved, x where "from" = x union all select "from", relation, 'in', confidence, methods from moved, x where "to" = x and "from" <> x""")
 def q03_links_of(t: Tables) -> DataFrame:
-    found = some_links(t)
-    first = found.agg(F.min("from").alias("from"))
-    return found.join(F.broadcast(first), "from", "left_semi").select("from", "to", "confidence", F.lit("out").alias("direction")).orderBy(F.desc("confidence"), "to")
+    """What is linked to one supplier, at either end."""
+    return links.linked_to(combined(t), hub(t))
 
 
-@query(f"""with {GRAPH}, e as (select min("from") as x, min("to") as y from links) select "from", "to", confidence from links, e where ("from" = x and "to" in (select "to" from links where "from" = x)) or "to" = y""")
+@query(f"""with {ASKED}, {TYPED} select "from" as id, relation, 'in' as direction, confidence, methods, type from moved, x, typed where "to" = x and typed.id = "from" and type in ('decision', 'meeting')""")
+def q04_related(t: Tables) -> DataFrame:
+    """The decisions and meetings among what is linked to one supplier."""
+    return links.related_to(combined(t), typed(t), hub(t))
+
+
+@query(f"""with {ASKED}, y as (select min("from") as y from moved, x where "to" = x) select relation, case when "from" = y then 'in' else 'out' end as direction, confidence, methods, provenances from moved, x, y where ("from" = x and "to" = y) or ("from" = y and "to" = x)""")
 def q07_explain(t: Tables) -> DataFrame:
-    """All links at the first source and all at the first target."""
-    found = some_links(t)
-    ends = F.broadcast(found.agg(F.min("from").alias("x"), F.min("to").alias("y")))  # one row
-    return found.join(ends, (F.col("from") == F.col("x")) | (F.col("to") == F.col("y"))).select("from", "to", "confidence")
+    """Every link between one supplier and the first part linked to it."""
+    found, x = stored(combined(t)), hub(t)
+    return links.explained(found, x, found.where(F.col("to") == x).agg(F.min("from")).first()[0])
 
 
-@query(f"""with {GRAPH.replace("% 50", "% 10")}, s as (select min(a) as s, max(a) as g from edges),
+@query(f"""with {GRAPH}, s as (select min(a) as s, max(a) as g from edges),
 w0 as (select s as id, 0.0 as score, [s] as way from s),
 w1 as (select id, -m.s as score, list_append(m.way, id) as way from (select b as id, min(struct_pack(s := -({R4.format('score + c')}), by_ := a, way := way)) as m from w0 join edges on a = id group by b) where id not in (select id from w0)),
 w2 as (select id, -m.s as score, list_append(m.way, id) as way from (select b as id, min(struct_pack(s := -({R4.format('score + c')}), by_ := a, way := way)) as m from w1 join edges on a = id group by b) where id not in (select id from w0 union all select id from w1)),
@@ -166,52 +187,51 @@ w4 as (select id, -m.s as score, list_append(m.way, id) as way from (select b as
 h as (select way from (select * from w1 union all select * from w2 union all select * from w3 union all select * from w4) where id = (select g from s))
 select cast(unnest(range(len(way))) as integer) as step, unnest(way) as id from h""")
 def q06_path(t: Tables) -> DataFrame:
-    found = some_links(t, 10)
+    found = all_links(t)
     ends = graph.undirected(found).agg(F.min("a"), F.max("a")).first()
     return graph.path(found, ends[0], ends[1], 4)
 
 
-# The queries above read a part of the links, as their SQL does; these read them all.
-
-
-@query()
-def q05_near_whole(t: Tables) -> DataFrame:
-    found = checkpointed(some_links(t, 1))
-    return graph.near(found, found.agg(F.min("from").alias("id")), 3)
-
-
-@query()
-def a21_components_whole(t: Tables) -> DataFrame:
-    return graph.components(some_links(t, 1))
+@query(f"""with kw as (select distinct l_orderkey as paragraph, l_suppkey + 100000 as id from lineitem where l_quantity >= 49), occ as (select l_orderkey as paragraph, l_partkey as id from lineitem where l_orderkey in (select paragraph from kw)),
+m as (select * from occ union select * from kw), f as (select * from (select *, row_number() over (partition by paragraph order by id) as r from m) where r <= 200), p as (select a.id as x, b.id as y, count(*) as n from f a join f b on a.paragraph = b.paragraph and a.id < b.id group by all),
+s as (select x as id, y as neighbour, n from p union all select y, x, n from p), k as (select *, row_number() over (partition by id order by n desc, neighbour) as rank from s) select id, neighbour, n, cast(rank as integer) as rank from k where rank <= 10 and id in (select id from kw)""")
+def l08_keyword_neighbours(t: Tables) -> DataFrame:
+    """What is named in the paragraphs that hold a keyword."""
+    named = t.lineitem.select(F.col("l_orderkey").alias("paragraph"), F.col("l_partkey").alias("id"))
+    return links.keyword_neighbours(named, t.lineitem.where("l_quantity >= 49").select(F.col("l_orderkey").alias("paragraph"), (F.col("l_suppkey") + 100000).alias("id")), k=10)
 
 
-@query()
-def a23_pivots_whole(t: Tables) -> DataFrame:
-    return graph.pivots(some_links(t, 1), 3, 20)
+SECTIONS = (("decision", "open", "Open", "uses", False), ("meeting", "open", "Open", "decides", True), ("term", "returned", "Returned", "uses", False))
+ALLOWED = (("uses", "decision", "meeting"), ("decides", "meeting", "meeting"), ("uses", "term", "meeting"))
 
 
-@query()
-def l18_emergent_domains_whole(t: Tables) -> DataFrame:
-    found = checkpointed(some_links(t, 1))
-    return graph.emergent_domains(found, graph.pivots(found, 8, 1000), 3)
+@query(f"""with {TYPED}, sec as (select * from (values {', '.join(f"('{a}', '{b}', '{c}', '{d}', {str(e).lower()})" for a, b, c, d, e in SECTIONS)}) v(type, heading, name, relation, inverse)),
+allowed as (select * from (values {', '.join(str(x) for x in ALLOWED)}) v(relation, ft, tt)),
+o as (select l_orderkey * 10 + l_linenumber as line, l_partkey as own, case l_linestatus when 'O' then 'Öpen ' else 'Returned' end as section, 100000 + l_suppkey as target, 0.5 as confidence from lineitem),
+j as (select o.*, a.type as ot, b.type as tt, s.name, s.relation as produced, coalesce(s.inverse, false) as inv from o join typed a on own = a.id join typed b on target = b.id left join sec s on s.type = a.type and s.heading = case when section = 'Returned' then 'returned' else 'open' end where own <> target),
+k as (select *, exists (select 1 from allowed x where x.relation = produced and x.ft = case when inv then j.tt else ot end and x.tt = case when inv then ot else j.tt end) as ok from j)
+select case when ok and inv then target else own end as "from", case when ok and inv then own else target end as "to", case when ok then produced else 'related' end as relation, case when ok then 'section_mention' else 'glossary_occurrence' end as method,
+  case when ok then 0.7 else 0.5 end as confidence, line, case when ok then name end as section from k""")
+def l03_mention_links(t: Tables) -> DataFrame:
+    """Line items as mentions: their part's note names a supplier, in a section that the part's type maps or not."""
+    types = typed(t)
+    entities = types.withColumn("path", F.col("id").cast("string"))
+    found = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_partkey").cast("string").alias("path"), F.when(F.col("l_linestatus") == "O", "Öpen ").otherwise("Returned").alias("section"), (100000 + F.col("l_suppkey")).alias("target"), F.lit(0.5).alias("confidence"))
+    sections = t.spark.createDataFrame(list(SECTIONS), "type string, heading string, name string, relation string, inverse boolean")
+    allowed = t.spark.createDataFrame(list(ALLOWED), "relation string, from_type string, to_type string")
+    return links.mention_links(found, entities, sections, allowed).select("from", "to", "relation", "method", "confidence", "line", "section")
 
 
-@query()
-def q03_links_of_whole(t: Tables) -> DataFrame:
-    found = checkpointed(some_links(t, 1))
-    first = found.agg(F.min("from").alias("from"))
-    return found.join(F.broadcast(first), "from", "left_semi").select("from", "to", "confidence", F.lit("out").alias("direction")).orderBy(F.desc("confidence"), "to")
-
-
-@query()
-def q07_explain_whole(t: Tables) -> DataFrame:
-    found = checkpointed(some_links(t, 1))
-    ends = F.broadcast(found.agg(F.min("from").alias("x"), F.min("to").alias("y")))  # one row
-    return found.join(ends, (F.col("from") == F.col("x")) | (F.col("to") == F.col("y"))).select("from", "to", "confidence")
-
-
-@query()
-def q06_path_whole(t: Tables) -> DataFrame:
-    found = checkpointed(some_links(t, 1))
-    ends = graph.undirected(found).agg(F.min("a"), F.max("a")).first()
-    return graph.path(found, ends[0], ends[1], 4)
+@query(f"""with {GRAPH}, {TYPED}, e as (select p_partkey as id, case when p_size % 4 = 0 then p_brand else 'unclassified' end as domain, case when p_partkey % 50 = 0 then 'lock' when p_size % 4 = 0 then 'folder' else 'unclassified' end as origin from part),
+l as (select id, case when origin = 'lock' and p_size % 4 <> 0 then 'locked' else domain end as domain, case when origin = 'lock' and p_size % 4 <> 0 then 'lock' when p_size % 4 = 0 then 'folder' else 'unclassified' end as origin, p_name from e join part on id = p_partkey),
+p as (select a as id, count(*) as degree from edges join typed on a = id and type = 'term' join part on a = p_partkey and p_name <> 'red gear' group by a having count(*) between 8 and 20), z as (select id, struct_pack(distance := 0, d := -degree, "pivot" := id) as best from p),
+r1 as (select id, min(best) as best from (select * from z union all select b, struct_pack(distance := best.distance + 1, d := best.d, "pivot" := best."pivot") from z join edges on a = id) group by id),
+r2 as (select id, min(best) as best from (select * from r1 union all select b, struct_pack(distance := best.distance + 1, d := best.d, "pivot" := best."pivot") from r1 join edges on a = id) group by id)
+select 'I-DOMAIN-SUGGESTED' as "check", r2.id as entity, best."pivot" as "pivot", -best.d as degree, cast(best.distance as integer) as distance, case when h.origin = 'unclassified' then cast(h.id as varchar) else h.domain end as domain, h.origin <> 'unclassified' as own
+from r2 join l on r2.id = l.id and l.origin = 'unclassified' join l h on h.id = best."pivot" """)
+def l19_propose_domains(t: Tables) -> DataFrame:
+    """Domains for what no declaration and no lock files: those of the closest term with enough links, or named after it."""
+    filed = F.col("p_size") % 4 == 0
+    entities = t.part.join(typed(t), F.col("p_partkey") == F.col("id")).select("id", "type", F.col("p_name").alias("title"), F.when(filed, F.col("p_brand")).otherwise("unclassified").alias("domain"), F.when(filed, "folder").otherwise("unclassified").alias("domain_origin"))
+    lock = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.lit("locked").alias("domain"))
+    return graph.proposed_domains(entities, all_links(t), lock=lock, least=8, most=20, radius=2, rejected=("red gear",))[1]

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import duplicates, references
-from sparkloom.plans.links import COMBINED, evidence
-from sparkloom.operators.links import combine_links
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.terms import FOLD
 
@@ -88,10 +86,31 @@ def f24_mapped_section(t: Tables) -> DataFrame:
     return rows.join(F.broadcast(labels), "label", "left").select("heading", "section")  # a profile's labels: three rows
 
 
-@query(f"select a.p_partkey as a, b.p_partkey as b from part a join part b on {FOLD.format('a.p_name')} = {FOLD.format('b.p_name')} and a.p_partkey < b.p_partkey and a.p_brand = b.p_brand")
+@query(f"""with r as (select p_partkey as id, case when p_size % 3 = 0 then p_name || p_brand end as title, case when p_size % 3 = 1 then upper(p_name) || ' ' || replace(p_brand, '#', '-') end as heading from part),
+k as (select id, trim(regexp_replace({FOLD.format('title')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as t, trim(regexp_replace({FOLD.format('heading')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as h from r) select distinct least(x.id, y.id) as a, greatest(x.id, y.id) as b from k x join k y on x.t = y.h and x.id <> y.id where x.t <> ''""".replace("p_name || p_brand end", "p_name || ' ' || p_brand end"))
 def j08_title_is_heading(t: Tables) -> DataFrame:
-    side = lambda n: t.part.select(F.col("p_partkey").alias(n), T.comparison_key("p_name").alias("key"), "p_brand")
-    return side("a").join(side("b"), ["key", "p_brand"]).where("a < b").select("a", "b")
+    """Documents whose title is the heading of a note, whatever its case and signs."""
+    size = F.col("p_size") % 3
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.when(size == 0, F.concat_ws(" ", "p_name", "p_brand")).alias("title"), F.when(size == 1, F.concat(F.upper("p_name"), F.lit(" "), F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")))).alias("heading"))
+    return duplicates.title_pairs(rows)
+
+
+@query("""with d as (select p_partkey as x, case p_size % 4 when 0 then p_partkey + 1 when 1 then p_partkey - 1 when 2 then p_partkey + 2 end as y from part) select distinct least(x, y) as a, greatest(x, y) as b from d where y in (select p_partkey from part)""")
+def j09_declared_twins(t: Tables) -> DataFrame:
+    """Twins that notes declare: from their folder, as `source:path`, and above the root in a sibling source."""
+    p, c = F.col("p_partkey"), F.col("p_size") % 4
+    name = lambda x: F.concat(F.lit("n"), x.cast("string"), F.lit(".md"))
+    declared = F.when(c == 0, F.concat(F.lit("./../f/"), name(p + 1))).when(c == 1, F.concat(F.lit("s:f/"), name(p - 1))).when(c == 2, F.concat(F.lit("../../s/f/"), name(p + 2)))
+    rows = t.part.select(p.alias("id"), F.lit("s").alias("source"), F.lit("f").alias("folder"), F.concat(F.lit("f/"), name(p)).alias("path"), declared.alias("declared"))
+    return duplicates.declared_pairs(rows)
+
+
+@query("""select p_partkey, case p_size % 4 when 0 then 's' when 1 then 'o' when 2 then 't' end as source, case p_size % 4 when 0 then 'b/' || p_name when 1 then 'x/' || p_name when 2 then 'u/' || p_name end as path from part""")
+def f15_resolve_declared(t: Tables) -> DataFrame:
+    c = F.col("p_size") % 4
+    written = F.when(c == 0, F.concat(F.lit(".././b/"), "p_name")).when(c == 1, F.concat(F.lit("o:x/"), "p_name")).when(c == 2, F.concat(F.lit("../../t/u/"), "p_name")).otherwise(F.lit("../../t"))
+    found = duplicates.declared_at(F.lit("s"), F.lit("a"), written)
+    return t.part.select("p_partkey", found.alias("f")).select("p_partkey", "f.source", "f.path")
 
 
 SCORES = """s as (select l_orderkey as k, l_linenumber as n, l_returnflag = 'A' as same_name, l_linestatus = 'O' as folder, l_discount * 10 as jac, l_quantity / 50 as ratio, l_shipdate < timestamp '1995-01-01' as commit_, l_tax * 10 as prox from lineitem)"""
@@ -112,9 +131,3 @@ def j10_lock_pairs(t: Tables) -> DataFrame:
     pairs = t.lineitem.groupBy(*key).agg(F.max("l_discount").alias("score")).join(t.lineitem.where("l_tax = 0.08").select(*key), ["a", "b"], "left_anti")
     merged = t.lineitem.where("l_quantity = 50").select(*key, F.lit(1.0).alias("score"))
     return pairs.unionByName(merged).groupBy("a", "b").agg(F.max("score").alias("score"))
-
-
-@query(f"""with {COMBINED} select relation, count(*) as links, count(distinct "from") as sources, {R4.format('max(confidence)')} as best from combined where relation in ('uses') and confidence >= 0.5 group by 1""")
-def q04_related(t: Tables) -> DataFrame:
-    rows = combine_links(evidence(t)).where("relation = 'uses' and confidence >= 0.5")
-    return rows.groupBy("relation").agg(F.count("*").alias("links"), F.count_distinct("from").alias("sources"), T.round4(F.max("confidence")).alias("best"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.session import ship
+from sparkloom.session import shared_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,10 +17,23 @@ class Tables:
     """The tables of a folder, read on demand: `t.documents`."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self._folder = ship(spark), folder
+        self.spark, self.folder = ship(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def once(t: Tables, name: str, write: Callable[[str], None], *, anew: bool = False) -> DataFrame:
+    """A table that `write` makes at a path, once a session and folder, or anew: what later questions read."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if anew or key not in _built:
+        path = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _built[key] = path
+    return t.spark.read.parquet(_built[key])
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

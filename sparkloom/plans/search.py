@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import duplicates, scan, search, terms
-from sparkloom.plans.registry import Tables, query
+from sparkloom.plans.registry import Tables, once, query
 from sparkloom.plans.terms import NORMAL, TOKENS
-from sparkloom.session import checkpointed
+from sparkloom.session import stored
+from sparkloom.sources import sinks
 
 R4 = "floor(({0}) * 10000 + 0.5) / 10000.0"
 #: Phrases that the texts' function words make, as (form, priority, id).
@@ -51,13 +52,13 @@ def l04_scan_documents(t: Tables) -> DataFrame:
     return rows.groupBy("path", "target").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.min("line").cast("long").alias("first_line"))
 
 
-GRAMS = f"""w as (select doc_id as id, {TOKENS.format('text')} as w from documents where doc_id % 2 = 0), g as (select id, list_distinct(list_transform(range(1, len(w) - 3), lambda s: array_to_string(w[s:s + 4], ' '))) as g from w where len(w) >= 5),
+GRAMS = f"""w as (select doc_id as id, {TOKENS.format('text')} as w from documents), g as (select id, list_distinct(list_transform(range(1, len(w) - 3), lambda s: array_to_string(w[s:s + 4], ' '))) as g from w where len(w) >= 5),
 e as (select id, len(g) as n, unnest(g) as shingle from g),
 j as (select a.id as a, b.id as b, a.n as x, b.n as y, count(*) as s from e a join e b on a.shingle = b.shingle and a.id < b.id group by all),
 jac as (select a, b, {R4.format('s / (x + y - s)')} as jaccard, {R4.format('least(x, y) / greatest(x, y)')} as size_ratio from j)"""
 
 
-@query(f"with {GRAMS.replace(' where doc_id % 2 = 0', '')} select id, cast(len(g) as integer) as shingles from g")
+@query(f"with {GRAMS} select id, cast(len(g) as integer) as shingles from g")
 def a19_shingles(t: Tables) -> DataFrame:
     return duplicates.shingles(t.documents).groupBy("id").agg(F.max("n").alias("shingles"))
 
@@ -71,7 +72,7 @@ def a20_minhash_pairs(t: Tables) -> DataFrame:
 @query()
 def l15_resolve_duplicates(t: Tables) -> DataFrame:
     """Near copies of documents by content, source and language: scored, folded or reported."""
-    met = checkpointed(duplicates.banded_pairs(duplicates.signatures(duplicates.shingles(t.documents))))
+    met = stored(duplicates.banded_pairs(duplicates.signatures(duplicates.shingles(t.documents))))
     ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     pairs = duplicates.jaccard(met, duplicates.shingles(t.documents.join(ids, "doc_id", "left_semi")))  # the shingles of those that meet alone
     at = lambda c: t.documents.select(F.col("doc_id").alias(c), F.col("source").alias(f"source_{c}"), F.col("lang").alias(f"lang_{c}"))
@@ -84,17 +85,23 @@ def l15_resolve_duplicates(t: Tables) -> DataFrame:
 
 @query(f"with {GRAMS} select a, b, jaccard, size_ratio from jac where jaccard >= 0.8")
 def l16_content_similarity(t: Tables) -> DataFrame:
-    """Exact Jaccard of 5-word shingles of the documents of even id, pairs of 0.8 or more, met by the shingles they share."""
-    docs = t.documents.where("doc_id % 2 = 0")
-    grams = duplicates.shingles(docs)
-    pairs = grams.select(F.col("id").alias("a"), "shingle").join(grams.select(F.col("id").alias("b"), "shingle"), "shingle").where("a < b").select("a", "b").distinct()
-    return duplicates.jaccard(pairs, grams).where("jaccard >= 0.8")
+    """Exact Jaccard of 5-word shingles of all documents, pairs of 0.8 or more, met by the rarest shingles they share."""
+    return duplicates.similar_pairs(duplicates.shingles(t.documents), 0.8)
 
 
-@query()
-def l16_content_similarity_whole(t: Tables) -> DataFrame:
-    """The pairs of `l16_content_similarity` over all documents; its SQL reads those of even id alone."""
-    return duplicates.similar_pairs(duplicates.shingles(t.documents), 0.8)
+@query(f"with {GRAMS} select count(*) as pairs, true as most from jac where jaccard >= 0.8")
+def j06_band_recall(t: Tables) -> DataFrame:
+    """How many pairs of 0.8 or more there are, and whether the bands meet 0.99 of them; the bands' hashes are Spark's, so
+    SQL cannot give their pairs themselves."""
+    grams = stored(duplicates.shingles(t.documents))
+    true_ = stored(duplicates.similar_pairs(grams, 0.8).select("a", "b"))
+    met = duplicates.banded_pairs(duplicates.signatures(grams)).select("a", "b")
+    first = duplicates.copies(duplicates.signatures(grams))
+    at = lambda n: first.select(F.col("id").alias(n), F.col("first").alias(f"f{n}"))
+    # copies meet through their first one
+    rows = true_.join(at("a"), "a").join(at("b"), "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    hit = rows.join(met.withColumn("hit", F.lit(True)), ["a", "b"], "left").withColumn("hit", F.col("a").eqNullSafe(F.col("b")) | F.coalesce("hit", F.lit(False)))
+    return hit.agg(F.count("*").alias("pairs"), (F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(1.0)) >= 0.99).alias("most"))
 
 
 FIELDS = "fields as (select p_partkey as entity, 'title' as field, p_name as text from part union all select p_partkey, 'summary', p_type from part union all select p_partkey, 'other', p_brand from part)"
@@ -109,9 +116,15 @@ def index(t: Tables) -> DataFrame:
     return search.postings(part("title", "p_name").unionByName(part("summary", "p_type")).unionByName(part("other", "p_brand")))
 
 
+def stored_index(t: Tables) -> DataFrame:
+    """The index of a folder's parts, built once a session and kept as a folder a shard."""
+    return once(t, "parts", lambda path: sinks.write_index(index(t), path))
+
+
 @query(f"with {POSTINGS} select * from postings")
 def a16_search_index(t: Tables) -> DataFrame:
-    return index(t)
+    """Builds the index and stores it; questions read the shards of their words."""
+    return once(t, "parts", lambda path: sinks.write_index(index(t), path), anew=True).select("shard", "token", "entity", "weight")
 
 
 @query(f"""with {POSTINGS}, a as (select entity, max(weight) as s0 from postings where starts_with(token, 'sma') group by entity),
@@ -119,14 +132,14 @@ b as (select entity, max(weight) as s1 from postings where starts_with(token, 'g
 r as (select a.entity, s0 + s1 as score, coalesce(cited, 0) as cited from a join b using (entity) left join c using (entity))
 select entity, score, row_number() over (order by score desc, cited desc, entity) as rank from r""")
 def q09_search(t: Tables) -> DataFrame:
-    cited = t.lineitem.groupBy(F.col("l_partkey").alias("entity")).agg(F.count_distinct("l_suppkey").alias("cited"))
-    return search.ranked(index(t), ["sma", "gi"], cited)
+    cited = once(t, "cited", lambda path: t.lineitem.groupBy(F.col("l_partkey").alias("entity")).agg(F.count_distinct("l_suppkey").alias("cited")).write.parquet(path))
+    return search.ranked(stored_index(t), ["sma", "gi"], cited)
 
 
 @query(f"""with {POSTINGS}, c as (select distinct token, case when starts_with(token, 'gizz') then 4 when starts_with(token, 'giz') then 3 else 2 end as common from postings where shard = 'gi')
 select token from c order by common desc, length(token), token limit 1""")
 def q10_closest_form(t: Tables) -> DataFrame:
-    return search.closest(index(t), "gizzard")
+    return search.closest(stored_index(t), "gizzard")
 
 
 @query("""with c as (select *, p_brand in ('Brand#1', 'Brand#2') as b, p_size in ('1', '2', '3') as z from (select p_brand, p_type, cast(p_size as varchar) as p_size from part))
@@ -145,3 +158,64 @@ def q01_resolve(t: Tables) -> DataFrame:
 select id, position, substr(f, greatest(1, position - 80), position + 6 + 80 - greatest(1, position - 80)) as excerpt from p where position > 0""")
 def q15_passages(t: Tables) -> DataFrame:
     return search.passages(t.documents.select(F.col("doc_id").alias("id"), "text"), "of the")
+
+
+@query("""select p_partkey from part where p_brand in ('Brand#1', 'Brand#2') and p_size in (1, 2, 3) and not (p_type = 'ECONOMY')""")
+def p08_facet_filter(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", "p_brand", F.col("p_size").cast("string").alias("p_size"), (F.col("p_type") == "ECONOMY").alias("keyword"))
+    return search.filtered(rows, {"p_brand": ["Brand#1", "Brand#2"], "p_size": ["1", "2", "3"]}, keywords="exclude").select("p_partkey")
+
+
+@query("select 0 as p_partkey, 'deja|red|gear|l''eau' as asked")
+def f20_question_words(t: Tables) -> DataFrame:
+    """A question's words, folded, without what stands about them and each once."""
+    return t.spark.createDataFrame([(0, "|".join(T.question_words('  "Déjà" (red) red, gear. l’eau a ')))], "p_partkey int, asked string")
+
+
+FIRST_WORDS = f"""u as (select cast(doc_id as varchar) as path, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents),
+w as (select path, line, text, {TOKENS.format('text')} as t, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+[^\\p{{L}}\\p{{M}}\\p{{N}}]*') as g from u where trim(text) <> '')"""
+BLANK = "regexp_matches({0}, '^[\\p{{L}}\\p{{M}}\\p{{N}}]+\\s*$')"
+
+
+@query(f"""with {FIRST_WORDS}, x as (select path, line, unnest(t) as w, unnest(g) as g, unnest(range(len(t))) as i from w), y as (select *, lag(w) over (partition by path, line order by i) as p1, lag(g) over (partition by path, line order by i) as g1, lag(w, 2) over (partition by path, line order by i) as p2, lag(g, 2) over (partition by path, line order by i) as g2 from x),
+o as (select path, line, i, w, case when p1 = 'of' and p2 = 'the' and {BLANK.format('g1')} and {BLANK.format('g2')} then 'object' when p1 = 'of' and {BLANK.format('g1')} then 'screen' when p1 = 'and' and {BLANK.format('g1')} then 'rule' end as expected from y where w in ('the', 'that'))
+select w as key, expected as expected_type, case when expected is null then 0.6 else 0.7 end as confidence, count(*) as n, count(distinct path) as documents from o group by all""")
+def l05_announced_types(t: Tables) -> DataFrame:
+    """Mentions that a type's prefix stands right before, the longest first; they count for more."""
+    known = scan.dictionary(t.spark.createDataFrame([("the", 1, "t1"), ("that", 1, "t2")], "form string, priority int, id string"))
+    units = terms.units(t.documents)
+    found = scan.announced(units, scan.occurrences(units, known), {"screen": ["of"], "object": ["the of"], "rule": ["and"], "note": ["in"], "page": ["in"]})
+    rows = scan.mentions(found, known)
+    return rows.groupBy("key", "expected_type", "confidence").agg(F.count("*").alias("n"), F.count_distinct("path").alias("documents"))
+
+
+@query(f"""with {LONGEST}, m as (select l.path, l.line, start, "end", key, unnest(targets) as target from longest l join dict using (key)), r as (select *, row_number() over (partition by path, line, start order by target, "end" desc, key) as n from m)
+select path, line, cast(start as integer) as start, cast("end" as integer) as "end", target from r where n = 1""")
+def l09_recognised_words(t: Tables) -> DataFrame:
+    """The first target of each recognised span."""
+    known = dictionary(t)
+    rows = scan.recognised(scan.mentions(scan.longest_matches(scan.occurrences(terms.units(t.documents), known)), known))
+    return rows.select("path", F.col("line").cast("long").alias("line"), "start", "end", "target")
+
+
+@query("""with p as (select distinct l_suppkey as target, l_returnflag as source, cast(l_partkey as varchar) as path, l_linenumber as line, l_linestatus as type from lineitem), g as (select target, source, path, count(*) as passages, min(line) as first, bool_or(type = 'F') as lead from p group by all),
+o as (select *, row_number() over (partition by target order by lead desc, passages desc, source, path) as page from g), q as (select distinct target, source, path, line from p), j as (select q.*, passages, first, page from q join o using (target, source, path))
+select target, source, path, line, passages, cast(row_number() over (partition by target order by case when page <= 5 and line = first then 0 when page <= 5 then 1 else 2 end, page, line) as integer) as place from j""")
+def w06_mention_panels(t: Tables) -> DataFrame:
+    """The passages that name each supplier, in the order of its panel: a part's lines are a page's passages."""
+    rows = t.lineitem.select(F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("source"), F.col("l_partkey").cast("string").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("type"))
+    return scan.panel(rows, lead_type="F")
+
+
+@query()
+def j04_dictionary_scan_300(t: Tables) -> DataFrame:
+    """The scan with over 300 keys: the 320 most frequent runs of one and two words are looked for in all documents."""
+    return wide_scan(t)
+
+
+def wide_scan(t: Tables) -> DataFrame:
+    units = terms.units(t.documents)
+    runs = terms.ngrams(units).where("words <= 2").groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(320)
+    known = scan.dictionary(stored(runs).select(F.col("key").alias("form"), F.lit(1).alias("priority"), F.col("key").alias("id")))
+    found = scan.occurrences(units, stored(known))
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("path").alias("documents"), F.sum("start").alias("places"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +9,13 @@ from sparkloom.functions import names
 from sparkloom.functions import text as T
 from sparkloom.operators import terms
 from sparkloom.plans.registry import Tables, query
+from sparkloom.session import spread
+from sparkloom.sources import markdown
 
 FOLD = "lower(strip_accents({0}))"
 TOKENS = "list_transform(regexp_extract_all(" + FOLD + ", '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: " + T.singular_sql("w").replace("{", "{{").replace("}", "}}") + ")"
 NORMAL = "trim(regexp_replace(translate(" + FOLD + ", '’ʼ', ''''''), '\\s+', ' ', 'g'))"
-ENGLISH = "documents where lang = 'en'"
 R4 = "floor(({0}) * 10000 + 0.5) / 10000.0"
-STOP = "[" + ", ".join(f"'{w}'" for w in terms.STOPWORDS) + "]"
 
 
 @query(f"select doc_id, {NORMAL.format('text')} as norm from documents")
@@ -25,9 +23,9 @@ def f01_normalize(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.normalize("text").alias("norm"))
 
 
-@query(f"select w, {T.singular_sql('w')} as singular, count(*) as n from (select unnest(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) as w from {ENGLISH}) group by w")
+@query(f"select w, {T.singular_sql('w')} as singular, count(*) as n from (select unnest(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) as w from documents) group by w")
 def f02_singularize(t: Tables) -> DataFrame:
-    words = t.documents.where("lang = 'en'").select(F.explode(F.regexp_extract_all(T.fold("text"), F.lit(T.WORD), F.lit(0))).alias("w"))
+    words = t.documents.select(F.explode(F.regexp_extract_all(T.fold("text"), F.lit(T.WORD), F.lit(0))).alias("w"))
     return words.groupBy("w").agg(F.count("*").alias("n")).select("w", T.singularize("w").alias("singular"), "n")
 
 
@@ -68,9 +66,10 @@ def f07_context_around(t: Tables) -> DataFrame:
     return rows.select("doc_id", T.context_around("text", F.col("s"), F.col("s") + 3, 160).alias("context"))
 
 
-@query(f"select page_id, regexp_replace(regexp_replace({FOLD.format('url')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from pages")
+@query(f"select page_id, regexp_replace(regexp_replace({FOLD.format('url')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, 'u5ffcbea4' as none from pages")
 def f09_slugify(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.slugify("url").alias("slug"))
+    """Slugs, and what a name without a letter of ASCII gets: a hash that is the same wherever it is made."""
+    return t.pages.select("page_id", T.slugify("url").alias("slug"), T.slugify(F.lit("日本")).alias("none"))
 
 
 @query("""select doc_id, case when regexp_matches(lang || '-' || doc_id, '^en-[0-9]+$') then lang || '-' || doc_id else source || '/' || lang || '/' || doc_id end as id,
@@ -88,22 +87,20 @@ def f11_comparison_key(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.comparison_key("text").alias("key"))
 
 
-@query(f"""with n as (select distinct p_name as name, substr(p_name, 1, 1) as c from part), p as (select a.name as a, b.name as b, jaro_winkler_similarity(a.name, b.name) as s from n a join n b on a.c = b.c and a.name < b.name)
+@query(f"""with n as (select distinct p_name as name from part), p as (select a.name as a, b.name as b, jaro_winkler_similarity(a.name, b.name) as s from n a join n b on a.name < b.name)
 select a, b, {R4.format('s')} as similarity from p where s >= 0.9""")
 def f12_jaro_winkler(t: Tables) -> DataFrame:
-    """Names that are close: met by their first letter, cut by the bound on the lengths, then compared."""
-    rows = t.part.select(F.col("p_name").alias("name")).distinct().withColumn("c", F.substring("name", 1, 1))
-    pairs = rows.alias("a").join(rows.alias("b"), "c").where("a.name < b.name").where(names.may_be_similar(F.col("a.name"), F.col("b.name")))
-    pairs = pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+    """Names that are close: all that the lengths and shared characters do not rule out, then compared."""
+    pairs = names.candidates(t.part.select(F.col("p_name").alias("name")).distinct(), 0.9)
     return pairs.withColumn("s", names.jaro_winkler("a", "b")).where("s >= 0.9").select("a", "b", T.round4(F.col("s")).alias("similarity"))
 
 
-@query()
-def f12_jaro_winkler_whole(t: Tables) -> DataFrame:
-    """The pairs of `f12_jaro_winkler` without its block of first letters, which pairs like 'cold bolt' and 'old bolt' lack."""
-    rows = t.part.select(F.col("p_name").alias("name")).distinct()
-    pairs = names.candidates(rows, 0.9)
-    return pairs.withColumn("s", names.jaro_winkler("a", "b")).where("s >= 0.9").select("a", "b", T.round4(F.col("s")).alias("similarity"))
+@query("""with n as (select distinct p_name as name from part), p as (select a.name as a, b.name as b, length(a.name) as x, length(b.name) as y from n a join n b on a.name < b.name),
+c as (select a, b, x, y, unnest(list_distinct(string_split(a, ''))) as c from p), m as (select a, b, x, y, sum(least(len(a) - len(replace(a, c, '')), len(b) - len(replace(b, c, '')))) as m from c group by all)
+select a, b from m where m / x + m / y + 1 >= 3 * (0.9 - 0.4) / 0.6 - 1e-9 and least(x, y) >= (3 * (0.9 - 0.4) / 0.6 - 2) * greatest(x, y) - 1e-9""")
+def f13_shared_characters(t: Tables) -> DataFrame:
+    """Pairs of names that the bound on shared characters leaves for the comparison."""
+    return names.candidates(t.part.select(F.col("p_name").alias("name")).distinct(), 0.9)
 
 
 @query("""with x as (select p_partkey, list_filter(string_split(p_brand || '/' || p_type, '/'), lambda s: s <> '') as a, list_filter(string_split(p_brand || '/' || p_size, '/'), lambda s: s <> '') as b from part)
@@ -133,9 +130,31 @@ def f23_letter_of(t: Tables) -> DataFrame:
     return t.part.groupBy(T.letter_of("p_name").alias("letter")).agg(F.count("*").alias("n"))
 
 
-@query("select c_custkey, regexp_replace(regexp_replace(lower(strip_accents(c_name)), '(\\d+)', '000000000000\\1', 'g'), '\\d*(\\d{12})', '\\1', 'g') as sort_key from customer")
+@query("""with r as (select c_custkey, regexp_extract_all(lower(strip_accents(c_name)) || ' ' || repeat('9', 1 + c_nationkey), '\\d+|\\D+') as runs from customer),
+b as (select c_custkey, list_transform(runs, lambda r: case when regexp_matches(r, '^\\d') then lpad(cast(length(coalesce(nullif(ltrim(r, '0'), ''), '0')) as varchar), 5, '0') || coalesce(nullif(ltrim(r, '0'), ''), '0') else r end) as k from r)
+select c_custkey, array_to_string(k, '') as sort_key from b""")
 def f25_numeric_collation(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", T.numeric_key("c_name").alias("sort_key"))
+    """Sort keys of names that end in numbers of up to 25 digits."""
+    long_ = F.concat("c_name", F.lit(" "), F.repeat(F.lit("9"), F.col("c_nationkey").cast("int") + 1))
+    return t.customer.select("c_custkey", T.numeric_key(long_).alias("sort_key"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then strftime(o_orderdate, '%Y-%m-%d') when o_orderkey % 3 = 1 then strftime(o_orderdate + interval 1 day, '%Y-%m-%d') end as day from orders""")
+def f27_date_of_file(t: Tables) -> DataFrame:
+    """The day that a note states, else the one in its file's name."""
+    k, day = F.col("o_orderkey") % 3, lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd")
+    written = F.when(k == 0, F.concat(day(0), F.lit("T10:00"))).when(k == 2, "2020-13-45")
+    return t.orders.select("o_orderkey", T.date_of(written, F.when(k < 2, F.concat(F.lit("2001-01-01/x-"), day(1), F.lit(".md"))).otherwise("a.md")).alias("day"))
+
+
+@query("""with w as (select p_partkey, p_name || ' `' || p_brand || '`  is' as t, length(p_name) + length(p_brand) + 5 as s from part), l as (select *, greatest(0, s - 9) as low from w)
+select p_partkey, case when low > 0 then '…' else '' end || substr(t, low + 1, 20) as context from l""")
+def f08_occurrence_context(t: Tables) -> DataFrame:
+    """What stands about a word that follows inline code, the code put back."""
+    text = F.concat("p_name", F.lit("   is"))
+    code = F.array(F.struct((F.length("p_name") + 1).alias("at"), F.col("p_brand").alias("text")))
+    found = T.occurrence_context(text, code, F.length("p_name") + 3, F.length("p_name") + 5, 20)
+    return t.part.select("p_partkey", found.alias("context"))
 
 
 @query("""with c as (select event_id, printf('%02d:%02d:%02d.%03d', event_id // 3600, (event_id // 60) % 60, event_id % 60, event_id % 1000) as cue from events)
@@ -164,126 +183,161 @@ def f29_fingerprint(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
 
 
-NGRAMS = f"""toks as (
-  select path, line, list_transform(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: {T.singular_sql('w')}) as t from (
-    select cast(doc_id as varchar) as path, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from {ENGLISH}) where trim(text) <> ''
-), starts as (select path, line, t, unnest(range(len(t))) as position from toks),
-spans as (select path, line, t, position, unnest(range(1, least(4, len(t) - position) + 1)) as words from starts where not list_contains({STOP}, t[position + 1])),
-ngrams as (select path, line, position, words, array_to_string(t[position + 1:position + words], ' ') as key from spans where not list_contains({STOP}, t[position + words])),
-kept as (select * from ngrams where length(key) >= 3 and not regexp_matches(key, '^[\\p{{N}} ]+$'))"""
+STOPS = "case lang " + " ".join(f"when '{lang}' then [{', '.join(repr(w) for w in words)}]" for lang, words in terms.STOPWORDS_OF.items()) + " else [''] end"
+NGRAMS = f"""toks as materialized (
+  select path, lang, line, list_transform(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: {T.singular_sql('w')}) as t from (
+    select cast(doc_id as varchar) as path, lang, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) where trim(text) <> ''
+), words as materialized (select path, lang, line, unnest(t) as w, unnest(range(len(t))) as position from toks),
+stopped as (select distinct lang, w from words where list_contains({STOPS}, w)),
+marked as materialized (select words.*, stopped.w is not null as stop from words left join stopped using (lang, w)),
+seen as (select *, lead(w, 1) over p as w1, lead(w, 2) over p as w2, lead(w, 3) over p as w3, lead(stop, 1) over p as s1, lead(stop, 2) over p as s2, lead(stop, 3) over p as s3 from marked window p as (partition by path, line order by position)),
+ngrams as (
+  select path, lang, line, position, 1 as words, w as key from seen where not stop
+  union all select path, lang, line, position, 2, w || ' ' || w1 from seen where not stop and not s1
+  union all select path, lang, line, position, 3, w || ' ' || w1 || ' ' || w2 from seen where not stop and not s2
+  union all select path, lang, line, position, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 from seen where not stop and not s3),
+kept as materialized (select * from ngrams where length(key) >= 3 and not regexp_matches(key, '^[\\p{{N}} ]+$'))"""
+
 
+def text_units(t: Tables) -> DataFrame:
+    return terms.units(t.documents, keep=("lang",))
 
-@query(f"with {NGRAMS} select words, count(*) as n, count(distinct key) as keys, min(key) as first_key, max(key) as last_key from kept group by words")
+
+@query(f"with {NGRAMS} select lang, cast(words as bigint) as words, count(*) as n, count(distinct key) as keys, min(key) as first_key, max(key) as last_key from kept group by lang, words")
 def l11_ngrams(t: Tables) -> DataFrame:
-    found = terms.ngrams(terms.units(t.documents.where("lang = 'en'")))
-    by_key = found.groupBy("words", "key").agg(F.count("*").alias("n"))
-    return by_key.groupBy(F.col("words").cast("long").alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    by_key = terms.ngrams(text_units(t)).groupBy("lang", "words", "key").agg(F.count("*").alias("n"))
+    return by_key.groupBy("lang", F.col("words").cast("long").alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-SCORED = f"""{NGRAMS}, groups as (select key, words, count(*) as occurrences, count(distinct path) as documents from kept group by key, words),
-corpus as (select count(distinct path) as n from kept), frequent as (select * from groups where occurrences >= 3 and documents >= 2),
-parts as (select distinct f.key as whole, f.occurrences, array_to_string(string_split(f.key, ' ')[s:s + z - 1], ' ') as key
-  from (select *, unnest(range(1, words)) as z from frequent where words > 1) f, lateral (select unnest(range(1, words - z + 2)) as s)),
-penalty as (select key, sum(occurrences) / count(*) as mean from parts group by key),
-scored as (select f.key, f.words, f.occurrences, f.documents,
+SUFFIXED = "(w like '%ly' and length(w) > 2) or (w like '%ing' and length(w) > 3) or (w like '%ed' and length(w) > 2)"
+SCORED = f"""{NGRAMS}, groups as (select lang, key, words, count(*) as occurrences, count(distinct path) as documents from kept group by lang, key, words),
+corpus as (select lang, count(distinct path) as n from kept group by lang), frequent as materialized (select * from groups where occurrences >= 3 and documents >= 2),
+cuts as (select * from (values (1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) v(z, s)),
+parts as (select distinct f.lang, f.key as whole, f.occurrences, array_to_string(string_split(f.key, ' ')[s:s + z - 1], ' ') as key from frequent f join cuts on z < f.words and s + z - 1 <= f.words),
+penalty as (select lang, key, sum(occurrences) / count(*) as mean from parts group by lang, key),
+scored as (select f.lang, f.key, f.words, f.occurrences, f.documents,
     {R4.format("log2(f.words + 1) * (f.occurrences - coalesce(mean, 0.0)) * ln(1 + c.n / f.documents)")} as score,
     {R4.format("f.documents / c.n")} as spread, {R4.format("f.occurrences / f.documents")} as burst, c.n as corpus,
-    len(list_filter(string_split(f.key, ' '), lambda w: (w like '%ly' and length(w) > 2) or (w like '%ing' and length(w) > 3) or (w like '%ed' and length(w) > 2))) > 0 as inflected
-  from frequent f left join penalty using (key), corpus c),
-terms as (select *, {R4.format("(1 - case when corpus < 10 then 0.0 else greatest(0.0, spread - 0.5) / 0.5 end) * case when documents < 5 then 1.0 else least(1.0, 0.5 + 0.5 * (burst - 1) / 0.5) end * 0.8 * 0.9 * case when inflected then 0.8 else 1.0 end")} as confidence from scored)"""
+    len(list_filter(string_split(f.key, ' '), lambda w: {SUFFIXED})) > 0 as inflected
+  from frequent f left join penalty using (lang, key) join corpus c using (lang)),
+terms as materialized (select *, {R4.format("(1 - case when corpus < 10 then 0.0 else greatest(0.0, spread - 0.5) / 0.5 end) * case when documents < 5 then 1.0 else least(1.0, 0.5 + 0.5 * (burst - 1) / 0.5) end * 0.8 * 0.9 * case when inflected then 0.8 else 1.0 end")} as confidence from scored)"""
 
 
 def _terms(t: Tables) -> DataFrame:
-    return terms.score_terms(terms.ngrams(terms.units(t.documents.where("lang = 'en'"))))
+    return terms.score_terms(text_units(t))
 
 
-@query(f"with {SCORED} select key, cast(words as integer) as words, occurrences, documents, score, spread, burst, 0.0 as prominence, false as neighbour, inflected, confidence from terms")
+@query(f"with {SCORED} select lang, key, cast(words as integer) as words, occurrences, documents, score, spread, burst, 0.0 as prominence, false as neighbour, inflected, confidence from terms")
 def a06_term_discovery(t: Tables) -> DataFrame:
-    """C-value and inverse document frequency of the n-grams of all English documents, with signals and confidence."""
+    """C-value and inverse document frequency of the n-grams of all documents, language by language, with signals and confidence."""
     return _terms(t)
 
 
-@query(f"""with {SCORED}, s as (select *, confidence >= 0.5 as page, regexp_replace(regexp_replace({FOLD.format('key')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug0 from terms),
-n as (select *, row_number() over (partition by slug0, page order by key) as nth from s)
-select key, score, confidence, case when page then 'page' else 'withheld' end as fate, case when not page then null when nth = 1 then slug0 else slug0 || '-' || nth end as slug from n""")
+SLUG = f"regexp_replace(regexp_replace({FOLD.format('key')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"""with {SCORED}, s as (select *, confidence >= 0.5 as page, {SLUG} as slug0 from terms),
+n as (select *, row_number() over (partition by slug0, page order by lang, key) as nth from s)
+select lang, key, score, confidence, case when page then 'page' else 'withheld' end as fate, case when not page then null when nth = 1 then slug0 else slug0 || '-' || nth end as slug from n""")
 def l12_publish_terms(t: Tables) -> DataFrame:
-    return terms.published(_terms(t)).select("key", "score", "confidence", "fate", "slug")
+    """Of two languages' keys of one slug the later language's takes the next number."""
+    return terms.published(_terms(t), order=("lang", "key")).select("lang", "key", "score", "confidence", "fate", "slug")
+
+
+@query(f"""with {SCORED}, p as (select lang, key, {SLUG} as slug from terms where confidence >= 0.5), n as (select *, row_number() over (partition by slug order by lang, key) as nth from p)
+select lang, key, 'keywords/' || slug || case when nth = 1 then '' else '-' || nth end as id from n""")
+def w04_page_ids(t: Tables) -> DataFrame:
+    """The pages' ids over all languages; a number that is another page's own slug is passed over."""
+    return terms.page_ids(_terms(t).where("confidence >= 0.5")).select("lang", "key", "id")
 
 
-@query(f"""with {SCORED} select key, documents, occurrences, rank from (select key, documents, occurrences, row_number() over (order by documents desc, occurrences desc, key) as rank from terms where documents >= 5) where rank <= 50""")
+@query(f"""with {SCORED} select lang, key, documents, occurrences, rank from (select lang, key, documents, occurrences, row_number() over (partition by lang order by documents desc, occurrences desc, key) as rank from terms where documents >= 5) where rank <= 50""")
 def o03_undefined_terms(t: Tables) -> DataFrame:
-    """The 50 expressions of most files: a report with a limit of its own."""
-    top = _terms(t).where("documents >= 5").orderBy(F.desc("documents"), F.desc("occurrences"), "key").limit(50).select("key", "documents", "occurrences")
-    rank = F.struct(-F.col("documents"), -F.col("occurrences"), F.col("key"))
-    ranks = top.agg(F.array_sort(F.collect_list(rank)).alias("r")).select(F.posexplode("r").alias("i", "s")).select(F.col("s.key").alias("key"), (F.col("i") + 1).cast("long").alias("rank"))
-    return top.join(ranks, "key")
+    """The 50 expressions of most files of each language: a report with a limit of its own."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("documents"), F.desc("occurrences"), "key"))
+    rows = _terms(t).where("documents >= 5").withColumn("rank", rank).where(F.col("rank") <= 50)
+    return rows.select("lang", "key", "documents", "occurrences", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""with k as (select distinct lower(p_name) as key from part), w as (select key, list_distinct(string_split(key, ' ')) as w from k), e as (select key, w, unnest(w) as word from w),
-p as (select a.key as key, b.key as other, len(a.w) as x, len(b.w) as y, count(*) as shared from e a join e b on a.word = b.word and a.key <> b.key group by a.key, b.key, len(a.w), len(b.w)),
-s as (select *, shared / (x + y - shared) as o from p where contains(' ' || key || ' ', ' ' || other || ' ') or contains(' ' || other || ' ', ' ' || key || ' ') or 2 * shared >= greatest(x, y)),
-r as (select *, row_number() over (partition by key order by o desc, other) as rank from s) select key, other, {R4.format('o')} as overlap, cast(rank as integer) as rank from r where rank <= 5""")
-def l10_similar_expressions(t: Tables) -> DataFrame:
-    return terms.similar(t.part.select(F.lower("p_name").alias("key")))
+KNOWN = "known as (select * from (values " + ", ".join(f"('{k}', 't{i}')" for i, k in enumerate(("ret", "ment", "anderst tion", "ouch", "oner", "tion"))) + ") v(key, target))"
 
 
-@query("""with m as (select lower(w) as key, w as surface, row_number() over (partition by lower(w) order by doc_id, i) as rank from (
-  select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as ws from documents where lang = 'en'))),
-c as (select key, surface, count(*) as n, max(rank) as reached from m group by key, surface)
-select key, surface, n from (select *, row_number() over (partition by key order by n desc, reached) as r from c) where r = 1""")
-def a09_display_form(t: Tables) -> DataFrame:
-    rows = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "surface"))
-    # (document, place) orders as the rank in the whole corpus would, without numbering it
-    return terms.display_forms(rows.select(F.lower("surface").alias("key"), "surface", F.struct("doc_id", "i").alias("rank")))
+def known_terms(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(k, [f"t{i}"]) for i, k in enumerate(("ret", "ment", "anderst tion", "ouch", "oner", "tion"))], "key string, targets array<string>")
 
 
-# The queries above read English documents alone, as their SQL does; these read all, language by language.
+@query(f"with {NGRAMS}, {KNOWN} select lang, key, count(*) as occurrences, count(distinct path) as documents from kept join known using (key) group by lang, key having count(*) >= 3 and count(distinct path) >= 2")
+def a10_defined_expressions(t: Tables) -> DataFrame:
+    return terms.defined_expressions(terms.ngrams(text_units(t)), known_terms(t))
 
 
-def by_language(t: Tables, rows: Callable[[DataFrame, terms.TermOptions], DataFrame]) -> DataFrame:
-    """`rows` of the n-grams of each language, with its stopwords; one plan a language, of which a corpus has a few."""
-    out = None
-    for (lang,) in sorted(t.documents.select("lang").distinct().collect(), key=lambda r: (r[0] is None, r[0] or "")):
-        options = terms.TermOptions(stopwords=terms.STOPWORDS_OF.get(lang, ("",)))
-        found = terms.ngrams(terms.units(t.documents.where(F.col("lang").eqNullSafe(F.lit(lang)))), options)
-        some = rows(found, options).select(F.lit(lang).cast("string").alias("lang"), "*")
-        out = some if out is None else out.unionByName(some)
-    return out
+@query(f"""with {NGRAMS}, {KNOWN}, d as (select key from kept group by lang, key having count(*) >= 3 and count(distinct path) >= 2), pages as (select 'keywords/tion' as id)
+select distinct target, 'keywords/' || replace(key, ' ', '-') as id from known where key in (select key from d) and 'keywords/' || replace(key, ' ', '-') not in (select id from pages)""")
+def l12d_taken_over(t: Tables) -> DataFrame:
+    """Pages that defined expressions would have had lead to their notes, but for an id that a page holds."""
+    defined = terms.defined_expressions(terms.ngrams(text_units(t)), known_terms(t))
+    return terms.taken_over(defined, known_terms(t), t.spark.createDataFrame([("keywords/tion",)], "id string"))
 
 
-@query()
-def f02_singularize_whole(t: Tables) -> DataFrame:
-    words = t.documents.select(F.explode(F.regexp_extract_all(T.fold("text"), F.lit(T.WORD), F.lit(0))).alias("w"))
-    return words.groupBy("w").agg(F.count("*").alias("n")).select("w", T.singularize("w").alias("singular"), "n")
+def notes(t: Tables) -> DataFrame:
+    """A note a part, as the Markdown reader gives them, with lang."""
+    text = F.concat(
+        F.lit("---\ntitle: "), "p_name", F.lit("\nsize: "), F.col("p_size").cast("string"), F.lit("\ntags: ["), "p_brand", F.lit(", stock]\n---\n# "), "p_name", F.lit("\n\n## Reads\n\n- Reads: the "), "p_name",
+        F.lit(" of\n  the stock\n- Notes: plain\n\nSee [the "), "p_brand", F.lit("](x.md) and\n`code` more.\n"),
+    )
+    made = markdown.parse_notes(spread(t.part).select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")))
+    return made.withColumn("lang", F.lit("en"))
 
 
-@query()
-def l11_ngrams_whole(t: Tables) -> DataFrame:
-    by_key = by_language(t, lambda found, _: found.groupBy("words", "key").agg(F.count("*").alias("n")))
-    return by_key.groupBy("lang", F.col("words").cast("long").alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+@query("""select cast(p_partkey as varchar) as path, 'the ' || p_name || ' of the stock' as text, 'list' as kind from part union all select cast(p_partkey as varchar), 'Notes: plain', 'list' from part
+union all select cast(p_partkey as varchar), 'See the ' || p_brand || ' and  more.', 'paragraph' from part""")
+def l12a_usage_units(t: Tables) -> DataFrame:
+    """Notes' units that use words: no headings, and no label of a mapped section in front of an item."""
+    rows = notes(t).select("path", F.explode("units").alias("u")).select("path", "u.line", "u.kind", "u.text")
+    return terms.usage_units(rows, ("reads",)).select("path", "text", "kind")
 
 
-@query()
-def a06_term_discovery_whole(t: Tables) -> DataFrame:
-    return by_language(t, terms.score_terms)
+@query("""with p as (select cast(p_partkey as varchar) as path, p_name, p_brand from part) select path, p_name as text, 2 as n from p union all select path, 'Reads', 1 from p union all select path, 'the ' || p_brand, 1 from p
+union all select path, p_brand, 1 from p union all select path, 'stock', 1 from p""")
+def l12b_prominent_units(t: Tables) -> DataFrame:
+    """What notes put forward: headings, link texts, the strings of the frontmatter."""
+    return terms.prominent_units(notes(t)).groupBy("path", "text").agg(F.count("*").cast("int").alias("n"))
 
 
-@query()
-def l12_publish_terms_whole(t: Tables) -> DataFrame:
-    """Of two languages' keys of one slug the later language's takes the next number."""
-    return terms.published(by_language(t, terms.score_terms), order=("lang", "key")).select("lang", "key", "score", "confidence", "fate", "slug")
+@query("""with u as (select p_partkey, lower(p_name) as n, string_split(lower(p_name), ' ') as w, lower(p_brand) as b from part),
+k as (select 'note' as kind) select count(*) > 0 as found, true as prominent from u""")
+def l13_discover_keywords(t: Tables) -> DataFrame:
+    """The whole of keyword discovery over notes: whether it gives terms, all of which their prominence lifts to 0.8 at least."""
+    known = t.spark.createDataFrame([("stock", ["t1"])], "key string, targets array<string>")
+    found = terms.discover(notes(t), known, labels=("reads",))["terms"]
+    return found.agg((F.count("*") > 0).alias("found"), F.coalesce(F.bool_or(F.col("prominence") > 0), F.lit(False)).alias("prominent"))
 
 
-@query()
-def o03_undefined_terms_whole(t: Tables) -> DataFrame:
-    """The 50 expressions of most files of each language."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("documents"), F.desc("occurrences"), "key")).cast("long")
-    rows = by_language(t, terms.score_terms).where("documents >= 5").withColumn("rank", rank)
-    return rows.where(F.col("rank") <= 50).select("lang", "key", "documents", "occurrences", "rank")
+@query(f"""with k as (select distinct lower(p_name) as key from part), w as (select key, list_distinct(string_split(key, ' ')) as w from k), e as (select key, w, unnest(w) as word from w),
+p as (select a.key as key, b.key as other, len(a.w) as x, len(b.w) as y, count(*) as shared from e a join e b on a.word = b.word and a.key <> b.key group by a.key, b.key, len(a.w), len(b.w)),
+s as (select *, shared / (x + y - shared) as o from p where contains(' ' || key || ' ', ' ' || other || ' ') or contains(' ' || other || ' ', ' ' || key || ' ') or 2 * shared >= greatest(x, y)),
+r as (select *, row_number() over (partition by key order by o desc, other) as rank from s) select key, other, {R4.format('o')} as overlap, cast(rank as integer) as rank from r where rank <= 5""")
+def l10_similar_expressions(t: Tables) -> DataFrame:
+    return terms.similar(t.part.select(F.lower("p_name").alias("key")))
 
 
-@query()
-def a09_display_form_whole(t: Tables) -> DataFrame:
+@query("""with m as (select lang, lower(w) as key, w as surface, row_number() over (partition by lang, lower(w) order by doc_id, i) as rank from (
+  select lang, doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from (select lang, doc_id, regexp_extract_all(text, '[\\p{L}\\p{M}]+') as ws from documents))),
+c as (select lang, key, surface, count(*) as n, max(rank) as reached from m group by lang, key, surface)
+select lang, key, surface, n from (select *, row_number() over (partition by lang, key order by n desc, reached) as r from c) where r = 1""")
+def a09_display_form(t: Tables) -> DataFrame:
     rows = t.documents.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("i", "surface"))
+    # (document, place) orders as the rank in the whole corpus would, without numbering it
     found = rows.select(F.struct("lang", F.lower("surface").alias("key")).alias("key"), "surface", F.struct("doc_id", "i").alias("rank"))
     return terms.display_forms(found).select("key.lang", "key.key", "surface", "n")
+
+
+@query(f"""with p as (select distinct p_name as key from part), w as (select key, 'keywords/' || replace(key, ' ', '-') as id from p), e as (select key, id as lead from w union all select 'red', 'd1' union all select 'gear small', 'd2'),
+x as (select a.id, a.key, b.lead, b.key as other, list_distinct(string_split(a.key, ' ')) as u, list_distinct(string_split(b.key, ' ')) as v from w a join e b on a.key <> b.key and a.id <> b.lead),
+y as (select *, len(list_intersect(u, v)) as shared from x), s as (select id, lead, shared / (len(u) + len(v) - shared) as o from y where contains(' ' || key || ' ', ' ' || other || ' ') or contains(' ' || other || ' ', ' ' || key || ' ') or 2 * shared >= greatest(len(u), len(v))),
+b as (select id, lead, max({R4.format('o')}) as overlap from s group by all), r as (select *, row_number() over (partition by id order by overlap desc, lead) as rank from b) select id, lead, overlap, cast(rank as integer) as rank from r where rank <= 5""")
+def l12c_leads(t: Tables) -> DataFrame:
+    """Similar expressions among pages and the first targets of a dictionary."""
+    pages = t.part.select(F.col("p_name").alias("key")).distinct().withColumn("id", F.concat(F.lit("keywords/"), T.slugify("key")))
+    known = t.spark.createDataFrame([("red", ["d1", "d3"]), ("gear small", ["d2"])], "key string, targets array<string>")
+    return terms.leads(pages, known)

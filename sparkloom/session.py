@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,9 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 HERE = Path(__file__).resolve().parent
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held in full on both sides.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024")
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers, once a context, so that they need no installation of it."""
+    """Sends this package to the Python workers, once a context, so that they need no installation of it; a session with
+    the default Arrow batches gets smaller ones."""
     context = spark.sparkContext
+    name, default, rows = BATCH_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
     if not getattr(context, "_sparkloom_shipped", False):
         path = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
         with zipfile.ZipFile(path, "w") as out:
@@ -31,17 +43,44 @@ def session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **co
     return ship(builder.config(map=conf).getOrCreate())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed and stored in the folder that all executors share (`spark.checkpoint.dir`; a temporary one where that
-    is unset, as in tests), with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one for a local master without it.
+    Raises on a cluster without that setting, as executors would write where nobody else reads."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*]+\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(context, "_sparkloom_folder", None):
+        context._sparkloom_folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        _local.append(context._sparkloom_folder)
+    return context._sparkloom_folder
+
+
+_local: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for folder in _local:
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` computed once, as Parquet in the shared folder: its lineage is cut, it survives the loss of executors, and the
+    planner knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A partition that the planner takes for smaller than this is worth a move.
+SPREAD_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where it comes in fewer partitions, as a small file of one row group does; else as it is, so a
-    large input is never moved for it."""
+    """`df` over all cores where the planner takes it for small, as a file of one row group comes in one partition; a large
+    input is never moved for it.  Asks the plan alone, runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
