@@ -46,6 +46,21 @@ def normalize(text: Column | str, apostrophes: str = APOSTROPHES) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+def on_boundaries(text: Column | str, start: Column, end: Column) -> Column:
+    """Whether the span from `start` to before `end` (from 0) cuts no word at either end."""
+    t, word = col(text), "^[\\p{L}\\p{M}\\p{N}]$"
+    inside = lambda at: (at > 0) & (at < F.length(t)) & F.substring(t, at, F.lit(1)).rlike(word) & F.substring(t, at + 1, F.lit(1)).rlike(word)
+    return ~inside(start) & ~inside(end)
+
+
+def pointed(document: Column | str, pointer: str) -> Column:
+    """What a JSON pointer (`/a/0/b~1c`) names in a JSON text, as text; null where there is nothing."""
+    parts = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
+    if any("'" in p for p in parts):
+        raise ValueError(f"a quote in {pointer}")
+    return F.get_json_object(col(document), "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts))
+
+
 def singularize(word: Column | str, rules: tuple[tuple[str, str, int], ...] = PLURALS) -> Column:
     w = col(word)
     fits = [(w.endswith(e) & (F.length(w) >= n), F.concat(F.substring(w, F.lit(1), F.length(w) - len(e)), F.lit(s))) for e, s, n in rules]

@@ -134,3 +134,21 @@ def cascaded(rows: DataFrame, rungs: list[tuple[DataFrame, str]]) -> DataFrame:
     found = [F.col(f"_t{i}") for i in range(len(rungs))]
     rung = F.coalesce(*(F.when(c.isNotNull(), i + 1) for i, c in enumerate(found)))
     return rows.withColumns({"target": F.coalesce(*found), "rung": rung}).drop(*(f"_t{i}" for i in range(len(rungs))))
+
+
+def stats(model: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, n): entities by type, domain, source and application, and the keyword pages among them; links by
+    relation and by method, each method of a link once; findings by severity and check; expressions by what became of them;
+    and each block's total.
+
+    entities: (type, domain, source, application, keyword); links: (relation, methods, split by commas); findings: (severity,
+    check); terms: (fate)."""
+    links = model["links"].withColumn("method", F.explode_outer(F.array_distinct(F.split("methods", ","))))
+    by = lambda rows, names, prefix: count_by(rows, names).where("dimension <> 'all'").withColumn("dimension", F.concat(F.lit(prefix), "dimension"))
+    total = lambda rows, name: rows.agg(F.lit("total").alias("dimension"), F.lit(name).alias("value"), F.count("*").alias("n"))
+    keywords = model["entities"].where("keyword").agg(F.lit("total").alias("dimension"), F.lit("keyword pages").alias("value"), F.count("*").alias("n"))
+    made = [
+        by(model["entities"], ["type", "domain", "source", "application"], "entities by "), by(model["links"], ["relation"], "links by "), by(links, ["method"], "links by "),
+        by(model["findings"], ["severity", "check"], "findings by "), by(model["terms"], ["fate"], "terms by "), keywords, *(total(model[b], b) for b in ("entities", "links", "findings", "terms")),
+    ]
+    return reduce(DataFrame.unionByName, made)

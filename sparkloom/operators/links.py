@@ -147,13 +147,19 @@ def type_relations(links: DataFrame, types: DataFrame, allowed: DataFrame, cap:
     )
 
 
-def displayed(links: DataFrame, most: int = 6) -> DataFrame:
+def displayed(links: DataFrame, most: int = 6, types: DataFrame | None = None, priorities: DataFrame | None = None) -> DataFrame:
     """(id, neighbour, relation, direction, confidence, rank): of each neighbour its best relation, in, out or both; the
-    first `most` by confidence, then id."""
+    first `most` by confidence, then id.  With types (id, type) and the profile's priorities (type, neighbour_type, priority),
+    those of the types that come first for the type of `id` go before; types without one come last."""
     out = links.select(F.col("from").alias("id"), F.col("to").alias("neighbour"), "relation", "confidence", F.lit("out").alias("d"))
     in_ = links.select(F.col("to").alias("id"), F.col("from").alias("neighbour"), "relation", "confidence", F.lit("in").alias("d"))
     both = out.unionByName(in_).where("id <> neighbour")
     best = both.groupBy("id", "neighbour").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "relation")).alias("b"), F.min("d").alias("low"), F.max("d").alias("high"))
     rows = best.select("id", "neighbour", F.col("b.relation").alias("relation"), F.when(F.col("low") != F.col("high"), "both").otherwise(F.col("low")).alias("direction"), (-F.col("b.c")).alias("confidence"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "neighbour"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    first = F.lit(0)
+    if types is not None and priorities is not None:
+        rows = rows.join(types.select("id", F.col("type").alias("_t")), "id").join(types.select(F.col("id").alias("neighbour"), F.col("type").alias("_n")), "neighbour")
+        rows = rows.join(priorities.select(F.col("type").alias("_t"), F.col("neighbour_type").alias("_n"), F.col("priority").alias("_p")), ["_t", "_n"], "left")
+        first = F.coalesce(F.col("_p"), F.lit(1 << 30))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(first, F.desc("confidence"), "neighbour"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "neighbour", "relation", "direction", "confidence", "rank")

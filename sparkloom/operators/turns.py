@@ -18,6 +18,13 @@ def merged_turns(cues: DataFrame, by: str, order: str, speaker: str, text: str)
     return out.select(by, F.col("_turn").alias("turn"), "speaker", "first", "cues", F.array_join(F.col("t.x"), " ").alias("text"))
 
 
+def anchored(cues: DataFrame, by: str, start: str = "start", order: str = "index") -> DataFrame:
+    """Cues with anchor: `t` and the second that a cue starts in; the n-th of one second takes `-n`."""
+    base = F.concat(F.lit("t"), F.floor(start).cast("string"))
+    nth = F.row_number().over(Window.partitionBy(by, F.floor(start)).orderBy(start, order))
+    return cues.withColumn("anchor", F.when(nth == 1, base).otherwise(F.concat_ws("-", base, nth.cast("string"))))
+
+
 def numbered_speakers(cues: DataFrame, by: str, order: str, speaker: str) -> DataFrame:
     """(by, speaker, number): by first appearance."""
     first = cues.groupBy(by, speaker).agg(F.min(order).alias("_first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import corpus, turns
+from sparkloom.operators import corpus, turns, views
 from sparkloom.plans.registry import Tables, query
 from sparkloom.sources import files
 
@@ -236,10 +236,21 @@ def x01_alphabetical_index(t: Tables) -> DataFrame:
     return corpus.numbered(rows, ["letter"], ["title"], "place").select("letter", F.col("place").cast("int").alias("place"), "title")
 
 
-@query("""select p_brand as space, count(distinct p_partkey) as notes, cast(sum(n) as bigint) as citations from part left join (select l_partkey, count(*) as n from lineitem group by 1) on p_partkey = l_partkey group by 1""")
+@query("""with c as (select l_partkey, count(*) as n, max(cast(l_shipdate as date)) as newest from lineitem group by 1), s as (select p_brand as source, count(*) as notes, count(*) filter (p_size > 20) as d, coalesce(sum(n), 0) as cited, max(newest) as newest from part left join c on p_partkey = l_partkey group by 1),
+t as (select *, date_diff('day', newest, date '2002-03-01') as days from s) select source, row_number() over (order by cited desc, source) as place, notes, case when 2 * d > notes then 'documents' else 'pages' end as unit, cast(cited as bigint) as cited, cast(newest as varchar) as newest, cast(days as integer) as days,
+days > case when source in ('Brand#1', 'Brand#2') then 10 else 1200 end as stale from t""")
 def x03_home_spaces(t: Tables) -> DataFrame:
-    cited = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return t.part.join(cited, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy(F.col("p_brand").alias("space")).agg(F.count_distinct("p_partkey").alias("notes"), F.sum("n").alias("citations"))
+    """The spaces of the home page, the most cited first, and which of them sleep."""
+    cited = t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"), F.max("l_shipdate").alias("modified"))
+    notes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source"), (F.col("p_size") > 20).alias("document")).join(cited.select("id", "modified"), "id", "left")
+    rows = views.home(notes, cited.select("id", "n"), "2002-03-01", {"Brand#1": 10, "Brand#2": 10}, 1200)
+    return rows.withColumn("newest", F.col("newest").cast("string"))
+
+
+@query("select p_partkey as id, modified from (select l_partkey as p_partkey, max(l_shipdate) as modified from lineitem group by 1) order by modified desc, id limit 4")
+def x03_recent_changes(t: Tables) -> DataFrame:
+    """The four notes changed last: a list of its own."""
+    return views.recently_changed(t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_shipdate").alias("modified")))
 
 
 @query("""select p_brand, p_partkey, n, cast(r as integer) as place from (select p_brand, p_partkey, n, row_number() over (partition by p_brand order by n desc, p_partkey) as r from part join (select l_partkey, count(*) as n from lineitem group by 1) on p_partkey = l_partkey) where r <= 3""")
@@ -311,3 +322,25 @@ def v04_withheld_transcripts(t: Tables) -> DataFrame:
     p = F.col("page_id")
     rows = t.pages.select("page_id", F.when(p % 3 == 0, "cue").otherwise("page").alias("unit"), F.when(p % 2 == 0, "vtt").otherwise("sbv").alias("format"))
     return turns.withheld(rows, publish=True, enabled=True, dictionary=True).drop("format")
+
+
+@query("""select conv_id, turn, 't' || ((turn // 2) * 3) || case when turn % 2 = 1 then '-2' else '' end as anchor from conversations""")
+def s11_cue_anchors(t: Tables) -> DataFrame:
+    """Anchors of cues of which two start in each second that has any."""
+    rows = t.conversations.select("conv_id", "turn", (F.floor(F.col("turn") / 2) * 3 + (F.col("turn") % 2) * 0.5).alias("start"))
+    return turns.anchored(rows, "conv_id", "start", "turn").select("conv_id", "turn", "anchor")
+
+
+@query("""with e as (select p_type as type, p_brand as domain, 's' || (p_size % 3) as source, case when p_size % 4 > 0 then 'erp' end as application, p_partkey % 5 = 0 as keyword from part),
+l as (select l_returnflag as relation, case l_linenumber % 3 when 0 then ['a', 'b'] when 1 then ['a'] else ['b', 'c'] end as m from lineitem), f as (select case when quality = 0 then 'error' else 'info' end as severity, case when toxic = 1 then 'X' else 'Y' end as "check" from labels), t as (select case when p_size > 25 then 'page' else 'withheld' end as fate from part),
+u as (select unnest(m) as m from l)
+select 'entities by type' as dimension, type as value, count(*) as n from e group by 2 union all select 'entities by domain', domain, count(*) from e group by 2 union all select 'entities by source', source, count(*) from e group by 2 union all select 'entities by application', coalesce(application, '(none)'), count(*) from e group by 2
+union all select 'links by relation', relation, count(*) from l group by 2 union all select 'links by method', m, count(*) from u group by 2 union all select 'findings by severity', severity, count(*) from f group by 2 union all select 'findings by check', "check", count(*) from f group by 2
+union all select 'terms by fate', fate, count(*) from t group by 2 union all select 'total', 'keyword pages', count(*) filter (keyword) from e union all select 'total', 'entities', count(*) from e union all select 'total', 'links', count(*) from l union all select 'total', 'findings', count(*) from f union all select 'total', 'terms', count(*) from t""")
+def q11_stats(t: Tables) -> DataFrame:
+    """All counts of a model."""
+    p, n = F.col("p_size"), F.col("l_linenumber") % 3
+    entities = t.part.select(F.col("p_type").alias("type"), F.col("p_brand").alias("domain"), F.concat(F.lit("s"), (p % 3).cast("string")).alias("source"), F.when(p % 4 > 0, "erp").alias("application"), (F.col("p_partkey") % 5 == 0).alias("keyword"))
+    links = t.lineitem.select(F.col("l_returnflag").alias("relation"), F.when(n == 0, "a,b,a").when(n == 1, "a").otherwise("b,c").alias("methods"))
+    findings = t.labels.select(F.when(F.col("quality") == 0, "error").otherwise("info").alias("severity"), F.when(F.col("toxic") == 1, "X").otherwise("Y").alias("check"))
+    return corpus.stats({"entities": entities, "links": links, "findings": findings, "terms": t.part.select(F.when(p > 25, "page").otherwise("withheld").alias("fate"))})

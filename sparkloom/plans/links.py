@@ -235,3 +235,12 @@ def l19_propose_domains(t: Tables) -> DataFrame:
     entities = t.part.join(typed(t), F.col("p_partkey") == F.col("id")).select("id", "type", F.col("p_name").alias("title"), F.when(filed, F.col("p_brand")).otherwise("unclassified").alias("domain"), F.when(filed, "folder").otherwise("unclassified").alias("domain_origin"))
     lock = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.lit("locked").alias("domain"))
     return graph.proposed_domains(entities, all_links(t), lock=lock, least=8, most=20, radius=2, rejected=("red gear",))[1]
+
+
+@query(f"""with {ASKED}, {TYPED}, o as (select "from" as id, "to" as neighbour, relation, confidence, 'out' as d from moved union all select "to", "from", relation, confidence, 'in' from moved),
+b as (select id, neighbour, min(struct_pack(c := -confidence, r := relation)) as b, min(d) as low, max(d) as high from o group by 1, 2), y as (select b.*, n.type as nt, case when n.type = 'decision' and t.type = 'meeting' then 0 when n.type = 'term' and t.type = 'meeting' then 1 else 99 end as p from b join typed t on b.id = t.id join typed n on n.id = b.neighbour),
+r as (select id, neighbour, b.r as relation, case when low <> high then 'both' else low end as direction, -b.c as confidence, row_number() over (partition by id order by p, -b.c desc, neighbour) as rank from y) select id, neighbour, relation, direction, confidence, cast(rank as integer) as rank from r where rank <= 6""")
+def w02_displayed_by_priority(t: Tables) -> DataFrame:
+    """The neighbours that a page shows, those of the types that its own type puts first before the others."""
+    order = t.spark.createDataFrame([("meeting", "decision", 0), ("meeting", "term", 1)], "type string, neighbour_type string, priority int")
+    return links.displayed(combined(t), 6, typed(t), order)

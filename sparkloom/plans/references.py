@@ -56,14 +56,39 @@ def l02_frontmatter_links(t: Tables) -> DataFrame:
     return rows.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("from"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("to"), F.when(ahead, "located in").otherwise("holds").alias("relation"), F.lit(0.9).alias("confidence"))
 
 
-@query("""with n as (select c_custkey as note, cast(c_custkey as varchar) as a, c_nationkey || '/' || c_mktsegment as b, c_name as c from customer), o as (select s_suppkey as operation, case when s_suppkey % 2 = 0 then cast(s_suppkey as varchar) end as a, s_nationkey || '/BUILDING' as b, s_name as c from supplier),
-p1 as (select note, operation from n join o using (a)), m1 as (select * from p1 where note in (select note from p1 group by 1 having count(*) = 1) and operation in (select operation from p1 group by 1 having count(*) = 1)),
-p2 as (select note, operation from (select * from n where note not in (select note from m1)) n join (select * from o where operation not in (select operation from m1)) o using (b)),
-m2 as (select * from p2 where note in (select note from p2 group by 1 having count(*) = 1) and operation in (select operation from p2 group by 1 having count(*) = 1)) select *, 1 as rung from m1 union all select *, 2 from m2""")
+RUNG = """p{0} as (select note, operation from (select * from n where note not in (select note from d{1})) n join (select * from o where operation not in (select operation from d{1})) o using ({2})),
+m{0} as (select * from p{0} where note in (select note from p{0} group by 1 having count(*) = 1) and operation in (select operation from p{0} group by 1 having count(*) = 1)), d{0} as (select * from d{1} union all select * from m{0})"""
+
+
+@query(f"""with n as (select c_custkey as note, cast(c_custkey as varchar) as a, c_nationkey || '/' || c_mktsegment as b, substr(c_name, 10) as c from customer), o as (select s_suppkey as operation, case when s_suppkey % 4 = 0 then cast(s_suppkey as varchar) end as a, s_nationkey || '/BUILDING' as b, substr(s_name, 10) as c from supplier),
+d0 as (select note, operation from n join o using (a) where false), {RUNG.format(1, 0, 'a')}, {RUNG.format(2, 1, 'b')}, {RUNG.format(3, 2, 'c')} select *, 1 as rung from m1 union all select *, 2 from m2 union all select *, 3 from m3""")
 def j12_match_operations(t: Tables) -> DataFrame:
-    notes = t.customer.select(F.col("c_custkey").alias("note"), F.col("c_custkey").cast("string").alias("a"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("b"))
-    operations = t.supplier.select(F.col("s_suppkey").alias("operation"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.col("s_nationkey").cast("string"), F.lit("/BUILDING")).alias("b"))
-    return references.matched_operations(notes, operations, ["a", "b"])
+    """Notes and imported operations by identifier, then by method and path, then by title."""
+    notes = t.customer.select(F.col("c_custkey").alias("note"), F.col("c_custkey").cast("string").alias("a"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("b"), F.expr("substring(c_name, 10)").alias("c"))
+    operations = t.supplier.select(F.col("s_suppkey").alias("operation"), F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.col("s_nationkey").cast("string"), F.lit("/BUILDING")).alias("b"), F.expr("substring(s_name, 10)").alias("c"))
+    return references.matched_operations(notes, operations, ["a", "b", "c"])
+
+
+@query("""with l as (select event_id, event_id % 6 as k, event_id % 3000 as n from events), f as (select p_partkey from part)
+select event_id, case k when 0 then case when n in (select * from f) then 'file' else 'missing' end when 1 then case when n in (select * from f) then 'file' else 'missing' end when 2 then case when n in (select * from f) then 'file' else 'missing' end when 3 then 'external' when 4 then 'missing' else 'anchor' end as kind,
+case when k = 0 and n in (select * from f) then 's' when k in (1, 2) and n in (select * from f) then 'o' end as to_source, case when k < 3 and n in (select * from f) then 'd/' || n || '.md' end as file from l""")
+def l01_links_across_sources(t: Tables) -> DataFrame:
+    """Links within a source, by the name of another, by its folder beside the root, and elsewhere."""
+    return across(t, True).select("event_id", "kind", "to_source", "file")
+
+
+@query("""with l as (select event_id, event_id % 6 as k, event_id % 3000 as n from events), f as (select p_partkey from part) select case when k in (1, 2) then 'W-LINK-CROSS-SOURCE' else 'E-LINK-BROKEN' end as "check", count(*) as n from l where k in (1, 2, 4) or (k = 0 and n not in (select * from f)) group by 1""")
+def l01_cross_source_findings(t: Tables) -> DataFrame:
+    return references.link_findings(across(t, False)).groupBy("check").agg(F.count("*").alias("n"))
+
+
+def across(t: Tables, cross_source: bool) -> DataFrame:
+    e = F.col("event_id")
+    k, n = e % 6, F.concat((e % 3000).cast("string"), F.lit(".md"))
+    target = F.when(k == 0, F.concat(F.lit("../d/"), n)).when(k == 1, F.concat(F.lit("o:d/"), n, F.lit("#x"))).when(k == 2, F.concat(F.lit("../../o/d/"), n)).when(k == 3, "mailto:a@b").when(k == 4, "../../../o/d/1.md").otherwise("#top")
+    links = t.events.select("event_id", F.lit("s").alias("source"), F.concat(F.lit("n/"), e.cast("string")).alias("path"), F.lit("n").alias("folder"), target.alias("target"))
+    own = t.part.select(F.concat(F.lit("d/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+    return references.located_links(links, own.select(F.lit("s").alias("source"), "path").unionByName(own.select(F.lit("o").alias("source"), "path")), cross_source)
 
 
 @query("""with o as (select 'p' || p_partkey as path, p_partkey as id, 1 as own from part where p_size > 10 union all select 'p' || (p_partkey // 2), p_partkey, 0 from part) select path, max_by(id, own * 1000000000 + id) as id from o group by path""")

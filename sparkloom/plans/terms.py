@@ -184,9 +184,9 @@ def f29_fingerprint(t: Tables) -> DataFrame:
 
 
 STOPS = "case lang " + " ".join(f"when '{lang}' then [{', '.join(repr(w) for w in words)}]" for lang, words in terms.STOPWORDS_OF.items()) + " else [''] end"
+LINES = "select cast(doc_id as varchar) as path, lang, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents"
 NGRAMS = f"""toks as materialized (
-  select path, lang, line, list_transform(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: {T.singular_sql('w')}) as t from (
-    select cast(doc_id as varchar) as path, lang, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) where trim(text) <> ''
+  select path, lang, line, list_transform(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: {T.singular_sql('w')}) as t from ({LINES}) where trim(text) <> ''
 ), words as materialized (select path, lang, line, unnest(t) as w, unnest(range(len(t))) as position from toks),
 stopped as (select distinct lang, w from words where list_contains({STOPS}, w)),
 marked as materialized (select words.*, stopped.w is not null as stop from words left join stopped using (lang, w)),
@@ -304,13 +304,22 @@ def l12b_prominent_units(t: Tables) -> DataFrame:
     return terms.prominent_units(notes(t)).groupBy("path", "text").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("""with u as (select p_partkey, lower(p_name) as n, string_split(lower(p_name), ' ') as w, lower(p_brand) as b from part),
-k as (select 'note' as kind) select count(*) > 0 as found, true as prominent from u""")
-def l13_discover_keywords(t: Tables) -> DataFrame:
-    """The whole of keyword discovery over notes: whether it gives terms, all of which their prominence lifts to 0.8 at least."""
+USED = "select cast(p_partkey as varchar) as path, 'en' as lang, 'the ' || p_name || ' of the stock' as text, 1 as line from part union all select cast(p_partkey as varchar), 'en', 'Notes: plain', 2 from part union all select cast(p_partkey as varchar), 'en', 'See the ' || p_brand || ' and  more.', 3 from part"
+#: Each note's headings, link text and frontmatter strings: the name twice, the brand after `the` and alone, and two words.
+FRONT = "select unnest([p_name, p_name, 'reads', 'the ' || p_brand, p_brand, 'stock']) as text from part"
+
+
+@query(f"""with {SCORED.replace(LINES, USED)}, fw as (select {TOKENS.format('text')} as t from ({FRONT})), fx as (select t, unnest(range(1, len(t) + 1)) as s, len(t) as z from fw), fy as (select array_to_string(t[s:e], ' ') as key, t[s] as a, t[e] as b from (select *, unnest(range(s, least(s + 3, z) + 1)) as e from fx)),
+front as (select key, count(*) as p from fy where a not in (select unnest({[w for w in terms.STOPWORDS_OF['en']]})) and b not in (select unnest({[w for w in terms.STOPWORDS_OF['en']]})) group by 1),
+v as (select f.lang, f.key as whole, exists (select 1 from parts p where p.whole = f.key and p.key = 'stock') as vouches from frequent f where words > 1)
+select s.key, s.occurrences, s.documents, {R4.format('least(1.0, coalesce(p, 0) / s.occurrences)')} as prominence, coalesce(v.vouches, false) or exists (select 1 from v w join parts q on q.whole = w.whole where w.vouches and q.key = s.key) as neighbour
+from scored s left join front using (key) left join v on v.whole = s.key where s.key <> 'stock'""")
+def a07_signals(t: Tables) -> DataFrame:
+    """Keyword discovery over notes, whole: occurrences in use alone, prominence by headings, links and frontmatter, and which
+    expressions have a defined one (`stock`) beside them."""
     known = t.spark.createDataFrame([("stock", ["t1"])], "key string, targets array<string>")
     found = terms.discover(notes(t), known, labels=("reads",))["terms"]
-    return found.agg((F.count("*") > 0).alias("found"), F.coalesce(F.bool_or(F.col("prominence") > 0), F.lit(False)).alias("prominent"))
+    return found.select("key", "occurrences", "documents", "prominence", "neighbour")
 
 
 @query(f"""with k as (select distinct lower(p_name) as key from part), w as (select key, list_distinct(string_split(key, ' ')) as w from k), e as (select key, w, unnest(w) as word from w),
@@ -341,3 +350,17 @@ def l12c_leads(t: Tables) -> DataFrame:
     pages = t.part.select(F.col("p_name").alias("key")).distinct().withColumn("id", F.concat(F.lit("keywords/"), T.slugify("key")))
     known = t.spark.createDataFrame([("red", ["d1", "d3"]), ("gear small", ["d2"])], "key string, targets array<string>")
     return terms.leads(pages, known)
+
+
+@query("""with p as (select doc_id, text, strpos(text, 'an') - 1 as s from documents where strpos(text, 'an') > 0) select doc_id, not (s > 0 and regexp_matches(substr(text, s, 1), '^[\\p{L}\\p{M}\\p{N}]$')) and not (s + 2 < length(text) and regexp_matches(substr(text, s + 3, 1), '^[\\p{L}\\p{M}\\p{N}]$')) as whole from p""")
+def f05_span_on_boundaries(t: Tables) -> DataFrame:
+    """Whether the first `an` of each text stands alone."""
+    rows = t.documents.withColumn("s", F.locate("an", "text") - 1).where("s >= 0")
+    return rows.select("doc_id", T.on_boundaries("text", F.col("s"), F.col("s") + 2).alias("whole"))
+
+
+@query("""select event_id, json_extract_string(props, '$.k') as k, cast(event_id as varchar) as inner_ from events""")
+def f28_json_pointer(t: Tables) -> DataFrame:
+    """What pointers name, in arrays and under keys with a slash too."""
+    doc = F.concat(F.lit('{"a": [{"b/c": '), F.col("event_id").cast("string"), F.lit("}]}"))
+    return t.events.select("event_id", T.pointed("props", "/k").alias("k"), T.pointed(doc, "/a/0/b~1c").alias("inner_"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import answers, plugins
 from sparkloom.operators import corpus, duplicates, filing, lint, links, references, scan, search, terms, turns, views
-from sparkloom.sources import contracts, ingest, markdown, sinks
+from sparkloom.sources import contracts, ingest, markdown, office, sinks
 
 NOTE = "path string, title string, summary string, front map<string,string>, aliases array<string>, modified timestamp"
 
@@ -221,3 +221,21 @@ def test_views(spark):
     assert {tuple(r) for r in views.meeting_figures(meetings, decisions, links_, cues).collect()} == {("m1", 1, 9, 1, "00:01:01.500"), ("m2", 0, None, None, "2 h")}
     values = views.category_values(spark.createDataFrame([("c", ["A b", "a-b", "z"]), ("c", ["z"])], "category string, tags array<string>"), "tags")
     assert {(r.value, r.n) for r in values.collect()} == {("A b", 2), ("z", 2)}
+
+
+def test_pdf_text_and_conversion(spark, tmp_path):
+    import sys
+    import zlib
+
+    packed = zlib.compress(b"BT /F1 12 Tf (Second \\(page\\)) Tj T* [(k) -20 (ern)] TJ ET")
+    info = zlib.compress(b"<< /Title (Packed) /ModDate (D:20210304) >> << /Type /Page >>")
+    pdf = b"%PDF-1.5\n<< /Length 1 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\n<< /Type /ObjStm /Filter /FlateDecode >> stream\n" + info + b"\nendstream"
+    plain = b"%PDF-1.4 << /Length 9 >> stream\nBT (One) Tj ET\nendstream << >> stream\nBT (T\\167o) Tj ET\nendstream"
+    rows = spark.createDataFrame([("a", bytearray(pdf)), ("b", bytearray(plain)), ("c", bytearray(b"no")), ("d", None), ("e", bytearray(b"%PDF-1.4" + b"x" * 70_000))], "path string, content binary")
+    found = sorted((r.path, r.page or 0, r.text or "", r.finding or "") for r in office.page_texts(rows).collect())
+    assert found == [("a", 1, "Second (page)\nkern", ""), ("b", 1, "One", ""), ("b", 2, "Two", ""), ("c", 0, "", "W-CONV-FAILED"), ("d", 0, "", "W-CONV-FAILED"), ("e", 0, "", "W-CONV-SUSPECT")]
+    assert {r.path: (r.title, r.modified, r.pages) for r in office.document_properties(rows.where("path = 'a'")).collect()}["a"] == ("Packed", "2021-03-04", 1)
+    script = "import sys, pathlib; b = pathlib.Path(sys.argv[1]).read_bytes(); b == b'bad' and sys.exit(1); pathlib.Path(sys.argv[2], 'x.pdf').write_bytes(b'%PDF-' + b)"
+    files = spark.createDataFrame([("x.docx", bytearray(b"one")), ("y.docx", bytearray(b"one")), ("z.docx", bytearray(b"bad"))], "path string, content binary")
+    made = {tuple(r.paths): (bytes(r.pdf) if r.pdf else None, r.finding) for r in office.converted(files, [sys.executable, "-c", script, "{in}", "{out}"]).collect()}
+    assert made == {("x.docx", "y.docx"): (b"%PDF-one", None), ("z.docx",): (None, "W-CONV-FAILED")}
