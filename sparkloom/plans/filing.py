@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import corpus, duplicates, filing, lint, references, terms, views
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.terms import SCORED, text_units
-from sparkloom.session import shared_folder, spread
+from sparkloom.session import scratch, spread
 from sparkloom.sources import contracts, ingest, markdown, sinks
 
 PROFILE = filing.Profile(
@@ -337,7 +335,7 @@ def k02_canonical_nested(t: Tables) -> DataFrame:
 @query("""select 'entities' as block, count(*) as n, min(p_partkey) as first from part union all select 'links', count(*), min(p) from (select distinct l_partkey as p, l_suppkey from lineitem)""")
 def k01_model_round_trip(t: Tables) -> DataFrame:
     """A model written in canonical order and read again."""
-    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    path = scratch(t.spark, "model")
     links = t.lineitem.select(F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"), F.lit("uses").alias("relation")).distinct()
     sinks.write_model({"entities": t.part.select(F.col("p_partkey").alias("id"), "p_name"), "links": links}, path)
     read = sinks.read_model(t.spark, path)

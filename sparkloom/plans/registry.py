@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.session import shared_folder, ship
+from sparkloom.session import scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,7 +29,7 @@ def once(t: Tables, name: str, write: Callable[[str], None], *, anew: bool = Fal
     """A table that `write` makes at a path, once a session and folder, or anew: what later questions read."""
     key = (t.spark.sparkContext.applicationId, t.folder, name)
     if anew or key not in _built:
-        path = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+        path = scratch(t.spark, name)
         write(path)
         _built[key] = path
     return t.spark.read.parquet(_built[key])

@@ -309,11 +309,13 @@ USED = "select cast(p_partkey as varchar) as path, 'en' as lang, 'the ' || p_nam
 FRONT = "select unnest([p_name, p_name, 'reads', 'the ' || p_brand, p_brand, 'stock']) as text from part"
 
 
-@query(f"""with {SCORED.replace(LINES, USED)}, fw as (select {TOKENS.format('text')} as t from ({FRONT})), fx as (select t, unnest(range(1, len(t) + 1)) as s, len(t) as z from fw), fy as (select array_to_string(t[s:e], ' ') as key, t[s] as a, t[e] as b from (select *, unnest(range(s, least(s + 3, z) + 1)) as e from fx)),
+SIGNALS = f"""with {SCORED.replace(LINES, USED)}, fw as (select {TOKENS.format('text')} as t from ({FRONT})), fx as (select t, unnest(range(1, len(t) + 1)) as s, len(t) as z from fw), fy as (select array_to_string(t[s:e], ' ') as key, t[s] as a, t[e] as b from (select *, unnest(range(s, least(s + 3, z) + 1)) as e from fx)),
 front as (select key, count(*) as p from fy where a not in (select unnest({[w for w in terms.STOPWORDS_OF['en']]})) and b not in (select unnest({[w for w in terms.STOPWORDS_OF['en']]})) group by 1),
-v as (select f.lang, f.key as whole, exists (select 1 from parts p where p.whole = f.key and p.key = 'stock') as vouches from frequent f where words > 1)
-select s.key, s.occurrences, s.documents, {R4.format('least(1.0, coalesce(p, 0) / s.occurrences)')} as prominence, coalesce(v.vouches, false) or exists (select 1 from v w join parts q on q.whole = w.whole where w.vouches and q.key = s.key) as neighbour
-from scored s left join front using (key) left join v on v.whole = s.key where s.key <> 'stock'""")
+v as (select f.lang, f.key as whole, exists (select 1 from parts p where p.whole = f.key and p.key = 'stock') as vouches from frequent f where words > 1), sig as materialized (select s.key, s.words, s.spread, s.burst, s.corpus, s.inflected, s.occurrences, s.documents, {R4.format('least(1.0, coalesce(p, 0) / s.occurrences)')} as prominence, coalesce(v.vouches, false) or exists (select 1 from v w join parts q on q.whole = w.whole where w.vouches and q.key = s.key) as neighbour
+from scored s left join front using (key) left join v on v.whole = s.key where s.key <> 'stock')"""
+
+
+@query(f"{SIGNALS} select key, occurrences, documents, prominence, neighbour from sig")
 def a07_signals(t: Tables) -> DataFrame:
     """Keyword discovery over notes, whole: occurrences in use alone, prominence by headings, links and frontmatter, and which
     expressions have a defined one (`stock`) beside them."""
@@ -322,6 +324,14 @@ def a07_signals(t: Tables) -> DataFrame:
     return found.select("key", "occurrences", "documents", "prominence", "neighbour")
 
 
+@query(f"""{SIGNALS}, conf as (select key, {R4.format("(1 - case when corpus < 10 then 0.0 else greatest(0.0, spread - 0.5) / 0.5 end) * case when documents < 5 then 1.0 else least(1.0, 0.5 + 0.5 * (burst - 1) / 0.5) end * (0.8 + 0.2 * prominence) * case when neighbour then 1.0 else 0.9 end * case when inflected then 0.8 else 1.0 end")} as confidence from sig),
+p as (select key, {SLUG} as slug from conf where confidence >= 0.5), n as (select *, row_number() over (partition by slug order by key) as nth from p) select key, 'keywords/' || slug || case when nth = 1 then '' else '-' || nth end as id from n""")
+def l13_discover_keywords(t: Tables) -> DataFrame:
+    """The pages that keyword discovery over notes gives."""
+    known = t.spark.createDataFrame([("stock", ["t1"])], "key string, targets array<string>")
+    return terms.discover(notes(t), known, labels=("reads",))["pages"].select("key", "id")
+
+
 @query(f"""with k as (select distinct lower(p_name) as key from part), w as (select key, list_distinct(string_split(key, ' ')) as w from k), e as (select key, w, unnest(w) as word from w),
 p as (select a.key as key, b.key as other, len(a.w) as x, len(b.w) as y, count(*) as shared from e a join e b on a.word = b.word and a.key <> b.key group by a.key, b.key, len(a.w), len(b.w)),
 s as (select *, shared / (x + y - shared) as o from p where contains(' ' || key || ' ', ' ' || other || ' ') or contains(' ' || other || ' ', ' ' || key || ' ') or 2 * shared >= greatest(x, y)),

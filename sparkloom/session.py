@@ -58,18 +58,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _local: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _clean() -> None:
+    for spark, path in reversed(_made):
+        if path.startswith("file:"):
+            shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+            continue
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended before: nothing more can be removed through it
+            break
     for folder in _local:
         shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` computed once, as Parquet in the shared folder: its lineage is cut, it survives the loss of executors, and the
-    planner knows its size."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    planner knows its size.  It goes when the driver ends."""
+    path = scratch(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
