@@ -83,7 +83,7 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(ship(spark), "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = warc.read_pages(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to")
+    read = warc.read_pages(spark, path, payloads=False).select("page_id", F.col("payload_bytes").alias("own"), "payload_digest", "record_type", "refers_to")
     read = written(read, "warc-read")
     lengths = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own").alias("kept"))
     full = read.where("record_type = 'revisit'").join(lengths, ["refers_to", "payload_digest"], "left").withColumn("own", F.col("kept"))

@@ -25,7 +25,7 @@ from sparkloom.llm.common import utf8, written
 VERSION = b"WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 CHUNK = 16 << 10
-RECORD = "kind string, id string, uri string, digest string, page_id long, refers_to long, origin string, segment int, total long, block binary"
+RECORD = "kind string, id string, uri string, digest string, page_id long, refers_to long, origin string, segment int, total long, length long, block binary"
 
 
 def record_id(page_id: int | None, digest: str, segment: int = 1) -> str:
@@ -133,23 +133,23 @@ def write_archives(pages: DataFrame, path: str, *, segment_bytes: int = 64 << 10
     made.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=archive_records).text(path)
 
 
-def checked(block: bytes, stated: str) -> bytes:
+def checked(block: bytes, stated: str | None) -> bytes:
     """The payload of a whole block."""
     payload = http_payload(block)
-    if f"sha1:{hashlib.sha1(payload).hexdigest()}" != stated:
+    if stated is not None and f"sha1:{hashlib.sha1(payload).hexdigest()}" != stated:
         raise ValueError(f"a payload has not the digest {stated}")
     return payload
 
 
-def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """The records of all archives in the folder `path`; see RECORD.  A broken archive raises.
 
-    segmented: only the parts of segmented payloads, or only the other records, whose blocks are then the payloads (null
-    for a revisit)."""
+    The block of a part of a segmented payload is that part; of another response it is the payload, decoded and checked, and
+    length its size; it is null for a revisit and, without `payloads`, for every record that is no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "uri", "digest", "page_id", "refers_to", "origin", "segment", "total", "block"]
-        types = [*[pa.string()] * 4, *[pa.int64()] * 2, pa.string(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["kind", "id", "uri", "digest", "page_id", "refers_to", "origin", "segment", "total", "length", "block"]
+        types = [*[pa.string()] * 4, *[pa.int64()] * 2, pa.string(), pa.int32(), *[pa.int64()] * 2, pa.binary()]
         number = lambda v: None if v is None else int(v)
         rows: list[tuple] = []
         out = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
@@ -157,11 +157,12 @@ def read_records(spark: SparkSession, path: str, segmented: bool | None = None)
             for content in batch.column(0):
                 for h, block in records(content.as_py()):
                     kind, own, segment = h["warc-type"], h["warc-record-id"], number(h.get("warc-segment-number"))
-                    if segmented is not None and segmented != (segment is not None):
-                        continue
-                    if segmented is False:
-                        block = None if kind == "revisit" else checked(block, h["warc-payload-digest"])
-                    rows.append((kind, own, h.get("warc-target-uri"), h.get("warc-payload-digest"), number(h.get("warc-page-id")), number(h.get("warc-refers-to-page-id")), h.get("warc-segment-origin-id", own), segment, number(h.get("warc-segment-total-length")), block))
+                    length = None
+                    if segment is None:
+                        block = None if kind == "revisit" else checked(block, h.get("warc-payload-digest")) if kind == "response" else block
+                        length = None if block is None else len(block)
+                        block = block if payloads else None
+                    rows.append((kind, own, h.get("warc-target-uri"), h.get("warc-payload-digest"), number(h.get("warc-page-id")), number(h.get("warc-refers-to-page-id")), h.get("warc-segment-origin-id", own), segment, number(h.get("warc-segment-total-length")), length, block))
                     if len(rows) == 64:
                         yield out()
                         rows = []
@@ -171,15 +172,16 @@ def read_records(spark: SparkSession, path: str, segmented: bool | None = None)
     return files.select("content").mapInArrow(run, RECORD)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, payload binary, payload_digest, refers_to): each response reassembled and decoded, each
-    revisit with the digest that it states and a null payload.
+def read_pages(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
+    """(page_id, url, record_type, payload binary, payload_bytes, payload_digest, refers_to): each response reassembled, decoded
+    and checked, each revisit with the digest that it states and a null payload.  Without `payloads` their bytes are counted
+    and checked, and not kept.
 
-    Raises where a segment is missing, a total length is wrong, the chunked framing is broken or a payload has not the
+    Records of other kinds give no rows.  Raises where a segment is missing, a total length is wrong, the chunked framing is broken or a payload has not the
     digest that its record states.
     """
     names = ["kind", "uri", "digest", "page_id", "refers_to"]
-    schema = "kind string, uri string, digest string, page_id long, refers_to long, payload binary"
+    schema = "kind string, uri string, digest string, page_id long, refers_to long, length long, payload binary"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,14 +191,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                 totals = [s["total"] for s in found if s["total"] is not None]
                 if [s["segment"] for s in found] != list(range(1, len(found) + 1)) or totals != [len(block)]:
                     raise ValueError(f"segments {[s['segment'] for s in found]} of {len(block)} bytes, stated {totals}")
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, 1) for c in batch.columns[:5]), pa.array([checked(block, stated)], pa.binary())], [*names, "payload"])
+                payload = checked(block, stated)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 1) for c in batch.columns[:5]), pa.array([len(payload)]), pa.array([payload if payloads else None], pa.binary())], [*names, "length", "payload"])
 
-    alone = read_records(spark, path, segmented=False).select(*names, F.col("block").alias("payload"))
+    read = written(read_records(spark, path, payloads=payloads), "warc-records")  # archives are parsed once
+    alone = read.where("segment is null and kind in ('response', 'revisit')").select(*names, "length", F.col("block").alias("payload"))
     # a group holds the parts of one payload
     part, first = F.struct("segment", "total", "block"), F.col("kind") == "response"
-    grouped = read_records(spark, path, segmented=True).groupBy("origin").agg(F.max(F.when(first, F.struct(*names))).alias("f"), F.sort_array(F.collect_list(part)).alias("segments"), F.count_if(first).alias("copies"))
+    grouped = read.where("segment is not null").groupBy("origin").agg(F.max(F.when(first, F.struct(*names))).alias("f"), F.sort_array(F.collect_list(part)).alias("segments"), F.count_if(first).alias("copies"))
     # k repeated rows leave k equal records of each part: every k-th makes one payload, and the payload comes k times
     grouped = grouped.withColumn("segments", F.expr("filter(segments, (x, i) -> i % greatest(copies, 1) = 0)")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies").cast("int"))))
     joined = grouped.select("f.*", "segments").mapInArrow(whole, schema)
     rows = alone.unionByName(joined)
-    return rows.select("page_id", F.col("uri").alias("url"), F.col("kind").alias("record_type"), "payload", F.substring("digest", 6, 40).alias("payload_digest"), "refers_to")
+    return rows.select("page_id", F.col("uri").alias("url"), F.col("kind").alias("record_type"), "payload", F.col("length").alias("payload_bytes"), F.substring("digest", 6, 40).alias("payload_digest"), "refers_to")
