@@ -39,16 +39,9 @@ BOILERPLATE = (
     "todos los derechos reservados", "con licencia", "términos de uso", "política de privacidad", "utiliza cookies", "aceptar cookies", "saltar al contenido",
 )
 
-_separators = re.compile(SEPARATORS)
 _runs = re.compile(RUNS.encode())
 _ends = re.compile(ENDS.replace("[\"”»')\\]]", "(?:[\"')\\]]|”|»)").encode())
-
-
-def phrases(listed: tuple[str, ...]) -> re.Pattern[bytes] | None:
-    return re.compile(b"|".join(re.escape(p.encode()) for p in listed)) if listed else None
-
-
-_boilerplate = phrases(BOILERPLATE)
+_phrases = tuple(p.encode() for p in BOILERPLATE)
 _symbols = [s.encode() for s in SYMBOLS]
 _space = [bytes([c]) for c in b" \t\n\v\f\r"]
 
@@ -86,17 +79,19 @@ def repeated_words(parts: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def line_fails(line: bytes, n: int, boilerplate: re.Pattern[bytes] | None = _boilerplate) -> bool:
-    """Whether a line of `n` words fails on its own; one that repeats an earlier line fails besides."""
-    separators = line.count(b"|") + (len(_separators.findall(line.decode("utf-8", "replace"))) - line.count(b"|") if b"\xc2" in line or b"\xe2" in line else 0)
+def line_fails(line: bytes, n: int, boilerplate: tuple[bytes, ...] = _phrases, runs: bool = True) -> bool:
+    """Whether a line of `n` words fails on its own; one that repeats an earlier line fails besides.  boilerplate and runs:
+    the phrases that the text holds at all, and whether it holds doubled symbols."""
+    separators = line.count(b"|") + line.count(b"\xc2\xb7") + line.count(b"\xc2\xbb") + line.count(b"\xe2\x80\xa2")
     if separators >= 3 and 10 * separators >= n:
         return True
-    if 5 * len(_runs.findall(line)) > n or not _ends.search(line):
+    if (runs and 5 * len(_runs.findall(line)) > n) or not _ends.search(line):
         return True
-    return boilerplate is not None and boilerplate.search(line.translate(LOWER)) is not None
+    low = line.translate(LOWER) if boilerplate else b""
+    return any(p in low for p in boilerplate)
 
 
-def judge(text: bytes | None, boilerplate: re.Pattern[bytes] | None = _boilerplate) -> Verdict:
+def judge(text: bytes | None, boilerplate: tuple[bytes, ...] = _phrases) -> Verdict:
     """Null is a text without words: it fails the document rules."""
     text = text or b""
     parts = text.split()
@@ -104,6 +99,8 @@ def judge(text: bytes | None, boilerplate: re.Pattern[bytes] | None = _boilerpla
     code_points = len(text) - sum(text.count(c) for c in _space) - continuation(text)
     seen: set[bytes] = set()
     kept, kept_words, dups = [], 0, 0
+    low = text.translate(LOWER)
+    held, runs = tuple(p for p in boilerplate if p in low), _runs.search(text) is not None
     for line in text.split(b"\n"):
         m = len(line.split())
         if not m:
@@ -113,7 +110,7 @@ def judge(text: bytes | None, boilerplate: re.Pattern[bytes] | None = _boilerpla
             dups += 1
             continue
         seen.add(line)
-        if not line_fails(line, m, boilerplate):
+        if not line_fails(line, m, held, runs):
             kept.append(line)
             kept_words += m
     repeats = repeated_words(parts)
@@ -139,7 +136,7 @@ def clean_lines(docs: DataFrame, *, boilerplate: tuple[str, ...] = BOILERPLATE,
     held = fresh(docs, "_utf8")
     rest = docs.withColumn(held, F.col(text_col).cast("string").cast("binary")).drop(*FIELDS)
 
-    listed = phrases(boilerplate)
+    listed = tuple(p.encode() for p in boilerplate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
