@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,10 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
+
+from sparkloom.llm.common import fresh, with_fields
 
 #: Unicode's White_Space, at which the tokenizer's patterns break.
 SPACE = "\t-\r \x85\xa0  -     　"
-REMEMBERED = 400_000
+#: Bytes, that each of the two memories of a worker holds at most.
+REMEMBERED = 128 << 20
 
 
 #: The letters and numbers that Unicode 16 adds to the 15.1 of Python's `unicodedata`.
@@ -76,6 +81,28 @@ def explicit(pattern: str) -> str:
     return pattern
 
 
+#: Pairs of tokens whose compatibility a worker remembers.
+SEAMS = 400_000
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Memory(dict):
+    """What short texts were encoded to; forgets all when it holds REMEMBERED bytes."""
+
+    held = 0
+
+    def keep(self, text: str, found: bytes) -> None:
+        if len(text) <= 64:
+            if self.held >= REMEMBERED:
+                self.clear()
+                self.held = 0
+            self.held += 200 + 2 * len(text) + len(found)  # the objects and their place in the table
+            self[text] = found
+
+
 class WordBPE:
     """A byte-level BPE tokenizer with word ends, read from the JSON text of its file."""
 
@@ -127,8 +154,8 @@ class WordBPE:
             texts[i] = token.encode() + b" "
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.blob = np.frombuffer(b"".join(texts), np.uint8)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(), Memory()
+        self.seams: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether `a` and `b` stay side by side: taken apart merge by merge from the latest on, no pair along their seam
@@ -147,6 +174,16 @@ class WordBPE:
             else:
                 return True
 
+    def fits(self, a: int, b: int) -> bool:
+        """`compatible`, remembered."""
+        key = a << 32 | b
+        found = self.seams.get(key)
+        if found is None:
+            if len(self.seams) >= SEAMS:
+                self.seams.clear()
+            found = self.seams[key] = self.compatible(a, b)
+        return found
+
     def word(self, text: str) -> list[int]:
         """The tokens of one piece that the pre-tokenizer cut."""
         data = text.encode("utf-8", "surrogatepass").decode("latin-1")
@@ -163,7 +200,7 @@ class WordBPE:
         at, token = 0, longest[0]
         while at < n:
             end = at + self.length[token]
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
+            if not dead[end] and (not out or self.fits(out[-1], token)):
                 out.append(token)
                 at = end
                 token = longest[at] if at < n else -1
@@ -183,11 +220,8 @@ class WordBPE:
     def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
-            found = np.array(self.word(text), "<u4").tobytes()
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            if len(text) <= 64:
-                self.pieces[text] = found
+            found = packed(self.word(text))
+            self.pieces.keep(text, found)
         return found
 
     def chunk(self, text: str) -> bytes:
@@ -195,10 +229,7 @@ class WordBPE:
         found = self.words.get(text)
         if found is None:
             found = b"".join(map(self.piece, self.pattern.findall(text)))
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            if len(text) <= 64:
-                self.words[text] = found
+            self.words.keep(text, found)
         return found
 
     def normal(self, text: str) -> str:
@@ -248,31 +279,34 @@ def loaded(text: str) -> WordBPE:
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """`docs` with ids (array<int>) and decoded (string) of each whole text, by the tokenizer file at `path`.
+#: What `encode_texts` gives on request, with its type.
+OUTPUTS = {"ids": (pa.list_(pa.int32()), ArrayType(IntegerType())), "decoded": (pa.binary(), BinaryType()), "n_tokens": (pa.int64(), LongType()), "ids_sha256": (pa.string(), StringType()), "decoded_sha256": (pa.string(), StringType())}
+
+
+def encode_texts(docs: DataFrame, path: str, *, outputs: tuple[str, ...] = ("ids", "decoded"), text_col: str = "text") -> DataFrame:
+    """`docs` with what is asked for of each whole text, by the tokenizer file at `path`: ids (array<int>), decoded (string,
+    what the ids decode to), n_tokens, and the SHA-256 of the ids (little-endian, 32 bits) and of the decoded text.
 
     The driver reads the file and sends it to the tasks, so executors need no copy.  A null text is empty; empty texts
-    have no ids and decode to an empty text; all rows and columns come back, old ids and decoded replaced.
+    have no ids and decode to an empty text; all rows and columns come back, old columns of the outputs' names replaced.
     """
-    rest = docs.drop("ids", "decoded")
-    rest = rest.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    held = fresh(docs, "_text")
+    rest = docs.withColumn(held, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).drop(*outputs)
     with open(path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
         for batch in batches:
-            texts = batch.column("_text")
-            for rows in slices(texts):
+            for rows in slices(batch.columns[-1]):
                 some = batch.slice(*rows)
-                ids = [bpe.encode(t.as_py()) for t in some.column("_text")]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32))
-                decoded = pa.array([bpe.decode(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat), decoded], [*some.schema.names[:-1], "ids", "decoded"])
+                ids = [bpe.encode(t.as_py()) for t in some.columns[-1]]
+                back = [bpe.decode(x) for x in ids] if {"decoded", "decoded_sha256"} & {*outputs} else []
+                made = {"decoded": lambda: back, "n_tokens": lambda: list(map(len, ids)), "ids_sha256": lambda: [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in back], "ids": lambda: [x.astype(np.int32) for x in ids]}  # noqa: B023
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *(pa.array(made[o](), OUTPUTS[o][0]) for o in outputs)], [*some.schema.names[:-1], *outputs])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.drop("_text").schema), "ids array<int>, decoded binary"])
-    return rest.mapInArrow(run, schema).withColumn("decoded", F.col("decoded").cast("string"))
+    found = rest.mapInArrow(run, with_fields(rest.drop(held), *((o, OUTPUTS[o][1]) for o in outputs)))
+    return found.withColumn("decoded", F.col("decoded").cast("string")) if "decoded" in outputs else found
 
 
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -286,18 +320,3 @@ def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         total += n
     if first < len(texts):
         yield first, len(texts) - first
-
-
-def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of what `encode_texts` gives for each row."""
-    rows = encode_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            sha = [hashlib.sha256(np.asarray(x.values.to_numpy(), "<u4").tobytes()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x.values) for x in ids], pa.int64()), pa.array(sha), batch.column("decoded_sha256")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = rows.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -41,7 +41,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_texts(docs, tokenizer("word_bpe_49k.json"), outputs=outputs).select("doc_id", *outputs)
 
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
