@@ -2,68 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from sparkloom.operators.graph import lowest
+from sparkloom.session import remove, scratch
+
 #: The whitespace of every contract: space and U+0009..U+000D; `bytes.split()` splits at exactly these.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-_made: list[tuple[SparkSession, str]] = []
 #: Tables that the open `temporary` blocks hold.
 _open: list[list[DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; where that is unset, a temporary one for a local master.  On a
-    cluster without that setting it raises, as executors would write where nobody else reads."""
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[[\d*]+\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not getattr(spark.sparkContext, "_llm_shared_dir", None):
-        spark.sparkContext._llm_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
-        _made.append((spark, spark.sparkContext._llm_shared_dir))
-    return spark.sparkContext._llm_shared_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in reversed(_made):
-        if path.startswith("file:"):
-            shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
-            continue
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended before: nothing more can be removed through it
-            break
-
-
 def written(df: DataFrame, name: str, *, beyond: bool = False) -> DataFrame:
     """`df` as a table in the shared folder: cuts the lineage, survives the loss of executors, is computed once.  beyond:
     stays when the open `temporary` block ends."""
@@ -153,17 +112,8 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-#: Parts in which the neighbours of a node are dealt out, and edges that a task joins before it hands on their stars.
-SALTS, STAR_EDGES = 32, 1 << 19
-
-
-def lowest(edges: DataFrame) -> DataFrame:
-    """(a, b) with m, the least b of each a.  A hub's edges stay in SALTS parts: each part has its own minimum, and what
-    comes together by node is at most SALTS of them."""
-    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
-    nodes = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
-    return dealt.join(nodes.select("a", "m", F.explode("parts").alias("part")), ["a", "part"]).select("a", "b", "m")
+#: Edges that a task joins before it hands on their stars.
+STAR_EDGES = 1 << 19
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

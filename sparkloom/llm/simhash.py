@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, SALTS, Forest, connected_components, fresh, named, spanning, temporary, utf8, words, written
+from sparkloom.llm.common import LOWER, Forest, connected_components, fresh, named, spanning, temporary, utf8, words, written
+from sparkloom.operators.graph import SALTS
 
 SEED = 42
 #: Homes of one anchor that one task compares; beyond it the anchor is dealt over several.

@@ -276,15 +276,21 @@ def test_bpe(docs, empty):
         ids = exact.encode(t, add_special_tokens=False).ids
         assert own.encode(t).tolist() == ids
         assert own.decode(np.array(ids)).decode() == exact.decode(ids, skip_special_tokens=False)
-    rows = Counter(map(tuple, bpe.digests(docs, path).collect()))
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    rows = Counter(map(tuple, bpe.encode_texts(docs, path, outputs=outputs).select("doc_id", *outputs).collect()))
     expected = Counter()
     for i, t in TEXTS:
         ids = exact.encode(t or "", add_special_tokens=False).ids
         text = exact.decode(ids, skip_special_tokens=False)
         expected[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert rows == expected
-    assert bpe.digests(empty, path).count() == 0
+    assert bpe.encode_texts(empty, path, outputs=outputs).count() == 0
     assert bpe.encode_texts(docs, path).columns == [*docs.columns, "ids", "decoded"]
+    for r in bpe.encode_texts(docs.where("doc_id is not null"), path).collect():
+        text = next(t for i, t in TEXTS if i == r.doc_id) or ""
+        assert r.ids == exact.encode(text, add_special_tokens=False).ids and r.decoded == exact.decode(r.ids, skip_special_tokens=False)
+    own.pieces.held = own.words.held = bpe.REMEMBERED
+    assert own.encode("unmet wordlets").tolist() == exact.encode("unmet wordlets", add_special_tokens=False).ids and own.words.held < 10_000
 
 
 def test_url_rules(spark):
@@ -309,6 +315,15 @@ def test_url_rules(spark):
         assert Counter(map(tuple, urlfilter.judge_urls(pages, rules).collect())) == expected
     finally:
         urlfilter.RULES_A_SWEEP = before
+    urlfilter.RULE_BYTES, before = 12, urlfilter.RULE_BYTES
+    try:
+        assert Counter(map(tuple, urlfilter.judge_urls(pages, rules).collect())) == expected
+    finally:
+        urlfilter.RULE_BYTES = before
+    # a hot host over several partitions, and very long paths and hosts
+    hot = [(i, f"http://h{'.sub' * (i % 3)}.example.net/{'en' if i % 2 else 'fr'}/{i}") for i in range(3000)] + [(9000, "http://" + "a." * 5000 + "example.com/de/" + "p" * 100_000)]
+    many = spark.createDataFrame(hot, "page_id long, url string").repartition(7)
+    assert Counter(map(tuple, urlfilter.judge_urls(many, rules).collect())) == Counter((i, *brute(u)) for i, u in hot)
     assert urlfilter.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urlfilter.judge_urls(pages, []).collect()} == {"allow"}
 
@@ -371,9 +386,11 @@ def test_language_model_mixes_to_one(spark):
 
 
 def test_language_model_blocks(spark, docs, monkeypatch):
-    whole = sorted((r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in lm.scores(docs).collect())
+    rows = lambda: sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.scores(docs).collect())
+    whole = rows()
     monkeypatch.setattr(lm, "BLOCK", 1000)
-    assert [x[:2] for x in sorted((r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in lm.scores(docs).collect())] == [x[:2] for x in whole]
+    monkeypatch.setattr(lm, "PER_BUCKET", 500)
+    assert [pytest.approx(x, rel=1e-9) for x in whole] == rows()
 
 
 def test_counts_in_bytes():
