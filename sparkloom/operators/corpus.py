@@ -34,6 +34,12 @@ def group_summary(groups: DataFrame, rows: DataFrame, key: str, date: str) -> Da
     return groups.select(key).join(found, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def findings_of(findings: DataFrame, entity: int | str | None = None, check: str | None = None) -> DataFrame:
+    """Findings of an entity, of a check, or of both."""
+    rows = findings if entity is None else findings.where(F.col("entity") == F.lit(entity))
+    return rows if check is None else rows.where(F.col("check") == check)
+
+
 def recent(rows: DataFrame, date: str, since: str, *order: str) -> DataFrame:
     return rows.where(F.col(date) >= F.lit(since).cast("timestamp")).orderBy(F.desc(date), *order)
 

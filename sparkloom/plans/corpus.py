@@ -22,9 +22,12 @@ def p02_list_guard(t: Tables) -> DataFrame:
     return t.part.select(F.lit(1).alias("one")).limit(501).agg(F.when(F.count("*") > 500, "refused").otherwise("listed").alias("verdict"))
 
 
-@query("select d.doc_id, d.source, l.quality, l.toxic from documents d join labels l using (doc_id) where l.quality = 0 or l.toxic = 1")
+@query("""select 'E-FM-INVALID' as "check", doc_id as entity, source from documents join labels using (doc_id) where quality = 0""")
 def p06_findings_of(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "source").join(t.labels.where("quality = 0 or toxic = 1"), "doc_id").select("doc_id", "source", "quality", "toxic")
+    """The findings of one check."""
+    check = F.when(F.col("quality") == 0, "E-FM-INVALID").when(F.col("toxic") == 1, "I-PII-DETECTED")
+    found = t.documents.select("doc_id", "source").join(t.labels, "doc_id").select(check.alias("check"), F.col("doc_id").alias("entity"), "source").where("check is not null")
+    return corpus.findings_of(found, check="E-FM-INVALID")
 
 
 @query("select o_orderkey, o_orderdate, o_orderpriority from orders where o_orderdate >= timestamp '1998-01-01' and o_orderstatus = 'O'")
@@ -266,20 +269,29 @@ def x06_folder_tree(t: Tables) -> DataFrame:
     return corpus.folder_tree(t.pages, F.regexp_extract("url", "://([^?#]*)", 1))
 
 
-@query("select year(o_orderdate) as year, month(o_orderdate) as month, count(*) as n, bool_and(o_totalprice > 0) as all_positive from orders group by 1, 2")
+@query("""with n as (select o_orderstatus || (o_custkey % 7) as source, case when o_custkey % 7 <> 3 or o_orderkey % 50 > 0 then o_orderdate end as date from orders), w as (select source from n group by 1 having bool_and(date is not null))
+select source, cast(year(date) as integer) as year, cast(month(date) as integer) as month, count(*) as n from n where source in (select source from w) group by all""")
 def x07_dated_space(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("month")).agg(F.count("*").alias("n"), F.bool_and(F.col("o_totalprice") > 0).alias("all_positive"))
+    """Months of the spaces of which every note is dated."""
+    k = F.col("o_custkey") % 7
+    return views.dated_space(t.orders.select(F.concat("o_orderstatus", k.cast("string")).alias("source"), F.when((k != 3) | (F.col("o_orderkey") % 50 > 0), F.col("o_orderdate")).alias("date")))
 
 
-@query("select l_partkey, count(distinct l_suppkey) as neighbours, count(*) as links from lineitem group by 1")
+@query("""with l as (select l_partkey as a, 100000 + l_suppkey as b from lineitem), x as (select a as id, b as other from l union all select b, a from l) select id, count(distinct other) as neighbours, count(*) as links from x group by 1""")
 def x12_neighbour_count(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("neighbours"), F.count("*").alias("links"))
+    rows = t.lineitem.select(F.col("l_partkey").alias("from"), (100000 + F.col("l_suppkey")).alias("to"))
+    return views.neighbour_counts(rows).withColumn("links", F.col("links").cast("long"))
 
 
-@query("select p_partkey, l_partkey is not null as exposed from part left join (select distinct l_partkey from lineitem where l_quantity > 49) on p_partkey = l_partkey")
+@query("""with a as (select s_suppkey as id from supplier where s_suppkey % 2 = 0) select distinct l_suppkey as api, l_partkey as operation, case when l_partkey % 3 = 0 then 'described' else 'imported' end as state from lineitem where l_quantity > 45 and l_suppkey in (select id from a)
+union all select distinct c_custkey % 100, 1000000 + c_custkey, 'unmatched' from customer where c_custkey % 9 = 0 and c_custkey % 100 in (select id from a)""")
 def x13_exposed_operations(t: Tables) -> DataFrame:
-    used = t.lineitem.where("l_quantity > 49").select("l_partkey").distinct()
-    return t.part.join(used, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.col("l_partkey").isNotNull().alias("exposed"))
+    """Operations of interfaces, described or imported alone, and notes without one."""
+    apis = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"))
+    operations = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 == 0).alias("described"))
+    links = t.lineitem.where("l_quantity > 45").select(F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to"), F.lit("exposes").alias("relation"))
+    findings = t.customer.where("c_custkey % 9 = 0").select(F.lit("W-OPERATION-UNMATCHED").alias("check"), (1000000 + F.col("c_custkey")).alias("entity"), (F.col("c_custkey") % 100).alias("api"))
+    return views.operation_lists(apis, operations, links, findings)
 
 
 @query("select (select count(*) from documents) as documents, (select count(distinct source) from documents) as sources, (select count(*) from pages) as pages, (select count(*) from labels where quality = 0) as findings")

@@ -22,7 +22,7 @@ HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 FENCE = re.compile(r"^\s*(```+|~~~+)")
 ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
 UNDERLINE, RULE = re.compile(r"^ {0,3}(=+|-+)\s*$"), re.compile(r"^ {0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})$")
-LINK = re.compile(r"(!?)\[([^\]]*)\]\(\s*<?([^)\s>]*)>?(?:\s+[\"'][^)]*)?\)")
+LINK = re.compile(r"(!?)\[([^\]]*)\]\(\s*(?:<([^<>]*)>|([^)\s>]*))(?:\s+[\"'][^)]*)?\s*\)")
 URL = re.compile(r"<?https?://[^\s>)]+>?")
 CODE = re.compile(r"(`+)(.+?)\1")
 TAG = re.compile(r"</?[A-Za-z][^>]*>")
@@ -149,7 +149,7 @@ def parse(text: str) -> dict:
         if held:
             kind, first, texts = held.pop()
             whole = " ".join(t.strip() for t in texts)
-            out["links"] += [{"line": first, "text": m[2], "target": m[3], "image": bool(m[1])} for m in LINK.finditer(CODE.sub("", whole))]
+            out["links"] += [{"line": first, "text": m[2], "target": m[4] if m[3] is None else m[3], "image": bool(m[1])} for m in LINK.finditer(CODE.sub("", whole))]
             out["units"].append(unit(first, kind, whole, section))
 
     lines = text.split("\n")
