@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions.text import round4
-from sparkloom.session import stored
+from sparkloom.session import forget, stored
 
 
 def undirected(links: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         small = lowest(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = stored(small.select("e.a", "e.b").where("a > b").distinct())
+        before, now = now, stored(small.select("e.a", "e.b").where("a > b").distinct())
+        forget(before)
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == state:
             break

@@ -92,7 +92,14 @@ def stored(df: DataFrame) -> DataFrame:
     planner knows its size.  It goes when the driver ends."""
     path = scratch(df.sparkSession, "stored")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes what `stored` wrote; for tables that nothing lazy reads any more."""
+    remove(df.sparkSession, df._stored_path)
 
 
 #: A partition that the planner takes for smaller than this is worth a move.

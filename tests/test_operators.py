@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.functions.names import jaro_winkler_of
+from sparkloom.functions.names import PREFIX, WINKLER, jaro_winkler
 from sparkloom.operators import checks, corpus, duplicates, graph, links, scan, search, terms, turns
 from sparkloom.sources import contracts, files, markdown, office, sinks, transcripts
 from sparkloom.streaming import events
@@ -35,6 +35,28 @@ def test_text_functions(spark):
     assert column(spark, [0.00005, 0.12345, 1.0], T.round4, "double") == [0.0001, 0.1235, 1.0]
 
 
+def jaro_winkler_of(a: str, b: str) -> float:
+    """Jaro-Winkler by loops."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    taken, left = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                left.append(c)
+                break
+    if not (m := len(left)):
+        return 0.0
+    crossed = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken) if t))) / 2
+    jaro = (m / len(a) + m / len(b) + (m - crossed) / m) / 3
+    common = next((i for i, (x, y) in enumerate(zip(a[:PREFIX], b[:PREFIX])) if x != y), min(PREFIX, len(a), len(b)))
+    return jaro + common * WINKLER * (1 - jaro)
+
+
 def fnv(text):
     h = 2166136261
     for c in text:
@@ -59,6 +81,16 @@ def test_names_of_other_first_letters_meet(spark, tmp_path):
     assert found == want and ("cold bolt", "old bolt") in found
 
 
+def test_jaro_winkler_against_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["", "a", "abcxxxx", "bcaxxxx", "martha", "marhta", *("".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 14))) for _ in range(60))]
+    rows = spark.createDataFrame([(x, y) for x in words for y in words] + [(None, "a"), ("a", None)], "x string, y string")
+    for r in rows.select("x", "y", jaro_winkler("x", "y").alias("s")).collect():
+        assert r.s is None if r.x is None or r.y is None else abs(r.s - jaro_winkler_of(r.x, r.y)) < 1e-12
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcdé", max_size=12), st.text("abcdé", max_size=12))
 def test_jaro_winkler_is_symmetric_and_bounded(a, b):
