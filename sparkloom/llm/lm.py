@@ -136,19 +136,20 @@ def requests(made: DataFrame, buckets: int) -> DataFrame:
         names = ["order", "bucket", "block", "kind", "hashes", "counts"]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            for b in batch.to_pylist():
-                block = Block(b["vocabulary"], b["tokens"], b["first"], b["sizes"])
+            for i in range(batch.num_rows):  # a block at a time: a batch may hold many
+                id_, kind, *held = (c[i].as_py() for c in batch.columns)
+                block = Block(*held)
                 n = np.bincount(block.tokens, minlength=len(block.vocabulary))
                 # a document's start is a context as often as documents begin
                 begun = int((block.vocabulary[block.contexts[block.starts]] == START).sum())
                 n[block.vocabulary == START] = begun
                 pairs, place = block.bigrams()
                 for order, hashes, counts in ((1, block.vocabulary, n), (2, pairs, np.bincount(place, minlength=len(pairs)))):
-                    out = [(order, i, b["block"], b["kind"], hashes[x:y].astype("<u8").tobytes(), small(counts[x:y]) if b["kind"] < 2 else b"") for i, x, y in slices(hashes, buckets)]
+                    out = [(order, own, id_, kind, hashes[x:y].astype("<u8").tobytes(), small(counts[x:y]) if kind < 2 else b"") for own, x, y in slices(hashes, buckets)]
                     for at in range(0, len(out), 4096):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096]), types)], names)
 
-    return made.mapInArrow(run, REQUEST)
+    return made.select("block", "kind", "vocabulary", "tokens", "first", "sizes").mapInArrow(run, REQUEST)
 
 
 ANSWER = "order int, bucket int, block long, kind int, n long, counted binary, counted_apart binary, tokens long, types long, tokens_apart long"
