@@ -310,7 +310,7 @@ def _verified(members: DataFrame, k: int, similarity: float) -> DataFrame:
                 sets = [np.unique(hashes(words((t.as_py() or b"").translate(LOWER)), k)).astype("<u8").tobytes() for t in some.column("text")]
                 yield pa.RecordBatch.from_arrays([some.column("_row"), some.column("root"), some.column("cells"), pa.array(sets, pa.binary())], ["_row", "root", "cells", "set"])
 
-    sets = members.select("_row", "root", "cells", "text").mapInArrow(shingled, "_row long, root long, cells int, set binary")
+    sets = written(members.select("_row", "root", "cells", "text").mapInArrow(shingled, "_row long, root long, cells int, set binary"), "near-sets")
     # a member of cell c goes to the pairs of cells (c, j) and (j, c), so every two members meet once at least
     sets = sets.withColumn("c", F.pmod(F.xxhash64("_row"), F.col("cells")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     sets = sets.select("root", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "c", "_row", "set")
@@ -356,7 +356,8 @@ def _verified(members: DataFrame, k: int, similarity: float) -> DataFrame:
         end()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+    # dealt by ranges, which a look at the rows evens out: hashes of the few cells of a large group would meet in some tasks
+    return sets.repartitionByRange("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
