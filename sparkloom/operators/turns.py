@@ -37,6 +37,21 @@ def replace_names(text: Column | str, names: list[str], mark: str = "[person]")
     return F.regexp_replace(F.col(text) if isinstance(text, str) else text, rf"(?<![\p{{L}}\p{{N}}])(?:{listed})(?![\p{{L}}\p{{N}}])", mark) if listed else F.col(text) if isinstance(text, str) else text
 
 
+def pseudonymized_transcript(cues: DataFrame, by: str, order: str, speaker: str, text: str, names: list[str], *, mark: str = "[person]", label: str = "Speaker") -> DataFrame:
+    """`cues` with the speakers as `Speaker n` by first appearance in their transcript, and in the texts the listed names as the
+    mark and the transcript's own speakers as their labels; null speakers stay."""
+    numbered = numbered_speakers(cues.where(F.col(speaker).isNotNull()), by, order, speaker)
+    named = numbered.select(by, speaker, F.concat_ws(" ", F.lit(label), F.col("number").cast("string")).alias("_label"))
+    longest = F.array_sort(F.collect_list(F.struct((-F.length(speaker)).alias("n"), F.col(speaker).alias("s"), F.col("_label").alias("l"))))
+    own = named.groupBy(by).agg(longest.alias("_own"))  # one transcript's speakers
+    rows = cues.join(named, [by, speaker], "left").join(own, by, "left")
+    # a name that the mark or a label has taken is not looked at again: speakers first, then the listed names
+    quoted = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}])"))
+    held = F.aggregate(F.coalesce("_own", F.array().cast("array<struct<n:int,s:string,l:string>>")), F.col(text), lambda t, o: F.regexp_replace(t, quoted(o["s"]), o["l"]))
+    out = {speaker: F.col("_label"), text: replace_names(held, names, mark)}
+    return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in cues.columns))
+
+
 def capitalised_runs(text: Column | str) -> Column:
     """Two or more neighbouring words, parted by blanks alone, that begin with a capital and hold a small letter."""
     word = r"\p{Lu}(?=[\p{L}\p{M}'’-]*\p{Ll})[\p{L}\p{M}\p{N}]*(?:['’-][\p{L}\p{M}\p{N}]+)*"

@@ -228,9 +228,8 @@ def v01_replace_names(t: Tables) -> DataFrame:
 
 @query("select c.conv_id, c.turn, 'Speaker ' || number as speaker, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}])(The|the)([^\\p{L}\\p{N}]|$)', '\\1[person]\\3', 'g'), '(^|[^\\p{L}\\p{N}])(The|the)([^\\p{L}\\p{N}]|$)', '\\1[person]\\3', 'g') as text from conversations c join (select conv_id, role, dense_rank() over (partition by conv_id order by first) as number from (select conv_id, role, min(turn) as first from conversations group by 1, 2)) s using (conv_id, role)")
 def v02_pseudonymize_transcript(t: Tables) -> DataFrame:
-    numbered = turns.numbered_speakers(t.conversations, "conv_id", "turn", "role")
-    rows = t.conversations.join(numbered, ["conv_id", "role"])
-    return rows.select("conv_id", "turn", F.concat(F.lit("Speaker "), "number").alias("speaker"), turns.replace_names("text", ["The", "the"]).alias("text"))
+    rows = t.conversations.select("conv_id", "turn", F.col("role").alias("speaker"), "text")
+    return turns.pseudonymized_transcript(rows, "conv_id", "turn", "speaker", "text", ["The", "the"])
 
 
 @query("""with l as (select p_name as title, upper(substr(lower(strip_accents(p_name)), 1, 1)) as c from part) select letter, cast(row_number() over (partition by letter order by title) as integer) as place, title from (select distinct title, case when regexp_matches(c, '^[A-Z]$') then c else '#' end as letter from l)""")
@@ -301,9 +300,10 @@ def x14_about_figures(t: Tables) -> DataFrame:
     return rows.join(one(t.pages, "pages")).join(one(t.labels.where("quality = 0"), "findings"))  # one row each
 
 
-@query("""select 'type' as dimension, p_type as value, count(*) as n from part group by 2 union all select 'brand', p_brand, count(*) from part group by 2 union all select 'all', 'all', count(*) from part""")
+@query("""select 'type' as dimension, p_type as value, count(*) as n from part group by 2 union all select 'size', cast(p_size as varchar), count(*) from part group by 2 union all select 'large', cast(p_size > 25 as varchar), count(*) from part group by 2 union all select 'brand', p_brand, count(*) from part group by 2 union all select 'all', 'all', count(*) from part""")
 def k04_build_log(t: Tables) -> DataFrame:
-    return corpus.count_by(t.part.select(F.col("p_type").alias("type"), F.col("p_brand").alias("brand")), ["type", "brand"])
+    rows = t.part.select(F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), (F.col("p_size") > 25).alias("large"))
+    return corpus.count_by(rows, ["type", "brand", "size", "large"])
 
 
 @query("select count(*) filter (quality = 0) as errors, count(*) filter (toxic = 1) as warnings, count(*) filter (quality = 0) > 0 as failed from labels")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +97,26 @@ def s16_pdf_pages(t: Tables) -> DataFrame:
     body = F.concat(F.when(size % 10 == 0, "no file").otherwise("%PDF-1.4\n"), *(F.when(size % 3 >= n - 1, page(n)).otherwise("") for n in (1, 2, 3)))
     found = office.page_texts(spread(t.part).select(F.col("p_partkey").cast("string").alias("path"), body.cast("binary").alias("content")))
     return found.select(F.col("path").cast("long").alias("p_partkey"), "page", "text", "finding")
+
+
+@query("""select p_partkey, p_name as title, case when p_size % 2 = 0 then p_brand end as author, p_size as pages, p_name || '|' || p_brand as slides from part where p_size % 9 > 0 union all select p_partkey, null, null, null, null from part where p_size % 9 = 0""")
+def s13_office_properties(t: Tables) -> DataFrame:
+    """Presentations made from parts, read again: title, author, pages and slide titles in order; some are broken."""
+
+    def made(frames):  # noqa: ANN001, ANN202
+        for frame in frames:
+            rows = []
+            for key, name, brand, size in frame.itertuples(index=False):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    author = f"<d:creator>{brand}</d:creator>" if size % 2 == 0 else ""
+                    z.writestr("docProps/core.xml", f'<c xmlns:d="urn:d"><d:title>{name}</d:title>{author}</c>')
+                    z.writestr("docProps/app.xml", f'<p xmlns="urn:p"><Slides>{size}</Slides></p>')
+                    z.writestr("ppt/slides/slide10.xml", f'<s xmlns:a="urn:a"><a:t>{brand}</a:t><a:t>more</a:t></s>')
+                    z.writestr("ppt/slides/slide9.xml", f'<s xmlns:a="urn:a"><a:t>{name}</a:t></s>')
+                rows.append((str(key), out.getvalue() if size % 9 else b"no archive"))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    files = spread(t.part).select("p_partkey", "p_name", "p_brand", "p_size").mapInPandas(made, "path string, content binary")
+    found = office.document_properties(files)
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "title", "author", "pages", F.array_join("slides", "|").alias("slides"))

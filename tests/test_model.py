@@ -127,6 +127,12 @@ def test_privacy(spark):
     assert shown(publish=True, enabled=True, dictionary=True) == [True, False, True] and shown(publish=True, enabled=False, dictionary=False) == [True, True, True]
 
 
+def test_transcripts_are_pseudonymized(spark):
+    cues = spark.createDataFrame([("c", 1, "Bob (PM)", "hi Ann, I am Bob (PM)"), ("c", 2, "Ann", "Annabel and Ann and Zed"), ("c", 3, None, "Bob (PM) left"), ("d", 1, "Ann", None)], "conv string, turn int, who string, text string")
+    made = [tuple(r) for r in turns.pseudonymized_transcript(cues, "conv", "turn", "who", "text", ["Zed", "Ann"]).orderBy("conv", "turn").collect()]
+    assert made == [("c", 1, "Speaker 1", "hi Speaker 2, I am Speaker 1"), ("c", 2, "Speaker 2", "Annabel and Speaker 2 and [person]"), ("c", 3, None, "Speaker 1 left"), ("d", 1, "Speaker 1", None)]
+
+
 def test_operations(spark):
     kind = "id string, attributes map<string,string>, a string"
     notes = spark.createDataFrame([("n1", {"x": "own"}, "1", True), ("n2", {}, "2", True), ("n3", {}, "2", True), ("n4", {}, "9", True), ("n5", {}, None, False)], kind + ", declared boolean")
