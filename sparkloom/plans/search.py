@@ -75,7 +75,7 @@ select a, b, score, case when p.root = q.root then p.root end as root, case when
 def l15_resolve_duplicates(t: Tables) -> DataFrame:
     """Near copies of documents by content and source: scored, folded or reported.  A pair of less than 0.6 could not be
     reported, so pairs meet exactly, by the rarest shingles they share."""
-    pairs = stored(duplicates.similar_pairs(duplicates.shingles(t.documents), 0.6))
+    pairs = stored(duplicates.similar_pairs(stored(duplicates.shingle_sets(t.documents)), 0.6))
     at = lambda c: t.documents.select(F.col("doc_id").alias(c), F.col("source").alias(f"source_{c}"))
     rows = pairs.join(at("a"), "a").join(at("b"), "b")
     no = F.lit(False)
@@ -87,17 +87,17 @@ def l15_resolve_duplicates(t: Tables) -> DataFrame:
 @query(f"with {GRAMS} select a, b, jaccard, size_ratio from jac where jaccard >= 0.8")
 def l16_content_similarity(t: Tables) -> DataFrame:
     """Exact Jaccard of 5-word shingles of all documents, pairs of 0.8 or more, met by the rarest shingles they share."""
-    return duplicates.similar_pairs(duplicates.shingles(t.documents), 0.8)
+    return duplicates.similar_pairs(stored(duplicates.shingle_sets(t.documents)), 0.8)
 
 
 @query(f"with {GRAMS} select count(*) as pairs, true as most from jac where jaccard >= 0.8")
 def j06_band_recall(t: Tables) -> DataFrame:
     """How many pairs of 0.8 or more there are, and whether the bands meet 0.99 of them; the bands' hashes are Spark's, so
     SQL cannot give their pairs themselves."""
-    grams = stored(duplicates.shingles(t.documents))
-    true_ = stored(duplicates.similar_pairs(grams, 0.8).select("a", "b"))
-    met = duplicates.banded_pairs(duplicates.signatures(grams)).select("a", "b")
-    first = duplicates.copies(duplicates.signatures(grams))
+    sets = stored(duplicates.shingle_sets(t.documents))
+    signed = stored(duplicates.signatures(sets.select("id", "n", F.explode("g").alias("shingle"))))
+    true_ = stored(duplicates.similar_pairs(sets, 0.8).select("a", "b"))
+    met, first = duplicates.banded_pairs(signed).select("a", "b"), duplicates.copies(signed)
     at = lambda n: first.select(F.col("id").alias(n), F.col("first").alias(f"f{n}"))
     # copies meet through their first one
     rows = true_.join(at("a"), "a").join(at("b"), "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))

@@ -154,9 +154,11 @@ def test_relations(spark):
 def test_duplicates(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text), (2, text), (3, text + " end"), (4, "too short"), (5, None), (6, " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string")
-    grams = duplicates.shingles(docs)
-    pairs = duplicates.banded_pairs(duplicates.signatures(grams))
-    assert {(r.a, r.b): r.jaccard for r in duplicates.jaccard(pairs, grams).collect()} == {(1, 2): 1.0, (1, 3): 0.9825}
+    pairs = duplicates.banded_pairs(duplicates.signatures(duplicates.shingles(docs)))
+    sets = duplicates.shingle_sets(docs)
+    assert {(r.a, r.b): r.jaccard for r in duplicates.similar_pairs(sets, 0.98).collect()} == {(1, 2): 1.0, (1, 3): 0.9825, (2, 3): 0.9825}
+    assert duplicates.similar_pairs(sets.limit(0), 0.6).count() == 0
+    assert {(r.a, r.b): r.jaccard for r in duplicates.jaccard(pairs, sets).collect()} == {(1, 2): 1.0, (1, 3): 0.9825}
     scored = spark.createDataFrame([(1, 2, 1.0), (2, 3, 0.95), (1, 3, 0.6), (4, 5, 0.5), (6, 7, 0.4)], "a long, b long, score double")
     assert {(r.a, r.b): (r.root, r.verdict) for r in duplicates.resolved(scored).collect()} == {(1, 2): (1, "merged"), (2, 3): (1, "merged"), (1, 3): (1, "folded"), (4, 5): (None, "reported")}
 
