@@ -233,6 +233,24 @@ def test_all_near_copies_of_odd_ids_too(spark, tmp_path):
     assert found == {k: round(j, 4) for k, j in exact.items() if j >= 0.8} and any(a % 2 for a, _ in found)
 
 
+def test_similar_pairs_with_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "COMMON", 30)
+    monkeypatch.setattr(duplicates, "GLIMPSE", 2)
+    import random
+
+    rng = random.Random(8)
+    sets = []
+    for i in range(120):
+        base = [rng.randrange(10**6) for _ in range(30)] if i % 3 == 0 else [x if rng.random() > 0.08 else rng.randrange(10**6) for x in base]
+        sets.append(sorted({*base, *range(12)}))
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in enumerate([*sets, sets[5], sets[5]])], "id long, n int, g array<long>")
+    every = [set(s) for s in [*sets, sets[5], sets[5]]]
+    for least in (0.6, 0.8):
+        want = {(a, b) for b in range(len(every)) for a in range(b) if len(every[a] & every[b]) / len(every[a] | every[b]) >= least - 0.00005}
+        found = duplicates.similar_pairs(rows, least).collect()
+        assert len(found) == len(want) and {(r.a, r.b) for r in found} == want and (120, 121) in want
+
+
 def test_bands_reach_pairs_of_middling_similarity(spark):
     # shingles drawn at random, 60 shared by the 80 of either: Jaccard 0.6
     rows = [(2 * p + side, 80, (p << 20) + (i if i < 60 else 1000 * (side + 1) + i)) for p in range(300) for side in (0, 1) for i in range(80)]
