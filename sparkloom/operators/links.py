@@ -11,9 +11,15 @@ GLOSSARY = "glossary_occurrence"
 BONUS, CAP = 0.05, 0.95
 
 
+def combined(miss: Column) -> Column:
+    """1 - what is missed, within [0, 1], to four decimals; to ten first, as the last digits of a product depend on the order
+    in which its rows come."""
+    return round4(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - miss)), 10))
+
+
 def noisy_or(confidences: Column) -> Column:
     """1 - the product of (1 - c) over a group, within [0, 1], to four decimals."""
-    return round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.product(1 - confidences))))
+    return combined(F.product(1 - confidences))
 
 
 def glossary_confidence(base: Column, occurrences: Column, bonus: float = BONUS, cap: float = CAP) -> Column:
@@ -40,7 +46,7 @@ def combine_links(evidence: DataFrame, *, keys: tuple[str, ...] = KEY, bonus: fl
         F.count("*").alias("provenances"),
     )
     one = F.when(F.col("base").isNull(), 1.0).otherwise(1 - glossary_confidence(F.col("base"), F.col("n"), bonus, cap))
-    confidence = round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("miss") * one)))
+    confidence = combined(F.col("miss") * one)
     return rows.select(*keys, confidence.alias("confidence"), "methods", "provenances")
 
 

@@ -11,7 +11,7 @@ from sparkloom.plans.registry import Tables, query
 from sparkloom.session import stored
 
 R4 = "floor(({0}) * 10000 + 0.5) / 10000.0"
-OR = R4.format("greatest(0.0, least(1.0, 1 - {0}))")
+OR = R4.format("round(greatest(0.0, least(1.0, 1 - {0})), 10)")
 EVIDENCE = """evidence as (select l_partkey as "from", l_suppkey as "to", case when l_returnflag = 'A' then 'uses' else 'related' end as relation,
   case l_linestatus when 'O' then 'glossary_occurrence' else 'section_mention' end as method, l_orderkey as path, l_linenumber as line, l_returnflag as section, l_linenumber % 2 as position,
   0.4 + 0.05 * (l_linenumber % 7) as confidence, 1 + l_linenumber % 3 as occurrences from lineitem)"""
@@ -99,13 +99,13 @@ def a22_displayed_neighbourhood(t: Tables) -> DataFrame:
     return links.displayed(links.combine_links(evidence(t)).withColumn("to", F.col("to") + 100000))
 
 
-GRAPH = """links as materialized (select l_partkey as "from", 100000 + l_suppkey as "to", floor((0.2 + 0.7 * avg(l_discount) * 10) * 10000 + 0.5) / 10000.0 as confidence from lineitem group by 1, 2),
+GRAPH = """links as materialized (select l_partkey as "from", 100000 + l_suppkey as "to", floor(round(0.2 + 0.7 * avg(l_discount) * 10, 10) * 10000 + 0.5) / 10000.0 as confidence from lineitem group by 1, 2),
 edges as materialized (select a, b, max(c) as c from (select "from" as a, "to" as b, confidence as c from links union all select "to", "from", confidence from links) group by 1, 2)"""
 
 
 def all_links(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy(F.col("l_partkey").alias("from"), (100000 + F.col("l_suppkey")).alias("to"))
-    return stored(rows.agg(round4(0.2 + 0.7 * F.avg("l_discount") * 10).alias("confidence")))
+    return stored(rows.agg(round4(F.round(0.2 + 0.7 * F.avg("l_discount") * 10, 10)).alias("confidence")))
 
 
 @query(f"""with {GRAPH}, s as (select min(a) as id from edges), d1 as (select b as id, 1 as depth, {R4.format('max(c)')} as score from edges join s on a = s.id group by b),
