@@ -32,3 +32,7 @@ LINKED = (LINES, [(n, 1 + n % 3, p, s, 40.0 + n, 0.1, "A" if n % 2 else "R", "O"
 
 def test_mention_links(spark, tmp_path):
     assert not differs(spark, tmp_path, "l03_mention_links", part=PARTS, supplier=SUPPLIERS, lineitem=LINKED)
+
+
+def test_related(spark, tmp_path):
+    assert not differs(spark, tmp_path, "q04_related", part=PARTS, supplier=SUPPLIERS, lineitem=LINKED)
