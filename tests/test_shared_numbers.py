@@ -49,3 +49,7 @@ MET = (LINES, [(o, n % 4 + 1, p, 1, 45.0, 0.0, "A" if n % 2 else "R", "O") for n
 
 def test_sessions(spark, tmp_path):
     assert not differs(spark, tmp_path, "x08_sessions", part=PARTS, orders=ORDERS, lineitem=MET)
+
+
+def test_meeting_figures(spark, tmp_path):
+    assert not differs(spark, tmp_path, "x09_meeting_figures", part=PARTS, orders=ORDERS, lineitem=MET)
