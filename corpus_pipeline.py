@@ -29,7 +29,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: linked by SimHash, or by a band where more bits differ, and of similarity
+    0.8 or more over five-word shingles."""
     return simhash.deduplicated(docs, k=5, similarity=0.8).select(docs.columns)
 
 

@@ -259,18 +259,29 @@ def chained(keyed: DataFrame) -> DataFrame:
     return before(dealt, "key", "part").unionByName(before(heads, "key"))
 
 
+def fingerprint_links(texts: DataFrame, threshold: int = 3, blocks: int = 2) -> DataFrame:
+    """(_row, fp) -> (a, b): rows of one fingerprint with the first of them, and the first ones of linked fingerprints."""
+    nodes = written(texts.groupBy("fp").agg(F.min("_row").alias("first")), "near-fps")
+    same = texts.join(nodes, "fp").where("_row <> first").select(F.col("first").alias("a"), F.col("_row").alias("b"))
+    at = lambda c, n: nodes.select(F.col("fp").alias(c), F.col("first").alias(n))
+    linked = links(nodes, threshold, blocks).withColumnsRenamed({"a": "x", "b": "y"})
+    return same.unionByName(linked.join(at("x", "a"), "x").join(at("y", "b"), "y").select("a", "b"))
+
+
 #: Texts of one group that a task holds on either side when it compares them.
 CELL = 256
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, threshold: int = 3, blocks: int = 2, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, _keeper) for each row of `docs` that a row kept instead stands for.  Rows go by `row_col`, distinct longs that
     the table holds: numbers made anew for each reading would change with the number of cores at that moment.
 
     Two texts are near copies if the Jaccard similarity of their sets of `k`-word shingles (A-Z lower-cased; fewer words:
     the whole sequence) is `similarity` or more; groups are the connected components, and the row of the smallest id stays
-    (null ids last, repeated rows by place).  Candidates are the components of texts that share a band; inside each, all
-    pairs of different texts not yet connected are compared exactly, in cells of bounded size where a component is large.
+    (null ids last, repeated rows by place).  Candidates are the components under the links of SimHash (fingerprints of the
+    same shingles, at most `threshold` differing bits); near copies whose fingerprints lie further apart are reached by a
+    shared band, the exact way for the rest.  Inside each component all pairs of different texts not yet connected are
+    compared exactly, in cells of bounded size where a component is large.
     Null and empty texts are copies of one another.
     """
     numbered = docs.select(F.col(row_col).alias("_row"), F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
@@ -282,14 +293,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, *, row
                 some = batch.slice(at, 1024)
                 parts = [words((text.as_py() or b"").translate(LOWER)) for text in some.column(2)]
                 contents = [xxhash.xxh3_128_digest(b" ".join(p)) for p in parts]
-                keys = pa.array([bands(hashes(p, k)) for p in parts], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(contents, pa.binary()), keys], ["_row", "doc_id", "content", "bands"])
+                grams = [hashes(p, k) for p in parts]
+                fps = pa.array([fingerprint(h) for h in grams], pa.int64())
+                keys = pa.array([bands(h) for h in grams], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(contents, pa.binary()), fps, keys], ["_row", "doc_id", "content", "fp", "bands"])
 
-    rows = written(numbered.mapInArrow(read, f"_row long, doc_id {kind}, content binary, bands array<long>"), "near-rows")
+    rows = written(numbered.mapInArrow(read, f"_row long, doc_id {kind}, content binary, fp long, bands array<long>"), "near-rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     texts = written(rows.groupBy("content").agg(F.min(first).alias("first")).withColumn("node", F.col("first._row")), "near-texts")
-    keyed = rows.join(texts.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("b"), F.explode("bands").alias("key"))
-    candidates = connected_components(chained(keyed))
+    own = rows.join(texts.select(F.col("node").alias("_row")), "_row", "left_semi")
+    keyed = own.select(F.col("_row").alias("b"), F.explode("bands").alias("key"))
+    met = chained(keyed).unionByName(fingerprint_links(own.select("_row", "fp"), threshold, blocks))
+    candidates = connected_components(met)
     sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
     members = written(candidates.join(sizes, "root").select(F.col("node").alias("_row"), "root", "cells"), "near-members")
     verified = _verified(numbered.select("_row", "text").join(members, "_row"), k, similarity)
