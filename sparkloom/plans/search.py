@@ -87,7 +87,7 @@ def l15_resolve_duplicates(t: Tables) -> DataFrame:
 @query(f"with {GRAMS} select a, b, jaccard, size_ratio from jac where jaccard >= 0.8")
 def l16_content_similarity(t: Tables) -> DataFrame:
     """Exact Jaccard of 5-word shingles of all documents, pairs of 0.8 or more, met by the rarest shingles they share."""
-    return duplicates.similar_pairs(stored(duplicates.shingle_sets(t.documents)), 0.8)
+    return duplicates.similar_pairs(duplicates.shingle_sets(t.documents), 0.8)
 
 
 @query(f"with {GRAMS} select count(*) as pairs, true as most from jac where jaccard >= 0.8")

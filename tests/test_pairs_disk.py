@@ -15,7 +15,7 @@ def left(spark) -> int:
     return sum(p.stat().st_size for p in Path(re.sub("^file:/*", "/", shared_folder(spark))).rglob("*.parquet"))
 
 
-@pytest.mark.parametrize("name", ["j06_band_recall", "l15_resolve_duplicates"])
+@pytest.mark.parametrize("name", ["j06_band_recall", "l15_resolve_duplicates", "l16_content_similarity"])
 def test_sets_are_not_stored_as_a_whole(spark, tmp_path, name):
     rng = random.Random(3)
     texts = [" ".join(f"x{rng.randrange(10**9)}q" for _ in range(2000)) for _ in range(100)]
